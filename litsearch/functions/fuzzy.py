@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from litsearch.session import fan_out
+
 Fuzziness = str | int
 
 # Terms and words share a deletion variant of their first PREFIX letters whenever they are
@@ -57,17 +59,18 @@ def matches_word(term: Column, word: str, k: int) -> Column:
     def within(target: str, edits: int) -> Column:
         return F.levenshtein(term, F.lit(target), edits) >= 0  # -1 beyond the limit
 
-    tests = [within(word, k)]
+    near = F.length(term).between(len(word) - k, len(word) + k)
     swapped = _swaps(word)
+    tests = [within(word, k)]
     if k == 1:
         spellings = swapped
     else:
+        near &= within(word, 4)  # a swap is two plain edits, so this settles most terms at once
         tests += [within(s, 1) for s in swapped]
         twice = {t for s in swapped for t in _swaps(s)}
         spellings = sorted(twice.union(_swaps_around_a_dropped_letter(word)))
     if spellings:
-        tests.append(term.isin(spellings))
-    near = F.length(term).between(len(word) - k, len(word) + k)
+        tests.insert(1, term.isin(spellings))
     return near & reduce(lambda a, b: a | b, tests)
 
 
@@ -95,10 +98,22 @@ def _swaps_around_a_dropped_letter_col(w: Column) -> Column:
     )
 
 
+def _letters(w: Column) -> Column:
+    return F.array_join(F.sort_array(F.split(w, "")), "")
+
+
 def fuzzy_match(term: Column, word: Column, k: Column) -> Column:
-    """Column form of :func:`matches_word`, for pairs found by a join."""
+    """Column form of :func:`matches_word`, for pairs found by a join.
+
+    Most pairs are settled by the plain distance. Spellings with swaps are made only for pairs
+    that could differ by one: a swap is two plain edits and leaves the letters as they are.
+    """
     near = F.abs(F.length(term) - F.length(word)) <= k
-    plain = F.levenshtein(term, word, 2).between(F.lit(0), k)
+    distance = F.levenshtein(term, word, 4)
+    plain = distance.between(F.lit(0), k)
+    maybe_swapped = distance.between(k + 1, 2 * k) & F.levenshtein(
+        _letters(term), _letters(word), 2
+    ).between(F.lit(0), 2 * (k - 1))
     swapped = _swaps_col(word)
     one = (k >= 1) & F.array_contains(swapped, term)
     two = (k >= 2) & (
@@ -106,7 +121,7 @@ def fuzzy_match(term: Column, word: Column, k: Column) -> Column:
         | F.exists(swapped, lambda s: F.array_contains(_swaps_col(s), term))
         | F.array_contains(_swaps_around_a_dropped_letter_col(word), term)
     )
-    return near & (plain | one | two)
+    return F.when(near & plain, True).when(near & maybe_swapped, one | two).otherwise(False)
 
 
 def _drop_one(w: Column) -> Column:
@@ -145,6 +160,7 @@ def similar_terms(
         reach = F.when(n <= 1, 0).when(n <= 3, 1).otherwise(2)
     else:
         reach = F.lit(int(fuzziness))
+    vocabulary = fan_out(vocabulary.select(term))
     left = words.select(word, allowed_edits_col(F.col(word), fuzziness).alias("_k")).select(
         word, "_k", F.explode(deletion_variants(F.col(word), F.col("_k"))).alias("_variant")
     )

@@ -8,6 +8,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F
 
 from litsearch.functions.text import missing, remove_stopwords, string_array, strip, tokenize
+from litsearch.session import by_key
 
 # A paper is kept when it has a title, an abstract or a url, an author and a date.
 REQUIRED_COLUMNS = [["title"], ["abstract", "url"], ["authors"], ["publish_time"]]
@@ -106,7 +107,7 @@ def clean_text(
         return df.withColumn(
             out, F.array_join(remove_stopwords(tokenize(F.col(col), 1), dropped), " ")
         )
-    text = df.select(key, col).repartition(key)
+    text = by_key(df.select(key, col), key)
     tokens = (
         text.select(key, F.posexplode(tokenize(F.col(col), 1)).alias("_pos", "_word"))
         .filter(~F.col("_word").isin(dropped))

@@ -25,6 +25,8 @@ from litsearch.functions.fuzzy import (
 )
 from litsearch.functions.text import tokenize
 from litsearch.operators.joins import spread_join
+from litsearch.operators.layout import materialize
+from litsearch.session import by_key
 
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 9
@@ -54,7 +56,7 @@ def build_postings(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     The text is shuffled once by key (fewer bytes than one row per term would be); counting the
     terms of a document then stays inside its partition.
     """
-    tokens = field_tokens(df.select(key, *fields).repartition(key), key, fields)
+    tokens = field_tokens(by_key(df.select(key, *fields), key), key, fields)
     return (
         tokens.select(key, "field", "field_len", F.explode("tokens").alias("term"))
         .groupBy(key, "field", "term")
@@ -190,38 +192,36 @@ def matching_scores(
 ) -> DataFrame:
     """(key, score) of every document that matches, straight from the documents.
 
-    One pass over the text: the scan keeps only the words that match the query, plus one marker
-    per document and field that carries the field's length for the statistics. What is left is
-    shuffled once by key and used both to count and to rank.
+    One pass over the text: the scan keeps only the words that match the query, plus the first
+    word of each field as a marker that carries the field's length. These few narrow rows are
+    written out, and both the statistics and the ranking are made from them.
     """
     words, times = _words_of(query)
     fields = list(boosts)
     if not words:
         return _empty_hits(df, key)
-    term = F.col("term")
-    hit = _any([matches_word(term, w, allowed_edits(w, fuzziness)) for w in words])
+    hit = _any([matches_word(F.col("term"), w, allowed_edits(w, fuzziness)) for w in words])
     docs = df.withColumn("_doc_boost", F.lit(1.0) if doc_boost is None else doc_boost.cast("double"))
     tokens = field_tokens(docs.select(key, "_doc_boost", *fields), key, fields, ["_doc_boost"])
-    facts = (
-        tokens.filter("field_len > 0")
-        .select(key, "_doc_boost", "field", "field_len", F.posexplode("tokens").alias("_pos", "term"))
+    found = materialize(
+        tokens.select(key, "_doc_boost", "field", "field_len", F.posexplode("tokens").alias("_pos", "term"))
         .select(
             key, "_doc_boost", "field", "field_len",
-            F.when(hit, term).alias("term"), (F.col("_pos") == 0).cast("int").alias("_head"),
-        )
-        .filter((F.col("_head") == 1) | term.isNotNull())
-        .repartition(key)
-        .groupBy(key, "field", "term")
-        .agg(
-            F.count("*").alias("tf"), F.sum("_head").alias("_head"),
-            F.first("field_len").alias("field_len"), F.first("_doc_boost").alias("_doc_boost"),
+            F.when(hit, F.col("term")).alias("term"), (F.col("_pos") == 0).alias("_first"),
         )
+        .filter(F.col("_first") | F.col("term").isNotNull())
     )
     stats = (
-        facts.filter("_head > 0").groupBy("field")
-        .agg(F.sum("_head").alias("n_docs"), F.avg("field_len").alias("avg_len"))
+        found.filter("_first").groupBy("field")
+        .agg(F.count("*").alias("n_docs"), F.avg("field_len").alias("avg_len"))
+    )
+    matched = (
+        found.filter("term IS NOT NULL").groupBy(key, "field", "term")
+        .agg(
+            F.count("*").alias("tf"), F.first("field_len").alias("field_len"),
+            F.first("_doc_boost").alias("_doc_boost"),
+        )
     )
-    matched = facts.filter("term IS NOT NULL")
     frequency = matched.groupBy("field", "term").agg(F.count("*").alias("df"))
     scored = (
         spread_join(matched, frequency, ["field", "term"], "df", key)
@@ -303,16 +303,18 @@ def to_response(hits: DataFrame, key: str, columns: Sequence[str] = HIT_COLUMNS)
 # ---------------------------------------------------------------- many queries
 
 def search_batch(
-    postings: DataFrame, key: str, queries: DataFrame, query_id: str, text: str,
-    boosts: Mapping[str, float] = DEFAULT_BOOSTS, fuzziness: Fuzziness = "AUTO", size: int = 20,
+    index: SearchIndex, queries: DataFrame, query_id: str, text: str,
+    boosts: Mapping[str, float] | None = None, fuzziness: Fuzziness = "AUTO", size: int = 20,
 ) -> DataFrame:
     """The best ``size`` hits of every query in a table, all words required: (query, key, score, rank).
 
-    ``postings`` are those of :func:`weighted_postings` or of a stored index. Every hit has all
-    words of its query in one field, so it also has the query's rarest one: candidates are read
-    from the postings of that word only, and the other words are checked on the candidates.
+    Every hit has all words of its query in one field, so it also has the query's rarest one:
+    candidates are read from the postings of that word only, and the other words are checked on
+    the candidates.
     """
-    postings = postings.filter(F.col("field").isin(list(boosts)))
+    key = index.key
+    boosts = dict(boosts or {f: DEFAULT_BOOSTS.get(f, 1.0) for f in index.fields})
+    postings = index.postings.filter(F.col("field").isin(list(boosts)))
     words = (
         queries.select(query_id, F.explode(tokenize(F.col(text), 1)).alias("word"))
         .groupBy(query_id, "word").agg(F.count("*").alias("times"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from litsearch.functions.text import strip, tokenize, truncate_words
 from litsearch.operators.joins import spread_join
 from litsearch.operators.tfidf import fit_tfidf
+from litsearch.session import by_key
 
 
 def sentences(col: Column) -> Column:
@@ -46,7 +47,7 @@ def summarize_extractive(
     the earlier sentence. Without a fitted ``model`` one is fitted on the texts themselves.
     """
     model = fit_tfidf(df, col) if model is None else model
-    text = df.select(key, col).repartition(key)
+    text = by_key(df.select(key, col), key)
     numbered = text.select(key, F.posexplode(sentences(F.col(col))).alias("_no", "_sentence"))
     per_sentence = (
         numbered.select(key, "_no", F.explode(tokenize(F.col("_sentence"))).alias("term"))

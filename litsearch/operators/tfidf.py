@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from litsearch.functions.fuzzy import query_words
 from litsearch.functions.text import remove_stopwords, tokenize
 from litsearch.operators.joins import spread_join
+from litsearch.session import by_key
 
 
 def _words(col: str, stopwords: Sequence[str] | None) -> Column:
@@ -33,7 +34,7 @@ def token_counts(df: DataFrame, col: str) -> DataFrame:
 def term_counts(df: DataFrame, key: str, col: str, stopwords: Sequence[str] | None = None) -> DataFrame:
     """(key, term, tf). The text is shuffled once by key; the counting then stays in place."""
     return (
-        df.select(key, col).repartition(key)
+        by_key(df.select(key, col), key)
         .select(key, F.explode(_words(col, stopwords)).alias("term"))
         .groupBy(key, "term").agg(F.count("*").alias("tf"))
     )

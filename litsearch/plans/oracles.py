@@ -19,6 +19,8 @@ FIELDS = {"title": 2.0, "abstract": 1.0, "body": 1.0}
 # DuckDB's edit distance counts bytes, so the letters beyond ASCII in the tables are written as
 # capitals, which lower-cased terms do not use.
 ASCII = "translate({0}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
+NEAR = ("CASE WHEN abs(length(ascii) - length({0})) <= k THEN damerau_levenshtein(ascii, {0}) <= k"
+        " ELSE false END")
 
 
 def lit(s: str) -> str:
@@ -56,7 +58,7 @@ post AS (SELECT doc_id, field, term, count(*) AS tf FROM toks GROUP BY ALL),
 lens AS (SELECT doc_id, field, cast(sum(tf) AS bigint) AS field_len FROM post GROUP BY ALL),
 stats AS (SELECT field, count(*) AS n, avg(field_len) AS avg_len FROM lens GROUP BY ALL),
 freq AS (SELECT field, term, count(*) AS df FROM post GROUP BY ALL),
-vocab AS (SELECT DISTINCT term FROM post)"""
+vocab AS (SELECT term, {ASCII.format('term')} AS ascii FROM (SELECT DISTINCT term FROM post) v)"""
 
 
 BM25 = ("ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * tf"
@@ -71,8 +73,7 @@ def scores_cte(query: str, fields=FIELDS, fuzziness="AUTO", operator="AND", doc_
     return f"""WITH {post_ctes(fields)},
 words AS (SELECT * FROM (VALUES {rows}) v(word, k, times)),
 boosts AS (SELECT * FROM (VALUES {boosts}) v(field, boost)),
-near AS (SELECT word, times, term FROM vocab, words WHERE abs(length(term) - length(word)) <= k
-  AND damerau_levenshtein({ASCII.format('term')}, word) <= k),
+near AS (SELECT word, times, term FROM vocab, words WHERE {NEAR.format('word')}),
 best AS (SELECT doc_id, field, word, times, max({BM25} * ({doc_boost})) AS s
   FROM post JOIN near USING (term) JOIN lens USING (doc_id, field) JOIN stats USING (field)
   JOIN freq USING (field, term) JOIN papers USING (doc_id) GROUP BY ALL),
@@ -114,9 +115,8 @@ words AS (SELECT item_id, word, count(*) AS times,
   CASE WHEN length(word) <= 2 THEN 0 WHEN length(word) <= 5 THEN 1 ELSE 2 END AS k
   FROM (SELECT item_id, unnest({tok('text', 1)}) AS word FROM benchmark) b GROUP BY ALL),
 needed AS (SELECT item_id, count(*) AS needed FROM words GROUP BY ALL),
-near AS (SELECT word, term FROM vocab, (SELECT DISTINCT word, k FROM words) w
-  WHERE abs(length(term) - length(word)) <= k
-  AND damerau_levenshtein({ASCII.format('term')}, {ASCII.format('word')}) <= k),
+near AS (SELECT word, term FROM vocab, (SELECT DISTINCT word, k, {ASCII.format('word')} AS ascii_word FROM words) w
+  WHERE {NEAR.format('ascii_word')}),
 boosts AS (SELECT * FROM (VALUES ('title', 2.0), ('abstract', 1.0), ('body', 1.0)) v(field, boost)),
 scored AS (SELECT doc_id, field, term, {BM25} AS s FROM post JOIN lens USING (doc_id, field)
   JOIN stats USING (field) JOIN freq USING (field, term)),
@@ -128,12 +128,12 @@ scores AS (SELECT item_id, doc_id, round(max(s * boost), 9) AS score
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores)
 SELECT item_id, doc_id, round(score, 6) AS score, cast(rank AS int) AS rank FROM ranked WHERE rank <= 20"""
 ORACLES["match_all"] = "SELECT * FROM documents ORDER BY doc_id LIMIT 20"
-ORACLES["fuzzy_terms"] = f"""WITH words AS (SELECT word,
+ORACLES["fuzzy_terms"] = f"""WITH words AS (SELECT word, {ASCII.format('word')} AS ascii_word,
   CASE WHEN length(word) <= 2 THEN 0 WHEN length(word) <= 5 THEN 1 ELSE 2 END AS k
   FROM (SELECT DISTINCT unnest({tok('text', 1)}) AS word FROM benchmark) b),
-vocab AS (SELECT DISTINCT unnest({tok('text', 1)}) AS term FROM documents)
-SELECT word, term FROM vocab, words WHERE abs(length(term) - length(word)) <= k
-  AND damerau_levenshtein({ASCII.format('term')}, {ASCII.format('word')}) <= k"""
+vocab AS (SELECT term, {ASCII.format('term')} AS ascii FROM (
+  SELECT DISTINCT unnest({tok('text', 1)}) AS term FROM documents) v)
+SELECT word, term FROM vocab, words WHERE {NEAR.format('ascii_word')}"""
 ORACLES["postings"] = f"""WITH {post_ctes()}
 SELECT doc_id, field, term, tf, cast(field_len AS int) AS field_len FROM post JOIN lens USING (doc_id, field)"""
 

@@ -308,11 +308,13 @@ def search_exact(spark, d):
     return search.search(papers(spark, d), QUERY, "doc_id", fuzziness=0).select("doc_id", _r6("score"))
 
 
+def _index(spark, d):
+    fields = list(search.DEFAULT_BOOSTS)
+    return search.write_index(papers(spark, d), "doc_id", fields, scratch_path(spark, "index"))
+
+
 def search_indexed(spark, d):
-    index = search.write_index(
-        papers(spark, d), "doc_id", list(search.DEFAULT_BOOSTS), scratch_path(spark, "index")
-    )
-    return search.search(index, QUERY).select("doc_id", _r6("score"))
+    return search.search(_index(spark, d), QUERY).select("doc_id", _r6("score"))
 
 
 def search_title(spark, d):
@@ -341,9 +343,7 @@ def search_prefer_complete(spark, d):
 
 
 def search_batch(spark, d):
-    index = search.weighted_postings(papers(spark, d), "doc_id", list(search.DEFAULT_BOOSTS))
-    queries = table(spark, d, "benchmark")
-    hits = search.search_batch(index, "doc_id", queries, "item_id", "text")
+    hits = search.search_batch(_index(spark, d), table(spark, d, "benchmark"), "item_id", "text")
     return hits.select("item_id", "doc_id", _r6("score"), "rank")
 
 

@@ -46,3 +46,20 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() <= cores else scan
+
+
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+# Adaptive execution merges small partitions by their bytes, except where their number was asked
+# for. The two helpers ask for it where few bytes turn into much work.
+
+def fan_out(df: DataFrame) -> DataFrame:
+    """Deal out the rows to all shuffle partitions."""
+    return df.repartition(_shuffle_partitions(df))
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle texts by key, ahead of splitting them into words that are grouped by that key."""
+    return df.repartition(_shuffle_partitions(df), *keys)
