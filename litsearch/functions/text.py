@@ -21,12 +21,6 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
-def string_array(values: Sequence[str]) -> Column:
-    if not values:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
-
-
 def remove_stopwords(tokens: Column, words: Sequence[str]) -> Column:
     """Drop tokens that are in ``words``; order and repeats are kept."""
     # isin() over literals becomes a hash-set lookup (InSet), array_contains a linear one

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F
 
-from litsearch.functions.text import missing, remove_stopwords, string_array, strip, tokenize
+from litsearch.functions.text import WHITESPACE, missing, remove_stopwords, strip, tokenize
 from litsearch.session import by_key
 
 # A paper is kept when it has a title, an abstract or a url, an author and a date.
@@ -63,11 +63,15 @@ def keyword_match(col: Column, keywords: Sequence[str]) -> Column:
     """True if any part of any keyword is a word of the text.
 
     Words are what single spaces separate, lower-cased and stripped; keywords are taken as they
-    are, so one with a capital letter matches nothing.
+    are, so one with a capital letter matches nothing. Told by one regular expression: a part
+    between spaces or text ends, with only other white space around it.
     """
     parts = sorted({part for keyword in keywords for part in keyword.split(" ")})
-    words = F.transform(F.split(col, " "), lambda w: strip(F.lower(w)))
-    return F.arrays_overlap(words, string_array(parts))
+    if not parts:
+        return F.lit(False)
+    quoted = "|".join("\\Q" + part.replace("\\E", "\\E\\\\E\\Q") + "\\E" for part in parts)
+    blank = "[" + WHITESPACE.replace(" ", "") + "]*"
+    return F.lower(col).rlike(f"(?:\\A| ){blank}(?:{quoted}){blank}(?: |\\z)")
 
 
 def keyword_filter(df: DataFrame, col: str, keywords: Sequence[str]) -> DataFrame:

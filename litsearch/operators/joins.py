@@ -23,6 +23,9 @@ def spread_join(
     holds less than one row in ``hot_keys``. The result is the same as that of a plain join.
     """
     keys = list(keys)
+    # stated once for both uses of the lookup, so that they share one shuffle of it
+    for k in keys:
+        lookup = lookup.filter(F.col(k).isNotNull())
     hot = (
         lookup.filter(F.col(weight) > slice_rows)
         .groupBy(*keys).agg(F.max(F.ceil(F.col(weight) / slice_rows)).cast("int").alias("_slices"))

@@ -64,12 +64,11 @@ def build_postings(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     )
 
 
-def field_stats(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+def field_stats(postings: DataFrame, key: str) -> DataFrame:
     """(field, n_docs, avg_len) over the documents that have a word in the field."""
     return (
-        field_tokens(df, key, fields).filter("field_len > 0").groupBy("field")
-        .agg(F.count("*").alias("n_docs"), F.sum("field_len").alias("_len"))
-        .select("field", "n_docs", (F.col("_len") / F.col("n_docs")).alias("avg_len"))
+        postings.groupBy(key, "field").agg(F.max("field_len").alias("_len"))
+        .groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("_len").alias("avg_len"))
     )
 
 
@@ -84,10 +83,14 @@ class SearchIndex:
 
 
 def weighted_postings(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Postings with the document frequency of the term and the statistics of the field."""
-    postings = build_postings(df, key, fields)
+    """Postings with the document frequency of the term and the statistics of the field.
+
+    The bare postings are written out first: frequencies, statistics and the joins that add them
+    read them from there, and the texts are split into words once.
+    """
+    postings = materialize(build_postings(df, key, fields))
     frequency = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    stats = field_stats(df, key, fields)  # one row per field name given by the caller
+    stats = field_stats(postings, key)  # one row per field name given by the caller
     return (
         spread_join(postings, frequency, ["field", "term"], "df", key)
         .join(F.broadcast(stats), "field")

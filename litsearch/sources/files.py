@@ -57,7 +57,7 @@ def write_articles(articles: DataFrame, path: str, folder: str = "feed_date", fe
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """(path, body) of plain text files, one row per file however often it is listed."""
     return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True)
         .select(_file_path().alias("path"), F.col("value").alias("body"))
         .dropDuplicates(["path"])
     )
