@@ -26,7 +26,7 @@ from litsearch.functions.fuzzy import (
 from litsearch.functions.text import tokenize
 from litsearch.operators.joins import spread_join
 from litsearch.operators.layout import materialize
-from litsearch.session import by_key
+from litsearch.session import by_key, remove_path, scratch_path
 
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 9
@@ -74,48 +74,50 @@ def field_stats(postings: DataFrame, key: str) -> DataFrame:
 
 @dataclass
 class SearchIndex:
-    """Stored postings. ``df``, ``n_docs`` and ``avg_len`` are written next to each posting, so
-    that a search reads, filters and ranks them without a join."""
+    """Stored postings and vocabulary.
+
+    ``postings`` carry ``df``, ``n_docs`` and ``avg_len`` in every row, so that a search reads,
+    filters and ranks them without a join. ``terms`` has one (field, term, df) row per term.
+    """
 
     postings: DataFrame
+    terms: DataFrame
     key: str
     fields: tuple[str, ...]
 
 
-def weighted_postings(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Postings with the document frequency of the term and the statistics of the field.
-
-    The bare postings are written out first: frequencies, statistics and the joins that add them
-    read them from there, and the texts are split into words once.
-    """
-    postings = materialize(build_postings(df, key, fields))
-    frequency = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    stats = field_stats(postings, key)  # one row per field name given by the caller
-    return (
-        spread_join(postings, frequency, ["field", "term"], "df", key)
-        .join(F.broadcast(stats), "field")
-    )
-
-
 def write_index(df: DataFrame, key: str, fields: Sequence[str], path: str) -> SearchIndex:
     """Build and store an index, laid out so that a search opens only the files it needs.
 
-    Partition folders by field and by term length (edit distance bounds the length), sorted by
-    term inside. The key is part of the range split, so a very common term fills many files.
+    The bare postings are written out first: frequencies, statistics and the join that adds them
+    read them from there, so the texts are split into words once. The final postings are in
+    folders by field and by term length (edit distance bounds the length), sorted by term. The
+    key is part of the range split, so a very common term fills many files.
     """
+    spark = df.sparkSession
+    bare_path = scratch_path(spark, "postings")
+    bare = materialize(build_postings(df, key, fields), bare_path)
+    frequency = bare.groupBy("field", "term").agg(F.count("*").alias("df"))
+    terms = materialize(
+        frequency.repartitionByRange("field", "term").sortWithinPartitions("field", "term"), f"{path}/terms"
+    )
+    stats = field_stats(bare, key)  # one row per field name given by the caller
     length = F.least(F.length("term"), F.lit(MAX_LENGTH_BUCKET))
     (
-        weighted_postings(df, key, fields)
+        spread_join(bare, terms, ["field", "term"], "df", key)
+        .join(F.broadcast(stats), "field")
         .withColumn("len_bucket", length)
         .repartitionByRange("field", "len_bucket", "term", key)
         .sortWithinPartitions("field", "len_bucket", "term", key)
-        .write.mode("overwrite").partitionBy("field", "len_bucket").parquet(path)
+        .write.mode("overwrite").partitionBy("field", "len_bucket").parquet(f"{path}/postings")
     )
-    return load_index(df.sparkSession, path, key, fields)
+    remove_path(spark, bare_path)
+    return load_index(spark, path, key, fields)
 
 
 def load_index(spark: SparkSession, path: str, key: str, fields: Sequence[str]) -> SearchIndex:
-    return SearchIndex(spark.read.parquet(path), key, tuple(fields))
+    postings, terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+    return SearchIndex(postings, terms, key, tuple(fields))
 
 
 # ---------------------------------------------------------------- scoring
@@ -245,10 +247,9 @@ def index_scores(
         return _empty_hits(index.postings, index.key)
     edits = [allowed_edits(w, fuzziness) for w in words]
     postings = index.postings.filter(F.col("field").isin(list(boosts)))
-    if "len_bucket" in postings.columns:
-        lengths = {n for w, k in zip(words, edits) for n in range(len(w) - k, len(w) + k + 1)}
-        buckets = {min(n, MAX_LENGTH_BUCKET) for n in lengths}
-        postings = postings.filter(F.col("len_bucket").isin(sorted(buckets)))
+    lengths = {n for w, k in zip(words, edits) for n in range(len(w) - k, len(w) + k + 1)}
+    buckets = {min(n, MAX_LENGTH_BUCKET) for n in lengths}
+    postings = postings.filter(F.col("len_bucket").isin(sorted(buckets)))
     hit = _any([matches_word(F.col("term"), w, k) for w, k in zip(words, edits)])
     scored = postings.filter(hit).withColumn(
         "s", _bm25(*map(F.col, ["tf", "field_len", "df", "n_docs", "avg_len"]))
@@ -322,7 +323,7 @@ def search_batch(
         queries.select(query_id, F.explode(tokenize(F.col(text), 1)).alias("word"))
         .groupBy(query_id, "word").agg(F.count("*").alias("times"))
     )
-    vocabulary = postings.groupBy("field", "term").agg(F.max("df").alias("df"))
+    vocabulary = index.terms.filter(F.col("field").isin(list(boosts)))
     similar = similar_terms(words.select("word").distinct(), vocabulary.select("term").distinct(), fuzziness)
     reach = (
         words.join(similar, "word").join(vocabulary, "term")
