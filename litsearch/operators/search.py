@@ -25,7 +25,7 @@ from litsearch.functions.fuzzy import (
 )
 from litsearch.functions.text import tokenize
 from litsearch.operators.joins import spread_join
-from litsearch.operators.layout import materialize
+from litsearch.operators.layout import materialize, rebalance
 from litsearch.session import by_key, remove_path, scratch_path
 
 K1, B = 1.2, 0.75
@@ -199,7 +199,7 @@ def matching_scores(
 
     One pass over the text: the scan keeps only the words that match the query, plus the first
     word of each field as a marker that carries the field's length. These few narrow rows are
-    written out, and both the statistics and the ranking are made from them.
+    written out, in files of even size, and the statistics and the ranking are made from them.
     """
     words, times = _words_of(query)
     fields = list(boosts)
@@ -208,14 +208,14 @@ def matching_scores(
     hit = _any([matches_word(F.col("term"), w, allowed_edits(w, fuzziness)) for w in words])
     docs = df.withColumn("_doc_boost", F.lit(1.0) if doc_boost is None else doc_boost.cast("double"))
     tokens = field_tokens(docs.select(key, "_doc_boost", *fields), key, fields, ["_doc_boost"])
-    found = materialize(
+    found = materialize(rebalance(
         tokens.select(key, "_doc_boost", "field", "field_len", F.posexplode("tokens").alias("_pos", "term"))
         .select(
             key, "_doc_boost", "field", "field_len",
             F.when(hit, F.col("term")).alias("term"), (F.col("_pos") == 0).alias("_first"),
         )
         .filter(F.col("_first") | F.col("term").isNotNull())
-    )
+    ))
     stats = (
         found.filter("_first").groupBy("field")
         .agg(F.count("*").alias("n_docs"), F.avg("field_len").alias("avg_len"))
@@ -262,8 +262,11 @@ def top_hits(scores: DataFrame, key: str, size: int = 20, offset: int = 0) -> Da
 
 
 def with_columns(hits: DataFrame, df: DataFrame, key: str, columns: Sequence[str] = HIT_COLUMNS) -> DataFrame:
-    """Hits with the stored columns of their documents. ``hits`` is a page of limited size."""
-    found = df.select(key, *columns).join(F.broadcast(hits), key)
+    """Hits with the stored columns of their documents.
+
+    Spark knows the size of a limited page and broadcasts it by itself.
+    """
+    found = df.select(key, *columns).join(hits, key)
     return found.select(key, *columns, "score").orderBy(F.desc("score"), key)
 
 

@@ -26,9 +26,10 @@ def rerank(
 ) -> DataFrame:
     """A page of keyword hits, ordered anew by vector score; hits without a vector fall out.
 
-    ``hits`` is a page of limited size, so it is broadcast and the vectors are filtered in place.
+    Spark knows the size of a limited page and broadcasts it by itself, so that the vectors are
+    filtered in place.
     """
-    found = emb.join(F.broadcast(hits.select(key)), key, "left_semi")
+    found = emb.join(hits.select(key), key, "left_semi")
     return vector_scores(found, query, key, vector).orderBy(F.desc("score"), key)
 
 

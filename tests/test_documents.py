@@ -32,6 +32,19 @@ def test_assemble_body(spark):
     assert dict(rows(out, "id", "body")) == BODIES
 
 
+def test_only_section_names_are_read_to_pick_a_file(spark, tmp_path):
+    spark.createDataFrame(FILES, "path string, body_text array<struct<text: string, section: string>>").write.parquet(str(tmp_path / "f"))
+    papers = spark.createDataFrame([(i, p) for i, p in PAPERS], "id int, pdf_json_files string")
+    out = body.assemble_body(papers, spark.read.parquet(str(tmp_path / "f")), "id")
+    plan = out._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan =="):]
+    schemas = [line.split("ReadSchema: ")[1].strip() for line in plan.splitlines() if "ReadSchema: " in line]
+    assert sorted(schemas) == [
+        "struct<path:string,body_text:array<struct<section:string>>>",
+        "struct<path:string,body_text:array<struct<text:string,section:string>>>",
+    ]
+
+
 def test_sections_to_text(spark):
     df = spark.createDataFrame(
         [(1, 2, "Results", "c"), (1, 0, "Abstract", "a"), (1, 1, None, "b"), (2, 0, "abstract", "x"), (3, 0, "r", None)],

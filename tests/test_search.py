@@ -125,6 +125,21 @@ def test_one_scan_of_the_texts(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_pages_are_broadcast(spark, docs):
+    hits = search.search(docs.repartition(3), "drug", "doc_id")
+    plan = search.with_columns(hits, papers(spark, "/root/testdata/sf0.1"), "doc_id")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan[plan.index("== Physical Plan =="):]
+
+
+def test_batch_limits_each_query_before_the_shuffle(spark, docs, tmp_path):
+    index = search.write_index(docs, "doc_id", list(search.DEFAULT_BOOSTS), str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "drug")], "q int, text string")
+    plan = search.search_batch(index, queries, "q", "text")._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan =="):]
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_spread_join_is_a_join(spark, how):
     facts = spark.range(1000).select("id", F.when(F.col("id") < 700, "hot").when(F.col("id") < 900, "warm")
