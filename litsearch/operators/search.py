@@ -76,8 +76,9 @@ def field_stats(postings: DataFrame, key: str) -> DataFrame:
 class SearchIndex:
     """Stored postings and vocabulary.
 
-    ``postings`` carry ``df``, ``n_docs`` and ``avg_len`` in every row, so that a search reads,
-    filters and ranks them without a join. ``terms`` has one (field, term, df) row per term.
+    ``postings`` are (key, field, term, weight) rows with the finished BM25 weight, so that a
+    search reads, filters and ranks them without a join. ``terms`` has one (field, term, df) row
+    per term.
     """
 
     postings: DataFrame
@@ -89,29 +90,29 @@ class SearchIndex:
 def write_index(df: DataFrame, key: str, fields: Sequence[str], path: str) -> SearchIndex:
     """Build and store an index, laid out so that a search opens only the files it needs.
 
-    The bare postings are written out first: frequencies, statistics and the join that adds them
-    read them from there, so the texts are split into words once. The final postings are in
-    folders by field and by term length (edit distance bounds the length), sorted by term. The
+    The counted postings are written out first: frequencies, statistics and the join that makes
+    weights of them read them from there, so the texts are split into words once. The final
+    postings are in folders by field and by term length (edit distance bounds the length), sorted by term. The
     key is part of the range split, so a very common term fills many files.
     """
     spark = df.sparkSession
-    bare_path = scratch_path(spark, "postings")
-    bare = materialize(build_postings(df, key, fields), bare_path)
-    frequency = bare.groupBy("field", "term").agg(F.count("*").alias("df"))
+    counted_path = scratch_path(spark, "postings")
+    counted = materialize(build_postings(df, key, fields), counted_path)
+    frequency = counted.groupBy("field", "term").agg(F.count("*").alias("df"))
     terms = materialize(
         frequency.repartitionByRange("field", "term").sortWithinPartitions("field", "term"), f"{path}/terms"
     )
-    stats = field_stats(bare, key)  # one row per field name given by the caller
+    stats = field_stats(counted, key)  # one row per field name given by the caller
     length = F.least(F.length("term"), F.lit(MAX_LENGTH_BUCKET))
     (
-        spread_join(bare, terms, ["field", "term"], "df", key)
+        spread_join(counted, terms, ["field", "term"], "df", key)
         .join(F.broadcast(stats), "field")
-        .withColumn("len_bucket", length)
+        .select(key, "field", "term", _bm25_weight().alias("weight"), length.alias("len_bucket"))
         .repartitionByRange("field", "len_bucket", "term", key)
         .sortWithinPartitions("field", "len_bucket", "term", key)
         .write.mode("overwrite").partitionBy("field", "len_bucket").parquet(f"{path}/postings")
     )
-    remove_path(spark, bare_path)
+    remove_path(spark, counted_path)
     return load_index(spark, path, key, fields)
 
 
@@ -122,7 +123,9 @@ def load_index(spark: SparkSession, path: str, key: str, fields: Sequence[str])
 
 # ---------------------------------------------------------------- scoring
 
-def _bm25(tf: Column, field_len: Column, df: Column, n: Column, avg_len: Column) -> Column:
+def _bm25_weight() -> Column:
+    """Weight of a term in a field, from the columns tf, field_len, df, n_docs and avg_len."""
+    tf, field_len, df, n, avg_len = map(F.col, ["tf", "field_len", "df", "n_docs", "avg_len"])
     idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
     return idf * ((K1 + 1) * tf / (tf + K1 * ((1 - B) + B * field_len / avg_len)))
 
@@ -231,7 +234,7 @@ def matching_scores(
     scored = (
         spread_join(matched, frequency, ["field", "term"], "df", key)
         .join(F.broadcast(stats), "field")
-        .withColumn("s", _bm25(*map(F.col, ["tf", "field_len", "df", "n_docs", "avg_len"])) * F.col("_doc_boost"))
+        .withColumn("s", _bm25_weight() * F.col("_doc_boost"))
     )
     return _rank_query(scored, key, words, times, boosts, fuzziness, operator)
 
@@ -251,9 +254,7 @@ def index_scores(
     buckets = {min(n, MAX_LENGTH_BUCKET) for n in lengths}
     postings = postings.filter(F.col("len_bucket").isin(sorted(buckets)))
     hit = _any([matches_word(F.col("term"), w, k) for w, k in zip(words, edits)])
-    scored = postings.filter(hit).withColumn(
-        "s", _bm25(*map(F.col, ["tf", "field_len", "df", "n_docs", "avg_len"]))
-    )
+    scored = postings.filter(hit).withColumnRenamed("weight", "s")
     return _rank_query(scored, index.key, words, times, boosts, fuzziness, operator)
 
 
@@ -350,10 +351,7 @@ def search_batch(
         spread_join(postings.select(key, "field", "term"), entries, ["field", "term"], "df", key)
         .select(query_id, "needed", key, "field").distinct()
     )
-    stored = postings.select(
-        key, "field", "term",
-        _bm25(*map(F.col, ["tf", "field_len", "df", "n_docs", "avg_len"])).alias("s"),
-    )
+    stored = postings.select(key, "field", "term", F.col("weight").alias("s"))
     wanted = reach.select(query_id, "field", "term", F.col("word").alias("word_no"), "times")
     scored = (
         candidates.join(stored, [key, "field"]).join(wanted, [query_id, "field", "term"])
