@@ -312,53 +312,69 @@ def to_response(hits: DataFrame, key: str, columns: Sequence[str] = HIT_COLUMNS)
 
 def search_batch(
     index: SearchIndex, queries: DataFrame, query_id: str, text: str,
-    boosts: Mapping[str, float] | None = None, fuzziness: Fuzziness = "AUTO", size: int = 20,
+    boosts: Mapping[str, float] | None = None, fuzziness: Fuzziness = "AUTO",
+    operator: str = "AND", size: int = 20,
 ) -> DataFrame:
-    """The best ``size`` hits of every query in a table, all words required: (query, key, score, rank).
+    """The best ``size`` hits of every query in a table: (query, key, score, rank).
+
+    ``query_id`` must be unique in ``queries``.
 
-    Every hit has all words of its query in one field, so it also has the query's rarest one:
-    candidates are read from the postings of that word only, and the other words are checked on
-    the candidates.
+    With ``operator="AND"`` every hit has all words of its query in one field, so it also has
+    the query's rarest one: candidates are read from the postings of that word only, and the
+    other words are checked on the candidates. With "OR" every posting of a word is a hit.
     """
     key = index.key
     boosts = dict(boosts or {f: DEFAULT_BOOSTS.get(f, 1.0) for f in index.fields})
     postings = index.postings.filter(F.col("field").isin(list(boosts)))
+    tokens = queries.select(query_id, tokenize(F.col(text), 1).alias("_words"))
     words = (
-        queries.select(query_id, F.explode(tokenize(F.col(text), 1)).alias("word"))
-        .groupBy(query_id, "word").agg(F.count("*").alias("times"))
+        tokens.select(
+            query_id, F.size(F.array_distinct("_words")).alias("needed"), F.explode("_words").alias("word")
+        )
+        .groupBy(query_id, "needed", "word").agg(F.count("*").alias("times"))
     )
     vocabulary = index.terms.filter(F.col("field").isin(list(boosts)))
     similar = similar_terms(words.select("word").distinct(), vocabulary.select("term").distinct(), fuzziness)
-    reach = (
+    # written out, as it is used several times below and costs the fuzzy join to make
+    reach = materialize(
         words.join(similar, "word").join(vocabulary, "term")
-        .select(query_id, "word", "times", "field", "term", "df")
+        .select(query_id, "needed", "word", "times", "field", "term", "df")
+    )
+    stored = postings.select(key, "field", "term", F.col("weight").alias("s"))
+    matched = (
+        _candidate_postings(stored, reach, key, query_id) if operator == "AND"
+        else spread_join(stored, reach, ["field", "term"], "df", key)
     )
+    scored = (
+        matched.select(query_id, key, "needed", "field", F.col("word").alias("word_no"), "times", "s")
+        .repartition(query_id, key)
+    )
+    scores = _score_documents(scored, [query_id, key], boosts, operator)
+    # Spark keeps only `size` rows per query in each task before the rows are brought together
+    best_first = Window.partitionBy(query_id).orderBy(F.desc("score"), key)
+    return scores.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= size)
+
+
+def _candidate_postings(
+    stored: DataFrame, reach: DataFrame, key: str, query_id: str
+) -> DataFrame:
+    """The postings of all words of a query on the documents that have its rarest word."""
     size_of = (
-        reach.groupBy(query_id, "field", "word").agg(F.sum("df").alias("n"))
-        .groupBy(query_id, "field")
+        reach.groupBy(query_id, "needed", "field", "word").agg(F.sum("df").alias("n"))
+        .groupBy(query_id, "needed", "field")
         .agg(F.count("*").alias("_matched"), F.min(F.struct("n", "word")).alias("rare"))
     )
-    needed = words.groupBy(query_id).agg(F.count("*").alias("needed"))
     # a query with a word that is nowhere in a field has no hit in that field
     rarest = (
-        size_of.join(needed, query_id).filter(F.col("_matched") == F.col("needed"))
+        size_of.filter(F.col("_matched") == F.col("needed"))
         .select(query_id, "needed", "field", F.col("rare.word").alias("word"))
     )
-    entries = rarest.join(reach, [query_id, "field", "word"]).select(
+    entries = rarest.join(reach.drop("needed"), [query_id, "field", "word"]).select(
         query_id, "needed", "field", "term", "df"
     )
     candidates = (
-        spread_join(postings.select(key, "field", "term"), entries, ["field", "term"], "df", key)
+        spread_join(stored.select(key, "field", "term"), entries, ["field", "term"], "df", key)
         .select(query_id, "needed", key, "field").distinct()
     )
-    stored = postings.select(key, "field", "term", F.col("weight").alias("s"))
-    wanted = reach.select(query_id, "field", "term", F.col("word").alias("word_no"), "times")
-    scored = (
-        candidates.join(stored, [key, "field"]).join(wanted, [query_id, "field", "term"])
-        .select(query_id, key, "needed", "field", "word_no", "times", "s")
-        .repartition(query_id, key)
-    )
-    scores = _score_documents(scored, [query_id, key], boosts, "AND")
-    # Spark keeps only `size` rows per query in each task before the rows are brought together
-    best_first = Window.partitionBy(query_id).orderBy(F.desc("score"), key)
-    return scores.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= size)
+    wanted = reach.select(query_id, "field", "term", "word", "times")
+    return candidates.join(stored, [key, "field"]).join(wanted, [query_id, "field", "term"])

@@ -6,7 +6,6 @@ model is fitted over the whole table, so that all vectors share one vocabulary.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Sequence
 
@@ -103,7 +102,3 @@ def save_tfidf(model: DataFrame, path: str) -> None:
 
 def load_tfidf(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def smooth_idf(n_docs: int, df: int) -> float:
-    return math.log((1 + n_docs) / (1 + df)) + 1

@@ -93,14 +93,15 @@ def test_index_scan_is_pruned(spark, docs, tmp_path):
     assert "field" in scan[:200] and "len_bucket" in scan[:300]
 
 
-def test_batch_equals_single_searches(spark, docs, tmp_path):
+@pytest.mark.parametrize("operator", ["AND", "OR"])
+def test_batch_equals_single_searches(spark, docs, tmp_path, operator):
     index = search.write_index(docs, "doc_id", list(search.DEFAULT_BOOSTS), str(tmp_path / "index"))
     texts = {1: "drug trial", 2: "durg", 3: "unheardof drug", 4: "the drug the", 5: ""}
     queries = spark.createDataFrame(list(texts.items()), "q int, text string")
-    batch = search.search_batch(index, queries, "q", "text")
+    batch = search.search_batch(index, queries, "q", "text", operator=operator)
     expected = [
         (q, r.doc_id, r.score, i + 1)
-        for q, text in texts.items() for i, r in enumerate(search.search(index, text).collect())
+        for q, text in texts.items() for i, r in enumerate(search.search(index, text, operator=operator).collect())
     ]
     assert rows(batch, "q", "doc_id", "score", "rank") == sorted(expected, key=repr)
 

@@ -142,8 +142,8 @@ def test_tfidf(spark, tmp_path):
     model = tfidf.fit_tfidf(docs, "t")
     idf = {r.term: r.idf for r in model.collect()}
     assert idf == {
-        "both": pytest.approx(tfidf.smooth_idf(4, 2)), "alpha": pytest.approx(tfidf.smooth_idf(4, 1)),
-        "beta": pytest.approx(tfidf.smooth_idf(4, 1)),
+        "both": pytest.approx(math.log(5 / 3) + 1), "alpha": pytest.approx(math.log(5 / 2) + 1),
+        "beta": pytest.approx(math.log(5 / 2) + 1),
     }
     weights = tfidf.transform_tfidf(docs, "id", "t", model)
     lengths = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("l")).collect()
