@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; on a cluster use the one spark-submit makes."""
@@ -27,14 +30,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder of ``spark.checkpoint.dir``.
 
     Written tables must outlive a lost executor, so a machine-local folder is used only in
-    local mode, where driver and executors are one process.
+    local mode, where driver and executors are one process. It is remembered per application,
+    because Spark refuses to change ``spark.checkpoint.dir`` of a running session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="litsearch-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _LOCAL_ROOTS.setdefault(
+            spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="litsearch-")
+        _LOCAL_ROOTS[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/litsearch/{name}-{uuid.uuid4().hex}"
 
 
