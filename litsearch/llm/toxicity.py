@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from litsearch.llm.common import crc_class, map_slices
 
 SAMPLE = 2000
-SAMPLE_CHARS = 12_000_000
+SAMPLE_CHARS = 6_000_000
 LANDMARKS = 128
-DECAY = 0.6
+DECAY = 0.85
 SPAN = 6
 #: Words longer than this are looked at in overlapping parts.
 LONGEST = 24
@@ -155,78 +155,100 @@ class ToxicWords:
         return float(1 / (1 + np.exp(-np.clip(self.slope * (margin - self.middle), -50, 50))))
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss by Newton steps; the last column of x is the bias."""
+def _machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss over ``x[rows]`` by Newton steps; the last column of x
+    is the bias."""
     w = np.zeros(x.shape[1])
     keep = np.full(x.shape[1], ridge)
     keep[-1] = 1e-6
 
+    def slack_of(w: np.ndarray) -> np.ndarray:
+        return np.maximum(0, 1 - y * (x @ w.astype(np.float32))[rows].astype(np.float64))
+
     def loss(w: np.ndarray) -> float:
-        return float((keep * w * w).sum() + (cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum())
+        return float((keep * w * w).sum() + (cost * slack_of(w) ** 2).sum())
 
     for _ in range(40):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        xo = x[on]
-        gradient = keep * w - xo.T @ (cost[on] * y[on] * slack[on])
-        step = np.linalg.solve(np.diag(keep) + xo.T @ (xo * cost[on][:, None]), gradient)
+        slack = slack_of(w)
+        gradient, curve = keep * w, np.diag(keep)
+        for at in range(0, len(rows), 20_000):
+            on = at + np.flatnonzero(slack[at : at + 20_000] > 0)
+            xo = x[rows[on]].astype(np.float64)
+            gradient = gradient - xo.T @ (cost[on] * y[on] * slack[on])
+            curve = curve + xo.T @ (xo * cost[on][:, None])
+        step = np.linalg.solve(curve, gradient)
         now = loss(w)
         while loss(w - step) > now and np.abs(step).max() > 1e-9:
             step = step / 2
         w = w - step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
     return w[:-1], float(w[-1])
 
 
 def train(docs: list[tuple[str, int]], landmarks: int = LANDMARKS) -> ToxicWords:
     """Fit on (text, label 0 or 1) pairs; every fourth document is kept for the curve."""
-    bags = [([{c for c in map(letters, words_of(s)) if c} for s in SENTENCE.split(t)], y) for t, y in docs]
+    number: dict[str, int] = {}  # of every part of every word
+    names: dict[str, int] = {}  # of every word
+
+    def coded(sentence: str) -> tuple[np.ndarray, np.ndarray]:
+        found = {c for c in map(letters, words_of(sentence)) if c}
+        return (np.array([names.setdefault(w, len(names)) for w in found], np.int32),
+                np.array([number.setdefault(p, len(number)) for w in found for p in parts(w)], np.int32))
+
+    bags = [([c for c in map(coded, SENTENCE.split(t)) if len(c[0])], y) for t, y in docs]
     fit, rest = [b for i, b in enumerate(bags) if i % 4 != 3], [b for i, b in enumerate(bags) if i % 4 == 3]
-    if not any(y for _, y in fit) or all(y for _, y in fit):
+    n = [sum(y == k for _, y in fit) for k in (0, 1)]
+    if not n[0] or not n[1]:
         return ToxicWords(["the"], np.zeros(1), 0.0, 0.0, 1e9)
-    counts: list[dict[str, int]] = [{}, {}]
-    for bag, y in fit:
-        for w in set().union(*bag):
-            counts[y][w] = counts[y].get(w, 0) + 1
-    n = [max(1, sum(y == k for _, y in fit)) for k in (0, 1)]
-    odds = {w: np.log((c + 0.1) / (n[1] + 0.2)) - np.log((counts[0].get(w, 0) + 0.1) / (n[0] + 0.2)) for w, c in counts[1].items()}
-    ranked = sorted((w for w in odds if 3 <= len(w) <= LONGEST), key=lambda w: (-odds[w] * counts[1][w] ** 0.5, w))
-    clean = sorted((w for w in counts[0] if 3 <= len(w) <= LONGEST), key=lambda w: (-counts[0][w], w))
-    marks = list(dict.fromkeys(ranked[: landmarks * 3 // 4] + clean[: landmarks // 4])) or ["the"]
+
+    def holding(which: int, of: int, size: int) -> np.ndarray:
+        """Documents of class ``of`` that hold each word (0) or part (1)."""
+        total = np.zeros(size, np.int64)
+        for bag, y in fit:
+            if y == of and bag:
+                total[np.unique(np.concatenate([s[which] for s in bag]))] += 1
+        return total
+
+    words = list(names)
+    clean, toxic = holding(0, 0, len(words)), holding(0, 1, len(words))
+    odds = np.log((toxic + 0.1) / (n[1] + 0.2)) - np.log((clean + 0.1) / (n[0] + 0.2))
+    usable = [i for i, w in enumerate(words) if 3 <= len(w) <= LONGEST]
+    ranked = sorted((i for i in usable if toxic[i]), key=lambda i: (-odds[i] * toxic[i] ** 0.5, words[i]))
+    common = sorted((i for i in usable if clean[i]), key=lambda i: (-clean[i], words[i]))
+    chosen_words = list(dict.fromkeys(ranked[: landmarks * 3 // 4] + common[: landmarks // 4]))
+    marks = [words[i] for i in chosen_words] or ["the"]
+    weight = np.maximum(0, odds[chosen_words]) if chosen_words else np.zeros(1)
     kernel = Kernel(marks)
-    vocabulary = sorted({p for bag, _ in bags for s in bag for w in s for p in parts(w)})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    k = kernel.rows(vocabulary).astype(np.float64)
     own = kernel.rows(marks).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     firm = value > 1e-3 * value.max()
     half = vector[:, firm] / np.sqrt(value[firm])
-    x = np.c_[k @ half, np.ones(len(k))]
-    # first guess of a word's suspicion: likeness to landmarks, by their odds
-    suspicion = (k * np.array([max(0.0, odds.get(w, 0.0)) for w in marks])).max(1)
-    negative, in_clean = np.unique(np.array(
-        [i for bag, y in fit if not y for i in {number[p] for s in bag for w in s for p in parts(w)}], int), return_counts=True)
-    price = in_clean * (n[1] / n[0])  # as if both classes had equally many documents
-    sentences = [[[number[p] for w in s for p in parts(w)] for s in bag if s] for bag, y in fit if y]
+    vocabulary = list(number)
+    x = np.ones((len(vocabulary), half.shape[1] + 1), np.float32)
+    # first guess of a word's suspicion: likeness to a landmark, by the landmark's odds
+    suspicion = np.zeros(len(vocabulary))
+    for at in range(0, len(vocabulary), 20_000):
+        k = kernel.rows(vocabulary[at : at + 20_000])
+        x[at : at + len(k), :-1] = k @ half
+        suspicion[at : at + len(k)] = (k * weight).max(1)
+    in_clean = holding(1, 0, len(vocabulary))
+    negative = np.flatnonzero(in_clean)
+    price = in_clean[negative] * (n[1] / n[0])  # as if both classes had equally many documents
     weights, bias = np.zeros(half.shape[1]), -1.0
     for _ in range(4):
-        chosen = []
-        for bag in sentences:
-            tops = [max(s, key=suspicion.__getitem__) for s in bag if s]
-            if tops:
-                worst = max(suspicion[t] for t in tops)
-                chosen += [t for t in tops if suspicion[t] >= worst - 0.1 * abs(worst)]
-        positive, often = np.unique(np.array(chosen, int), return_counts=True)
-        rows = np.r_[positive, negative]  # a word that clean documents have too stands on both sides
-        y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        cost = np.r_[often, price]
-        weights, bias = _machine(x[rows], y, cost)
-        suspicion = x[:, :-1] @ weights + bias
-    def worst_of(bag) -> float:
-        return max((suspicion[number[p]] for s in bag for w in s for p in parts(w)), default=bias)
-    held = [(worst_of(bag), y) for bag, y in (rest or fit)]
-    slope, middle = _curve(np.array([m for m, _ in held]), np.array([y for _, y in held]))
+        witness = []
+        for bag, y in fit:
+            if y and bag:
+                tops = np.array([s[1][suspicion[s[1]].argmax()] for s in bag])
+                worst = suspicion[tops].max()
+                witness.append(tops[suspicion[tops] >= worst - 0.1 * abs(worst)])
+        positive, often = np.unique(np.concatenate(witness) if witness else np.zeros(0, int), return_counts=True)
+        rows = np.r_[positive, negative].astype(int)  # a word that clean documents have too stands on both sides
+        weights, bias = _machine(x, rows, np.r_[np.ones(len(positive)), -np.ones(len(negative))], np.r_[often, price])
+        suspicion = (x[:, :-1] @ weights + bias).astype(np.float64)
+    margins = [(max((float(suspicion[s[1]].max()) for s in bag), default=bias), y) for bag, y in (rest or fit)]
+    slope, middle = _curve(np.array([m for m, _ in margins]), np.array([y for _, y in margins]))
     return ToxicWords(marks, (half @ weights).astype(np.float32), bias, slope, middle)
 
 
