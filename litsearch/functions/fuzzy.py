@@ -27,15 +27,21 @@ def query_words(text: str) -> list[str]:
     return [w for w in re.findall(r"\w+", text.lower())]
 
 
+def _fixed_edits(fuzziness: Fuzziness) -> int:
+    if int(fuzziness) not in (0, 1, 2):
+        raise ValueError(f"at most two edits are supported, got {fuzziness}")
+    return int(fuzziness)
+
+
 def allowed_edits(word: str, fuzziness: Fuzziness = "AUTO") -> int:
     if fuzziness != "AUTO":
-        return int(fuzziness)
+        return _fixed_edits(fuzziness)
     return 0 if len(word) <= 2 else 1 if len(word) <= 5 else 2
 
 
 def allowed_edits_col(word: Column, fuzziness: Fuzziness = "AUTO") -> Column:
     if fuzziness != "AUTO":
-        return F.lit(int(fuzziness))
+        return F.lit(_fixed_edits(fuzziness))
     n = F.length(word)
     return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
 

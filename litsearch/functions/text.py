@@ -33,8 +33,12 @@ def truncate_words(col: Column, n: int) -> Column:
 
 
 def key_hash(*cols: Column) -> Column:
-    """Hex MD5 of the key columns written one after the other; a missing value reads 'None'."""
-    return F.md5(F.concat(*[F.coalesce(c.cast("string"), F.lit("None")) for c in cols]))
+    """Hex MD5 of the key columns, each written as its length, a colon and its text.
+
+    So no two different keys read the same; a missing value is a hyphen, which no text can be.
+    """
+    cells = [c.cast("string") for c in cols]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-")) for c in cells]))
 
 
 # The HTML character references decoded in article text. '&amp;' has to come

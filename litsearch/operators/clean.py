@@ -116,7 +116,8 @@ def clean_text(
         text.select(key, F.posexplode(tokenize(F.col(col), 1)).alias("_pos", "_word"))
         .filter(~F.col("_word").isin(dropped))
     )
-    forms = lemmas.select(F.col("form").alias("_word"), F.lower("lemma").alias("_lemma"))
+    # a form listed twice takes the alphabetically first of its lemmas
+    forms = lemmas.groupBy(F.col("form").alias("_word")).agg(F.min(F.lower("lemma")).alias("_lemma"))
     word = strip(F.coalesce("_lemma", "_word"))
     texts = (
         tokens.join(forms, "_word", "left")

@@ -71,7 +71,7 @@ def feed_folder(day: Column) -> Column:
 
 
 def article_paragraphs(html: Column, container: str = "article") -> Column:
-    """Array of the paragraph texts in the first ``container`` element.
+    """Array of the paragraph texts in all ``container`` elements, in order.
 
     For pages whose containers do not nest. Comments, scripts and styles are removed first; a
     paragraph runs to its end tag, the next block element or the end of the container.
@@ -79,11 +79,14 @@ def article_paragraphs(html: Column, container: str = "article") -> Column:
     c = re.escape(container)
     page = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     page = F.regexp_replace(page, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", "")
-    inner = F.regexp_extract(page, rf"(?is)<{c}\b[^>]*>(.*?)(</{c}\s*>|$)", 1)
-    pieces = F.split(inner, r"(?i)<p(\s[^>]*)?>")
+    inner = F.regexp_extract_all(page, F.lit(rf"(?is)<{c}\b[^>]*>(.*?)(</{c}\s*>|$)"), 1)
     ends = rf"(?is)(</p\s*>|<({'|'.join(BLOCK_TAGS)})\b).*$"
+    def paragraphs(text: Column) -> Column:
+        pieces = F.split(text, r"(?i)<p(\s[^>]*)?>")
+        return F.slice(pieces, 2, F.size(pieces))  # what precedes the first paragraph is not one
+
     return F.transform(
-        F.slice(pieces, 2, F.size(pieces)),  # what precedes the first paragraph is not one
+        F.flatten(F.transform(inner, paragraphs)),
         lambda p: decode_entities(F.regexp_replace(F.regexp_replace(p, ends, ""), r"(?s)<[^>]*>", "")),
     )
 

@@ -88,9 +88,9 @@ def tfidf_stats(weights: DataFrame, key: str) -> DataFrame:
 def tfidf_search(weights: DataFrame, query_vector: DataFrame, key: str, k: int = 10) -> DataFrame:
     """The ``k`` documents closest to the query by cosine; those sharing no word score 0.
 
-    ``query_vector`` comes from :func:`tfidf_query_vector`, so it is no longer than the query.
+    ``query_vector`` is joined by Spark's own choice of method, whatever its size.
     """
-    q = F.broadcast(query_vector.select("term", F.col("weight").alias("_q")))
+    q = query_vector.select("term", F.col("weight").alias("_q"))
     # rounded, so that equal documents tie however their parts were added up
     score = F.round(F.sum(F.col("weight") * F.coalesce("_q", F.lit(0.0))), 9).alias("score")
     return weights.join(q, "term", "left").groupBy(key).agg(score).orderBy(F.desc("score"), key).limit(k)

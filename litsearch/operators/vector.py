@@ -10,9 +10,11 @@ from litsearch.functions.vectors import cosine, vector_literal
 
 
 def vector_scores(emb: DataFrame, query: Sequence[float], key: str, vector: str = "embedding") -> DataFrame:
-    """(key, score) with score = cosine + 1, for every vector."""
+    """(key, score) with score = cosine + 1, for every vector; one of another length is an error."""
     score = cosine(F.col(vector), vector_literal(query)) + 1.0
-    return emb.select(key, score.alias("score"))
+    fits = F.col(vector).isNull() | (F.size(vector) == len(query))
+    return emb.select(key, F.when(fits, score).otherwise(F.raise_error(F.concat(
+        F.lit(f"expected vectors of length {len(query)}, got "), F.size(vector).cast("string")))).alias("score"))
 
 
 def vector_search(
@@ -24,13 +26,19 @@ def vector_search(
 def rerank(
     hits: DataFrame, emb: DataFrame, query: Sequence[float], key: str, vector: str = "embedding"
 ) -> DataFrame:
-    """A page of keyword hits, ordered anew by vector score; hits without a vector fall out.
+    """A page of keyword hits, ordered anew by vector score; those without a vector come last, in
+    the order they had (by their own score, if they carry one), with a null score.
 
     Spark knows the size of a limited page and broadcasts it by itself, so that the vectors are
     filtered in place.
     """
     found = emb.join(hits.select(key), key, "left_semi")
-    return vector_scores(found, query, key, vector).orderBy(F.desc("score"), key)
+    order = F.col("score").desc() if "score" in hits.columns else F.col(key).asc()
+    scored = vector_scores(found, query, key, vector).withColumnRenamed("score", "_vector_score")
+    return (
+        hits.join(scored, key, "left").orderBy(F.desc_nulls_last("_vector_score"), order, key)
+        .select(key, F.col("_vector_score").alias("score"))
+    )
 
 
 def dimension_report(emb: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -16,7 +16,7 @@ from litsearch.operators.news import (
 )
 from litsearch.operators.search import DEFAULT_BOOSTS, SearchIndex, write_index
 from litsearch.operators.store import upsert
-from litsearch.sources.files import read_feeds, read_fulltext_json, write_articles, write_feed_metadata
+from litsearch.sources.files import load_articles, read_feeds, read_fulltext_json, write_articles, write_feed_metadata
 from litsearch.sources.tables import read_metadata_csv, write_papers
 
 
@@ -70,4 +70,4 @@ def ingest_news(
         )
     )
     write_articles(articles, f"{out}/articles")
-    return spark.read.parquet(f"{out}/articles")
+    return load_articles(spark, f"{out}/articles")

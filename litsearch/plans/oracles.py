@@ -143,7 +143,7 @@ ORACLES["vector_search"] = f"""SELECT vec_id AS doc_id, round({COSINE} + 1, 6) A
 FROM embeddings ORDER BY {COSINE} DESC, vec_id LIMIT 20"""
 ORACLES["vector_rerank"] = f"""{scores_cte(q.QUERY)}
 SELECT h.doc_id, round({COSINE} + 1, 6) AS score
-FROM ({page(50)}) h JOIN embeddings e ON e.vec_id = h.doc_id"""
+FROM ({page(50)}) h LEFT JOIN embeddings e ON e.vec_id = h.doc_id"""
 
 
 # ---- TF-IDF and text
@@ -268,9 +268,12 @@ PARAGRAPH = entities(
 ORACLES["article_text"] = ORACLES["article_text_nested"] = f"""WITH a AS (SELECT page_id,
   regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
   '(?is)<(script|style)\\b[^>]*>.*?</(script|style)\\s*>', '', 'g') AS h FROM pages),
-b AS (SELECT page_id, regexp_split_to_array(
-  regexp_extract(h, '(?is)<article\\b[^>]*>(.*?)(</article\\s*>|$)', 1), '(?i)<p(\\s[^>]*)?>') AS ps FROM a)
-SELECT page_id, array_to_string(list_transform(list_slice(ps, 2, len(ps)), lambda p: {PARAGRAPH} || chr(10)), '') AS body FROM b"""
+b AS (SELECT page_id, flatten(list_transform(
+  regexp_extract_all(h, '(?is)<article\\b[^>]*>(.*?)(</article\\s*>|$)', 1),
+  lambda c: regexp_split_to_array(c, '(?i)<p(\\s[^>]*)?>')[2:])) AS ps FROM a)
+SELECT page_id, coalesce(array_to_string(list_transform(ps, lambda p: {PARAGRAPH} || chr(10)), ''), '') AS body FROM b"""
+ORACLES["article_text_two"] = f"""WITH one AS ({ORACLES["article_text"]})
+SELECT a.page_id, concat(a.body, b.body) AS body FROM one a JOIN one b ON b.page_id = a.page_id + 1"""
 ORACLES["article_filename"] = f"""SELECT doc_id, concat(replace(replace(title, ' ', '_'), '/', '_'), '.txt') AS filename,
   CASE WHEN publish_time IS NULL THEN NULL ELSE 'rss_feeds_' || strftime(cast(publish_time AS date), '%m-%d-%Y') END AS folder
 FROM ({PAPERS}) p WHERE title IS NOT NULL"""
@@ -302,15 +305,16 @@ ORACLES["ingest_events"] = LATEST.format("true")
 
 # ---- duplicates and profiles
 
-GROUPS = "SELECT md5(text) AS key_hash, count(*) AS n_docs, min(doc_id) AS first_id FROM documents GROUP BY 1"
+KEY = "md5(coalesce(concat(length(text), ':', text), '-'))"
+GROUPS = f"SELECT {KEY} AS key_hash, count(*) AS n_docs, min(doc_id) AS first_id FROM documents GROUP BY 1"
 ORACLES["dup_groups"] = f"{GROUPS} HAVING count(*) > 1"
-ORACLES["dup_members"] = f"""SELECT md5(text) AS key_hash, doc_id FROM documents
-WHERE md5(text) IN (SELECT key_hash FROM ({GROUPS}) g WHERE n_docs > 1)"""
+ORACLES["dup_members"] = f"""SELECT {KEY} AS key_hash, doc_id FROM documents
+WHERE {KEY} IN (SELECT key_hash FROM ({GROUPS}) g WHERE n_docs > 1)"""
 ORACLES["dedup_first"] = "SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"
 ORACLES["dedup_none"] = "SELECT * FROM documents QUALIFY count(*) OVER (PARTITION BY text) = 1"
 REPORT = "SELECT cast(sum(n) AS bigint) AS n_before, {1} AS n_after FROM (SELECT count(*) AS n FROM documents GROUP BY {0}) g"
 ORACLES["dedup_report"] = REPORT.format("text", "count(*)")
-ORACLES["dedup_two_keys"] = REPORT.format("concat(lang, source)", "count(*) FILTER (WHERE n = 1)")
+ORACLES["dedup_two_keys"] = REPORT.format("lang, source", "count(*) FILTER (WHERE n = 1)")
 ORACLES["dedup_repeated_ids"] = "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1"
 ORACLES["count_all"] = "SELECT count(*) AS n_rows, cast(5 AS int) AS n_cols FROM documents"
 ORACLES["value_counts"] = "SELECT event_type, count(*) AS n FROM events GROUP BY 1"

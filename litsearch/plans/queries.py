@@ -188,6 +188,14 @@ def article_text(spark, d):
     return news.extract_article_text(table(spark, d, "pages")).select("page_id", "body")
 
 
+def article_text_two(spark, d):
+    """Pages put together with their successors: two containers in each."""
+    pages = table(spark, d, "pages")
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("html").alias("more"))
+    both = pages.join(after, "page_id").select("page_id", F.concat("html", "more").alias("html"))
+    return news.extract_article_text(both).select("page_id", "body")
+
+
 def article_text_nested(spark, d):
     pages = table(spark, d, "pages").withColumn("class_pattern", F.lit(""))
     return news.extract_nested_article_text(pages, container="article").select("page_id", "body")
@@ -447,7 +455,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tfidf_title_abstract, tfidf_stats, token_counts, term_counts, stopword_filter, clean_text,
         papers_clean, fill_typed, missing_flags, keyword_filter, contains_filter, pattern_filter,
         point_lookup, news_topic_filter, assemble_body, conversation_body, feed_entries,
-        feeds_without_rule, article_text, article_text_nested, article_filename, sentence_match,
+        feeds_without_rule, article_text, article_text_two, article_text_nested, article_filename, sentence_match,
         token_truncate, summarize_extractive, infer_batches, parquet_roundtrip, csv_roundtrip,
         bulk_actions, bulk_actions_auto_id, bulk_deletes, upsert_merge, append_union, delete_by_id,
         get_by_ids, embedding_dim_check, ingest_events, dup_groups, dup_members, dedup_first,

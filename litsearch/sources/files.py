@@ -46,14 +46,23 @@ def write_feed_metadata(feeds: DataFrame, path: str) -> None:
 
 
 def write_articles(articles: DataFrame, path: str, folder: str = "feed_date", feed: str = "feed_title") -> None:
-    """Articles in folders by date and feed; a date written again replaces that date only."""
+    """Articles in folders by date and feed, added to those that are there already."""
+    parts = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        articles.repartition(folder, feed, F.pmod(F.xxhash64("filename"), F.lit(64)))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(folder, feed).parquet(path)
+        articles.withColumn("written_at", F.current_timestamp())
+        .repartition(folder, feed, F.pmod(F.xxhash64("filename"), F.lit(parts)))
+        .write.mode("append").partitionBy(folder, feed).parquet(path)
     )
 
 
+def load_articles(spark: SparkSession, path: str, folder: str = "feed_date", feed: str = "feed_title") -> DataFrame:
+    """Written articles; of a file written more than once, the latest."""
+    stored = spark.read.parquet(path)
+    rest = [c for c in stored.columns if c not in (folder, feed, "filename", "written_at")]
+    latest = F.max_by(F.struct(*rest), F.struct("written_at", *rest)).alias("_row")
+    return stored.groupBy(folder, feed, "filename").agg(latest).select(folder, feed, "filename", "_row.*")
+
+
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """(path, body) of plain text files, one row per file however often it is listed."""
     return (

@@ -98,7 +98,7 @@ def test_text_functions(spark):
     ).first()
     assert row.two == ["élan_2"] and row.one == ["élan_2", "x"] and row.s == "Élan_2, x"
     assert row.e == "&lt; <b> '"
-    assert row.h1 == row.h2 and row.none == row.none_text
+    assert row.h1 != row.h2 and row.none != row.none_text
 
 
 def test_reports(spark):

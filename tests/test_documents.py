@@ -74,6 +74,19 @@ def test_flat_articles(spark):
     assert rows(nested, "id", "body") == expected
 
 
+def test_all_containers_of_a_page_count(spark):
+    page = spark.createDataFrame([("<article><p>a</p></article><p>x</p><article class='k'>t<p>b<p>c</article>",)], "html string")
+    assert news.extract_article_text(page).first().body == "a\nb\nc\n"
+
+
+def test_fuzziness_has_a_limit():
+    from litsearch.functions.fuzzy import allowed_edits, allowed_edits_col
+
+    for edits in (allowed_edits, allowed_edits_col):
+        with pytest.raises(ValueError):
+            edits("word" if edits is allowed_edits else F.lit("word"), 3)
+
+
 def test_nested_articles(spark):
     html = (
         "<div class='story-body main'><p>one</p><div class='ad'><p>two</p></div>"
