@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsearch.llm.common import components, forest, mix, stored
+from litsearch.llm.common import components, forest, mix, stored, tasks
 
 THRESHOLD = 0.93
 TABLES = 16
@@ -125,7 +125,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     units = stored(numbered.select("width", "node", "v").mapInPandas(unit_rows, "node bigint, unit binary"), "units")
     group = ["label", "width", "key"]
     busy = members.groupBy(*group).agg(F.count("*").alias("m"), F.max("own").alias("owned")).where("m > 1 and owned")
-    edges = _tiled(members.join(busy, group), units, group, _cell_edges(threshold), "a bigint, b bigint")
+    # cells are mostly small: a share of a partition's cells goes to Python at a time
+    dealt = _dealt(members.join(busy, group), units)
+    share = F.pmod(F.xxhash64(*group, "low", "high"), F.lit(32 * tasks(vectors))).alias("share")
+    edges = dealt.select(share, *group, "node", "own", "tile", "low", "high", "unit").groupBy("share").applyInPandas(
+        _cell_edges(threshold, group), "a bigint, b bigint")
     # nodes are hashes: components are named by their smallest node here, by the smallest id below
     found = components(stored(edges, "cell-edges"), "vector-components")
     inside = found.join(numbered.select("node", "rep", "n"), "node")
@@ -143,14 +147,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _tiled(members: DataFrame, units: DataFrame, group: list[str], fn, schema: str) -> DataFrame:
-    """``fn`` on every pair of tiles of every group of ``members`` (with m, the group's size)."""
+def _dealt(members: DataFrame, units: DataFrame) -> DataFrame:
+    """``members`` (with m, the size of their group) once per pair of tiles, with their vectors."""
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     tile = F.pmod(F.xxhash64(F.lit(7), "node"), F.greatest(F.lit(1), tiles)).cast("int")
-    dealt = (members.withColumn("tile", tile).withColumn("tiles", tiles)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-             .join(units, "node"))
+    return (members.withColumn("tile", tile).withColumn("tiles", tiles)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            .withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+            .join(units, "node"))
+
+
+def _tiled(members: DataFrame, units: DataFrame, group: list[str], fn, schema: str) -> DataFrame:
+    """``fn`` on every pair of tiles of every group of ``members`` (with m, the group's size)."""
+    dealt = _dealt(members, units)
     columns = [c for c in ("node", "n", "own", "tile", "low", "high", "unit") if c in dealt.columns]
     return dealt.select(*group, *columns).groupBy(*group, "low", "high").applyInPandas(fn, schema)
 
@@ -162,17 +171,32 @@ def _sides(batch: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
     return batch[batch["tile"] == low], batch[batch["tile"] == high], False
 
 
-def _cell_edges(threshold: float):
+def _cell_edges(threshold: float, group: list[str]):
+    """Spanning edges of the links found in each pair of tiles of each cell."""
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("own", ascending=False).drop_duplicates("node")
-        a, b, same = _sides(batch)
-        if not len(a) or not len(b) or (same and len(a) < 2):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        hit = _matrix(a["unit"]) @ _matrix(b["unit"]).T >= threshold
-        hit &= a["own"].to_numpy()[:, None] | b["own"].to_numpy()[None, :]
-        i, j = np.nonzero(np.triu(hit, 1) if same else hit)
-        nodes = np.unique(np.r_[a["node"].to_numpy()[i], b["node"].to_numpy()[j]])
-        root = forest(len(nodes), np.searchsorted(nodes, a["node"].to_numpy()[i]), np.searchsorted(nodes, b["node"].to_numpy()[j]))
+        # a vector that owns and probes a cell counts as owner
+        batch = batch.sort_values("own", ascending=False).drop_duplicates([*group, "low", "high", "node"])
+        cell = batch.groupby([*group, "low", "high"], sort=False).ngroup().to_numpy()
+        order = np.argsort(cell, kind="stable")
+        node, own, tile = (batch[c].to_numpy()[order] for c in ("node", "own", "tile"))
+        low, high, unit = (batch[c].to_numpy()[order] for c in ("low", "high", "unit"))
+        starts = np.flatnonzero(np.diff(cell[order], prepend=-1))
+        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for begin, end in zip(starts, np.r_[starts[1:], len(order)], strict=True):
+            if end - begin < 2:
+                continue
+            x = _matrix(unit[begin:end])
+            hit = np.triu(x @ x.T >= threshold, 1)
+            mine = own[begin:end].astype(bool)
+            hit &= mine[:, None] | mine[None, :]
+            if low[begin] != high[begin]:  # pairs within one tile belong to that tile's own task
+                hit &= tile[begin:end, None] != tile[None, begin:end]
+            a, b = np.nonzero(hit)
+            i.append(node[begin + a])
+            j.append(node[begin + b])
+        i, j = np.concatenate(i), np.concatenate(j)
+        nodes = np.unique(np.r_[i, j])
+        root = forest(len(nodes), np.searchsorted(nodes, i), np.searchsorted(nodes, j))
         far = root != np.arange(len(nodes))
         return pd.DataFrame({"a": nodes[far], "b": nodes[root[far]]})
 
