@@ -32,8 +32,10 @@ K1, B = 1.2, 0.75
 SCORE_DIGITS = 9
 DEFAULT_BOOSTS = {"title": 2.0, "abstract": 1.0, "body": 1.0}
 HIT_COLUMNS = ["title", "authors", "abstract", "body", "url", "publish_time"]
-# Terms longer than this share one partition of a stored index.
+# Terms longer than this share one folder of a stored vocabulary.
 MAX_LENGTH_BUCKET = 24
+# Folders per field that stored postings are dealt to by the hash of their term.
+TERM_BUCKETS = 32
 
 
 # ---------------------------------------------------------------- postings
@@ -50,17 +52,22 @@ def field_tokens(df: DataFrame, key: str, fields: Sequence[str], carry: Sequence
     return df.select(key, *carry, F.inline(per_field)).withColumn("field_len", F.size("tokens"))
 
 
-def build_postings(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+def build_postings(df: DataFrame, key: str, fields: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """(key, field, term, tf, field_len): how often each term is in each field of each document.
 
+    ``carry`` names columns of the document that every posting keeps.
+
     The text is shuffled once by key (fewer bytes than one row per term would be); counting the
     terms of a document then stays inside its partition.
     """
-    tokens = field_tokens(by_key(df.select(key, *fields), key), key, fields)
+    tokens = field_tokens(by_key(df.select(key, *fields, *carry), key), key, fields, carry)
     return (
-        tokens.select(key, "field", "field_len", F.explode("tokens").alias("term"))
+        tokens.select(key, *carry, "field", "field_len", F.explode("tokens").alias("term"))
         .groupBy(key, "field", "term")
-        .agg(F.count("*").alias("tf"), F.first("field_len").alias("field_len"))
+        .agg(
+            F.count("*").alias("tf"), F.first("field_len").alias("field_len"),
+            *[F.first(c).alias(c) for c in carry],
+        )
     )
 
 
@@ -76,9 +83,9 @@ def field_stats(postings: DataFrame, key: str) -> DataFrame:
 class SearchIndex:
     """Stored postings and vocabulary.
 
-    ``postings`` are (key, field, term, weight) rows with the finished BM25 weight, so that a
-    search reads, filters and ranks them without a join. ``terms`` has one (field, term, df) row
-    per term.
+    ``postings`` are (key, field, term, weight, carried columns) rows with the finished BM25
+    weight, in folders by field and term bucket. ``terms`` has one (field, term, df, bucket) row
+    per term, in folders by field and term length.
     """
 
     postings: DataFrame
@@ -87,30 +94,41 @@ class SearchIndex:
     fields: tuple[str, ...]
 
 
-def write_index(df: DataFrame, key: str, fields: Sequence[str], path: str) -> SearchIndex:
+def write_index(
+    df: DataFrame, key: str, fields: Sequence[str], path: str,
+    carry: Mapping[str, Column] | None = None, buckets: int = TERM_BUCKETS,
+) -> SearchIndex:
     """Build and store an index, laid out so that a search opens only the files it needs.
 
     The counted postings are written out first: frequencies, statistics and the join that makes
-    weights of them read them from there, so the texts are split into words once. The final
-    postings are in folders by field and by term length (edit distance bounds the length), sorted by term. The
-    key is part of the range split, so a very common term fills many files.
+    weights of them read them from there, so the texts are split into words once. A search finds
+    the terms it wants in the vocabulary, whose folders are by field and term length (edit distance
+    bounds the length), and then opens the postings folders those terms are in. The key is part of
+    the range split of the postings, so a very common term fills many files. ``carry`` names
+    expressions over ``df`` that postings keep, for document boosts.
     """
     spark = df.sparkSession
+    carry = dict(carry or {})
     counted_path = scratch_path(spark, "postings")
-    counted = materialize(build_postings(df, key, fields), counted_path)
-    frequency = counted.groupBy("field", "term").agg(F.count("*").alias("df"))
-    terms = materialize(
-        frequency.repartitionByRange("field", "term").sortWithinPartitions("field", "term"), f"{path}/terms"
+    counted = materialize(build_postings(df.withColumns(carry), key, fields, list(carry)), counted_path)
+    length = F.least(F.length("term"), F.lit(MAX_LENGTH_BUCKET))
+    bucket = F.pmod(F.hash("term"), F.lit(buckets))
+    (
+        counted.groupBy("field", "term").agg(F.count("*").alias("df"))
+        .select("field", "term", "df", bucket.alias("bucket"), length.alias("len_bucket"))
+        .repartitionByRange("field", "len_bucket", "term")
+        .sortWithinPartitions("field", "len_bucket", "term")
+        .write.mode("overwrite").partitionBy("field", "len_bucket").parquet(f"{path}/terms")
     )
+    frequency = spark.read.parquet(f"{path}/terms").select("field", "term", "df")
     stats = field_stats(counted, key)  # one row per field name given by the caller
-    length = F.least(F.length("term"), F.lit(MAX_LENGTH_BUCKET))
     (
-        spread_join(counted, terms, ["field", "term"], "df", key)
+        spread_join(counted, frequency, ["field", "term"], "df", key)
         .join(F.broadcast(stats), "field")
-        .select(key, "field", "term", _bm25_weight().alias("weight"), length.alias("len_bucket"))
-        .repartitionByRange("field", "len_bucket", "term", key)
-        .sortWithinPartitions("field", "len_bucket", "term", key)
-        .write.mode("overwrite").partitionBy("field", "len_bucket").parquet(f"{path}/postings")
+        .select(key, *carry, "field", "term", _bm25_weight().alias("weight"), bucket.alias("bucket"))
+        .repartitionByRange("field", "bucket", "term", key)
+        .sortWithinPartitions("field", "bucket", "term", key)
+        .write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{path}/postings")
     )
     remove_path(spark, counted_path)
     return load_index(spark, path, key, fields)
@@ -180,11 +198,12 @@ def _empty_hits(df: DataFrame, key: str) -> DataFrame:
 
 def _rank_query(
     matched: DataFrame, key: str, words: Sequence[str], times: Sequence[int],
-    boosts: Mapping[str, float], fuzziness: Fuzziness, operator: str,
+    boosts: Mapping[str, float], operator: str,
 ) -> DataFrame:
+    """(key, score) from the postings of matching terms, ``word_nos`` being the words they match."""
     counts = F.array(*[F.lit(t) for t in times])
     scored = (
-        matched.withColumn("word_no", F.explode(_matched_words(words, fuzziness)))
+        matched.withColumn("word_no", F.explode("word_nos"))
         .select(
             key, F.lit(len(words)).alias("needed"), "field", "word_no",
             counts[F.col("word_no")].alias("times"), "s",
@@ -235,27 +254,40 @@ def matching_scores(
         spread_join(matched, frequency, ["field", "term"], "df", key)
         .join(F.broadcast(stats), "field")
         .withColumn("s", _bm25_weight() * F.col("_doc_boost"))
+        .withColumn("word_nos", _matched_words(words, fuzziness))
     )
-    return _rank_query(scored, key, words, times, boosts, fuzziness, operator)
+    return _rank_query(scored, key, words, times, boosts, operator)
 
 
 def index_scores(
     index: SearchIndex, query: str, boosts: Mapping[str, float] | None = None,
-    fuzziness: Fuzziness = "AUTO", operator: str = "AND",
+    fuzziness: Fuzziness = "AUTO", operator: str = "AND", doc_boost: Column | None = None,
 ) -> DataFrame:
-    """(key, score) of every document that matches, from stored postings."""
+    """(key, score) of every document that matches, from a stored index.
+
+    The vocabulary is searched first and the terms found are written out, so that their size is
+    known when they meet the postings. Only their buckets are opened; the list of these is never
+    longer than the number of buckets. ``doc_boost`` may use the columns the postings carry.
+    """
     boosts = dict(boosts or {f: DEFAULT_BOOSTS.get(f, 1.0) for f in index.fields})
     words, times = _words_of(query)
     if not words:
         return _empty_hits(index.postings, index.key)
     edits = [allowed_edits(w, fuzziness) for w in words]
-    postings = index.postings.filter(F.col("field").isin(list(boosts)))
+    in_fields = F.col("field").isin(list(boosts))
     lengths = {n for w, k in zip(words, edits) for n in range(len(w) - k, len(w) + k + 1)}
-    buckets = {min(n, MAX_LENGTH_BUCKET) for n in lengths}
-    postings = postings.filter(F.col("len_bucket").isin(sorted(buckets)))
+    near = F.col("len_bucket").isin(sorted({min(n, MAX_LENGTH_BUCKET) for n in lengths}))
     hit = _any([matches_word(F.col("term"), w, k) for w, k in zip(words, edits)])
-    scored = postings.filter(hit).withColumnRenamed("weight", "s")
-    return _rank_query(scored, index.key, words, times, boosts, fuzziness, operator)
+    terms = materialize(
+        index.terms.filter(in_fields & near).filter(hit)
+        .select("field", "term", "df", "bucket", _matched_words(words, fuzziness).alias("word_nos"))
+    )
+    wanted = sorted(r.bucket for r in terms.select("bucket").distinct().collect())
+    postings = index.postings.filter(in_fields & F.col("bucket").isin(wanted)).drop("bucket")
+    boost = F.lit(1.0) if doc_boost is None else doc_boost.cast("double")
+    found = spread_join(postings, terms.drop("bucket"), ["field", "term"], "df", index.key)
+    scored = found.withColumn("s", F.col("weight") * boost)
+    return _rank_query(scored, index.key, words, times, boosts, operator)
 
 
 def top_hits(scores: DataFrame, key: str, size: int = 20, offset: int = 0) -> DataFrame:
@@ -276,11 +308,12 @@ def search(
     boosts: Mapping[str, float] | None = None, fuzziness: Fuzziness = "AUTO",
     operator: str = "AND", offset: int = 0, size: int = 20, doc_boost: Column | None = None,
 ) -> DataFrame:
-    """One page of (key, score) hits, best first, from documents or from a stored index."""
+    """One page of (key, score) hits, best first, from documents or from a stored index.
+
+    ``doc_boost`` is over the columns of the documents, or over those that the index carries.
+    """
     if isinstance(source, SearchIndex):
-        if doc_boost is not None:
-            raise ValueError("doc_boost needs the documents, not an index")
-        scores, key = index_scores(source, query, boosts, fuzziness, operator), source.key
+        scores, key = index_scores(source, query, boosts, fuzziness, operator, doc_boost), source.key
     else:
         if key is None:
             raise ValueError("searching documents needs the name of their key column")
@@ -321,7 +354,8 @@ def search_batch(
 
     With ``operator="AND"`` every hit has all words of its query in one field, so it also has
     the query's rarest one: candidates are read from the postings of that word only, and the
-    other words are checked on the candidates. With "OR" every posting of a word is a hit.
+    other words are checked on the candidates. With "OR" every posting of a word is a hit. Either
+    way postings of terms that no query reaches are left out first.
     """
     key = index.key
     boosts = dict(boosts or {f: DEFAULT_BOOSTS.get(f, 1.0) for f in index.fields})
@@ -340,7 +374,9 @@ def search_batch(
         words.join(similar, "word").join(vocabulary, "term")
         .select(query_id, "needed", "word", "times", "field", "term", "df")
     )
-    stored = postings.select(key, "field", "term", F.col("weight").alias("s"))
+    wanted = reach.groupBy("field", "term").agg(F.max("df").alias("df"))
+    stored = spread_join(postings.select(key, "field", "term", F.col("weight").alias("s")), wanted,
+                         ["field", "term"], "df", key).drop("df")
     matched = (
         _candidate_postings(stored, reach, key, query_id) if operator == "AND"
         else spread_join(stored, reach, ["field", "term"], "df", key)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from litsearch.functions.fuzzy import query_words
 from litsearch.functions.text import remove_stopwords, tokenize
 from litsearch.operators.joins import spread_join
+from litsearch.operators.layout import materialize
 from litsearch.session import by_key
 
 
@@ -88,12 +89,19 @@ def tfidf_stats(weights: DataFrame, key: str) -> DataFrame:
 def tfidf_search(weights: DataFrame, query_vector: DataFrame, key: str, k: int = 10) -> DataFrame:
     """The ``k`` documents closest to the query by cosine; those sharing no word score 0.
 
-    ``query_vector`` is joined by Spark's own choice of method, whatever its size.
+    Only the weights of the query's terms are added up. Documents without any of them are looked
+    for, lowest keys first, only where fewer than ``k`` have one. ``query_vector`` is joined by
+    Spark's own choice of method, whatever its size.
     """
     q = query_vector.select("term", F.col("weight").alias("_q"))
     # rounded, so that equal documents tie however their parts were added up
-    score = F.round(F.sum(F.col("weight") * F.coalesce("_q", F.lit(0.0))), 9).alias("score")
-    return weights.join(q, "term", "left").groupBy(key).agg(score).orderBy(F.desc("score"), key).limit(k)
+    score = F.round(F.sum(F.col("weight") * F.col("_q")), 9).alias("score")
+    best = [F.desc("score"), key]
+    hits = materialize(weights.join(q, "term").groupBy(key).agg(score).orderBy(*best).limit(k))
+    if hits.count() == k:
+        return hits.orderBy(*best)
+    others = weights.select(key).join(hits, key, "left_anti").distinct().orderBy(key).limit(k)
+    return hits.unionByName(others.withColumn("score", F.lit(0.0))).orderBy(*best).limit(k)
 
 
 def save_tfidf(model: DataFrame, path: str) -> None:

@@ -97,6 +97,7 @@ SELECT doc_id, title, authors, abstract, body, url, publish_time, round(score, 6
 FROM ({page(20)}) h JOIN papers USING (doc_id)"""
 ORACLES["search_exact"] = hits(q.QUERY, fuzziness=0)
 ORACLES["search_indexed"] = hits(q.QUERY)
+ORACLES["search_indexed_fuzzy"] = hits(q.MISSPELT_QUERY)
 ORACLES["search_title"] = hits(q.TITLE_QUERY, fields={"title": 1.0}, fuzziness=0, operator="OR")
 ORACLES["search_paged"] = hits(q.QUERY, 30, 20)
 ORACLES["search_prefer_complete"] = hits(
@@ -104,6 +105,7 @@ ORACLES["search_prefer_complete"] = hits(
     doc_boost="1 + CASE WHEN coalesce(abstract, '') <> '' THEN 0.5 ELSE 0 END"
               " + CASE WHEN coalesce(url, '') <> '' THEN 0.5 ELSE 0 END",
 )
+ORACLES["search_prefer_complete_indexed"] = ORACLES["search_prefer_complete"]
 ORACLES["search_response"] = f"""{scores_cte(q.QUERY)},
 hits AS (SELECT doc_id, round(score, 6) AS score FROM ({page(20)}) h)
 SELECT concat('{{"status":200,"papers":[', string_agg(cast(to_json({{

@@ -287,7 +287,7 @@ def tfidf_stats(spark, d):
 
 def tfidf_search(spark, d):
     docs = _docs(spark, d)
-    model = tfidf.fit_tfidf(docs, "text")
+    model = layout.materialize(tfidf.fit_tfidf(docs, "text"))
     weights = tfidf.transform_tfidf(docs, "doc_id", "text", model)
     hits = tfidf.tfidf_search(weights, tfidf.tfidf_query_vector(model, TFIDF_QUERY), "doc_id")
     return hits.select("doc_id", _r6("score"))
@@ -325,6 +325,17 @@ def search_indexed(spark, d):
     return search.search(_index(spark, d), QUERY).select("doc_id", _r6("score"))
 
 
+def search_indexed_fuzzy(spark, d):
+    return search.search(_index(spark, d), MISSPELT_QUERY).select("doc_id", _r6("score"))
+
+
+def search_prefer_complete_indexed(spark, d):
+    carry = {"complete": search.prefer_complete(0.5)}
+    fields = list(search.DEFAULT_BOOSTS)
+    index = search.write_index(papers(spark, d), "doc_id", fields, scratch_path(spark, "index"), carry)
+    return search.search(index, QUERY, doc_boost=F.col("complete")).select("doc_id", _r6("score"))
+
+
 def search_title(spark, d):
     hits = search.search(papers(spark, d), TITLE_QUERY, "doc_id", {"title": 1}, 0, "OR")
     return hits.select("doc_id", _r6("score"))
@@ -449,8 +460,8 @@ def sample_rows(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        search_fuzzy, search_exact, search_indexed, search_title, search_paged, search_response,
-        search_prefer_complete, search_batch, match_all, fuzzy_terms, postings, vector_search,
+        search_fuzzy, search_exact, search_indexed, search_indexed_fuzzy, search_title, search_paged, search_response,
+        search_prefer_complete, search_prefer_complete_indexed, search_batch, match_all, fuzzy_terms, postings, vector_search,
         vector_rerank, tfidf_search, tfidf_idf, tfidf_weights, tfidf_query_vector,
         tfidf_title_abstract, tfidf_stats, token_counts, term_counts, stopword_filter, clean_text,
         papers_clean, fill_typed, missing_flags, keyword_filter, contains_filter, pattern_filter,

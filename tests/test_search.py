@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from conftest import rows
@@ -82,15 +83,45 @@ def test_index_gives_the_same_hits(spark, docs, tmp_path):
         direct = rows(search.search(docs, query, "doc_id"), "doc_id", "score")
         assert rows(search.search(index, query), "doc_id", "score") == direct
         assert rows(search.search(again, query), "doc_id", "score") == direct
-    with pytest.raises(ValueError):
-        search.search(index, "drug", doc_boost=F.lit(2))
 
 
-def test_index_scan_is_pruned(spark, docs, tmp_path):
+def test_index_carries_document_boosts(spark, docs, tmp_path):
+    index = search.write_index(
+        docs, "doc_id", list(search.DEFAULT_BOOSTS), str(tmp_path / "index"), {"complete": search.prefer_complete(0.5)})
+    for query in ("drug trial", "durg", "drug unheardof"):
+        direct = search.search(docs, query, "doc_id", doc_boost=search.prefer_complete(0.5))
+        stored = search.search(index, query, doc_boost=F.col("complete"))
+        assert rows(stored, "doc_id", "score") == rows(direct, "doc_id", "score")
+
+
+def test_index_scan_opens_matching_buckets_only(spark, docs, tmp_path):
+    index = search.write_index(docs, "doc_id", list(search.DEFAULT_BOOSTS), str(tmp_path / "index"))
+    hit = index.terms.filter("field = 'title' and term = 'drug'").first()
+    plan = search.index_scores(index, "durg", {"title": 1})._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan =="):]
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "weight" in line]
+    assert scans
+    for scan in scans:
+        filters = scan[scan.index("PartitionFilters"):scan.index("PushedFilters")]
+        assert "field" in filters and re.search(rf"\(bucket#\d+ = {hit.bucket}\)|bucket#\d+ IN", filters)
+
+
+def test_no_posting_is_joined_to_candidates_before_the_term_filter(spark, docs, tmp_path):
     index = search.write_index(docs, "doc_id", list(search.DEFAULT_BOOSTS), str(tmp_path / "index"))
-    plan = search.index_scores(index, "drug", {"title": 1})._jdf.queryExecution().toString()
-    scan = plan[plan.index("PartitionFilters"):]
-    assert "field" in scan[:200] and "len_bucket" in scan[:300]
+    queries = spark.createDataFrame([(1, "drug trial")], "q int, text string")
+    plan = search.search_batch(index, queries, "q", "text")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    scans = [i for i, line in enumerate(lines) if "Relation" in line and "weight" in line]
+    assert scans
+    for i in scans:  # the nearest inner join above a postings scan is by term
+        above, level = [], depth[i]
+        for j in range(i, -1, -1):
+            if depth[j] < level:
+                level = depth[j]
+                above.append(lines[j])
+        nearest = next(line for line in above if "Join Inner" in line)
+        assert "term" in nearest
 
 
 @pytest.mark.parametrize("operator", ["AND", "OR"])
