@@ -12,6 +12,8 @@ from litsearch.session import scratch_path
 
 # monotonically_increasing_id() is the partition number above the row number in the partition
 _ROW_BITS = 33
+# limits' worth of rows in a block of byte batches
+BLOCK_BATCHES = 16
 
 
 def repartition_by_size(df: DataFrame, mb: int = 100, total_bytes: int | None = None) -> DataFrame:
@@ -84,23 +86,37 @@ def with_chunk_id(df: DataFrame, order_by: Sequence[str], rows: int = 1000, out:
 
 def with_byte_batches(
     df: DataFrame, order_by: Sequence[str], max_bytes: int,
-    size: Column | None = None, out: str = "batch_id",
+    size: Column | None = None, out: str = "batch_id", oversize: str = "oversize",
 ) -> DataFrame:
-    """Number consecutive batches of at most ``max_bytes`` bytes of text.
+    """Number consecutive batches of at most ``max_bytes`` bytes of text by their first row's number.
 
-    The running size is cut at multiples of half the limit: a batch starts inside its half and
-    ends with it, so rows up to half the limit never overfill it. A larger row is put alone in a
-    batch of its own, whatever its size.
+    A batch takes rows as long as they fit. A row above the limit is a batch by itself and marked
+    in ``oversize``; a missing size is 0. So that batches can be found in parallel, they also end
+    with blocks of about ``BLOCK_BATCHES`` limits, which depend on the data alone. A row counts as
+    one byte more than its size for these, so that no block has many rows; only row numbers and
+    sizes of a block are brought together, never texts.
     """
-    half = max(1, max_bytes // 2)
     size = row_bytes(df) if size is None else size
-    sized = df.withColumn("_size", size.cast("bigint"))
-    small = F.when(F.col("_size") <= half, F.col("_size")).otherwise(F.lit(0))
-    placed = with_row_number(sized, order_by, "_row_no", small, "_end")
-    slot = F.floor((F.col("_end") - small) / half)
-    large = F.col("_size") > half
-    batch = F.when(large, F.concat_ws("-", slot, F.col("_row_no"))).otherwise(slot.cast("string"))
-    return placed.withColumn(out, batch).drop("_size", "_row_no", "_end")
+    sized = df.withColumn("_size", F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint")))
+    placed = with_row_number(sized, order_by, "_row_no", F.col("_size") + 1, "_end")
+    block = F.floor((F.col("_end") - F.col("_size") - 1) / F.lit(BLOCK_BATCHES * max_bytes))
+    placed = placed.withColumn("_block", block)
+    none = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(0).cast("bigint").alias("filled"))
+
+    def take(batch: Column, row: Column) -> Column:
+        full = (F.size(batch["starts"]) == 0) | (batch["filled"] + row["_size"] > max_bytes)
+        first = F.concat(batch["starts"], F.array(row["_row_no"]))
+        return F.struct(
+            F.when(full, first).otherwise(batch["starts"]).alias("starts"),
+            F.when(full, row["_size"]).otherwise(batch["filled"] + row["_size"]).alias("filled"),
+        )
+
+    in_order = F.array_sort(F.collect_list(F.struct("_row_no", "_size")))
+    starts = placed.groupBy("_block").agg(in_order.alias("_rows")).select(
+        "_block", F.aggregate("_rows", none, take, lambda batch: batch["starts"]).alias("_starts"))
+    own = F.array_max(F.filter("_starts", lambda first: first <= F.col("_row_no")))
+    return placed.join(starts, "_block").select(
+        *df.columns, own.alias(out), (F.col("_size") > max_bytes).alias(oversize))
 
 
 def row_slice(df: DataFrame, order_by: Sequence[str], first: int, last: int) -> DataFrame:

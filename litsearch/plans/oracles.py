@@ -342,11 +342,18 @@ ORACLES["partition_total"] = """SELECT count(*) AS n_rows,
 
 ORACLES["chunk_rows"] = f"""SELECT o_orderkey,
   (row_number() OVER (ORDER BY o_orderkey) - 1) // {q.CHUNK_ROWS} AS chunk_id FROM orders"""
-HALF = q.BATCH_BYTES // 2
-ORACLES["chunk_bytes"] = f"""WITH s AS (SELECT doc_id, strlen(text) AS b, CASE WHEN strlen(text) <= {HALF} THEN strlen(text) ELSE 0 END AS w,
-  row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents),
-r AS (SELECT *, cast((sum(w) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - w) // {HALF} AS bigint) AS slot FROM s)
-SELECT doc_id, CASE WHEN b > {HALF} THEN slot || '-' || rn ELSE cast(slot AS varchar) END AS batch_id FROM r"""
+# steps from each batch's first row to the first row that no longer fits; blocks are 16 limits long
+ORACLES["chunk_bytes"] = f"""WITH RECURSIVE s AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS b, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents),
+r AS (SELECT *, sum(b) OVER (ORDER BY n) AS upto, (sum(b + 1) OVER (ORDER BY n) - b - 1) // {16 * q.BATCH_BYTES} AS block FROM s),
+starts(block, first) AS (
+  SELECT block, min(n) FROM r GROUP BY block
+  UNION ALL
+  SELECT t.block, min(x.n) FROM starts t JOIN r f ON f.n = t.first
+  JOIN r x ON x.block = t.block AND x.n > t.first AND x.upto - (f.upto - f.b) > {q.BATCH_BYTES}
+  GROUP BY t.block, t.first)
+SELECT r.doc_id, cast(max(t.first) AS bigint) AS batch_id, any_value(r.b) > {q.BATCH_BYTES} AS oversize
+FROM r JOIN starts t ON t.block = r.block AND t.first <= r.n GROUP BY r.doc_id"""
 ORACLES["row_slice"] = f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
 FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) o
 WHERE rn BETWEEN {q.SLICE[0]} AND {q.SLICE[1]}"""

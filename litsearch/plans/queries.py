@@ -446,7 +446,7 @@ def chunk_rows(spark, d):
 
 def chunk_bytes(spark, d):
     batches = layout.with_byte_batches(_docs(spark, d), ["doc_id"], BATCH_BYTES, F.octet_length("text"))
-    return batches.select("doc_id", "batch_id")
+    return batches.select("doc_id", "batch_id", "oversize")
 
 
 def row_slice(spark, d):

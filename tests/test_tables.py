@@ -104,6 +104,24 @@ def test_byte_batches(spark):
         batches.setdefault(r.batch_id, []).append(len(r.t))
     assert sorted(sum(batches.values(), [])) == sorted(sizes)
     assert all(sum(b) <= 100 or b == [250] for b in batches.values())
+    # each batch takes all that fit
+    assert [batches[k] for k in sorted(batches)] == [[10, 40, 50], [51, 30], [100], [250], [1, 49, 50], [50, 2]]
+
+
+def test_byte_batches_are_runs_within_the_limit(spark):
+    sizes = [(i * 7919) % 130 for i in range(400)] + [0] * 300 + [100, None, 101, 0]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "id int, n int").repartition(5)
+    got = layout.with_byte_batches(df, ["id"], 100, F.col("n")).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(len(sizes)))
+    assert [r.batch_id for r in got] == sorted(r.batch_id for r in got)
+    assert all(r.oversize == ((r.n or 0) > 100) for r in got)
+    batches = {}
+    for r in got:
+        batches.setdefault(r.batch_id, []).append(r.n or 0)
+        assert r.batch_id <= r.id
+    assert all(sum(b) <= 100 or len(b) == 1 for b in batches.values())
+    empty = layout.with_byte_batches(df.limit(0), ["id"], 100, F.col("n"))
+    assert empty.count() == 0 and empty.columns == ["id", "n", "batch_id", "oversize"]
 
 
 def test_partition_sizes(spark):
