@@ -276,9 +276,9 @@ b AS (SELECT page_id, flatten(list_transform(
 SELECT page_id, coalesce(array_to_string(list_transform(ps, lambda p: {PARAGRAPH} || chr(10)), ''), '') AS body FROM b"""
 ORACLES["article_text_two"] = f"""WITH one AS ({ORACLES["article_text"]})
 SELECT a.page_id, concat(a.body, b.body) AS body FROM one a JOIN one b ON b.page_id = a.page_id + 1"""
-ORACLES["article_filename"] = f"""SELECT doc_id, concat(replace(replace(title, ' ', '_'), '/', '_'), '.txt') AS filename,
+ORACLES["article_filename"] = f"""SELECT doc_id, replace(replace(title, ' ', '_'), '/', '_') || '.txt' AS filename,
   CASE WHEN publish_time IS NULL THEN NULL ELSE 'rss_feeds_' || strftime(cast(publish_time AS date), '%m-%d-%Y') END AS folder
-FROM ({PAPERS}) p WHERE title IS NOT NULL"""
+FROM ({PAPERS}) p"""
 
 
 # ---- writes by key
@@ -295,7 +295,7 @@ ORACLES["bulk_actions_auto_id"] = doc_json("""'{"index":{"_index":"papers","_typ
 ORACLES["bulk_deletes"] = """SELECT '{"delete":{"_index":"papers","_id":"' || doc_id || '"}}' AS value
 FROM labels WHERE toxic = 1"""
 LATEST = "SELECT * FROM events WHERE {0} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
-ORACLES["upsert_merge"] = f"""WITH base AS ({LATEST.format("event_type = 'view'")}),
+ORACLES["upsert_merge"] = f"""WITH base AS ({LATEST.format("event_type IS DISTINCT FROM 'click'")}),
 upd AS ({LATEST.format("event_type = 'click'")})
 SELECT * FROM upd UNION ALL SELECT * FROM base WHERE user_id NOT IN (SELECT user_id FROM upd)"""
 ORACLES["append_union"] = "SELECT doc_id, text FROM documents UNION ALL SELECT conv_id, text FROM conversations"

@@ -67,8 +67,9 @@ def bulk_deletes(spark, d):
 
 def upsert_merge(spark, d):
     events = table(spark, d, "events")
-    base = store.latest_per_key(events.filter("event_type = 'view'"), ["user_id"], ["ts", "event_id"])
-    return store.upsert(base, events.filter("event_type = 'click'"), ["user_id"], ["ts", "event_id"])
+    clicks = F.col("event_type").eqNullSafe("click")
+    base = store.latest_per_key(events.filter(~clicks), ["user_id"], ["ts", "event_id"])
+    return store.upsert(base, events.filter(clicks), ["user_id"], ["ts", "event_id"])
 
 
 def append_union(spark, d):
@@ -202,7 +203,7 @@ def article_text_nested(spark, d):
 
 
 def article_filename(spark, d):
-    return papers(spark, d).filter("title IS NOT NULL").select(
+    return papers(spark, d).select(
         "doc_id", news.article_filename(F.col("title")).alias("filename"),
         news.feed_folder(F.to_date("publish_time")).alias("folder"),
     )
