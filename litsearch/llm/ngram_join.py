@@ -19,8 +19,11 @@ unless no other is there. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,24 +68,28 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     size = len(h) - n + 1
     total = np.full(size, n, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(n):
-            total = mix(total * np.uint64(0x9E3779B97F4A7C15) + h[i : i + size])
-    return np.unique(total)
+        for i in range(n):  # a polynomial in the words' hashes, which are scrambled already
+            total = total * np.uint64(0x9E3779B97F4A7C15) + h[i : i + size]
+    return np.unique(mix(total))
 
 
 _SALTS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_XOR = _SALTS.astype(np.uint32)[:, None]
+_TIMES = (_SALTS >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
+#: Items hashed at a time: TREES * DEPTH rows of them stay in a core's cache.
+BLOCK = 512
 
 
 def signature(items: np.ndarray) -> np.ndarray:
     """TREES * DEPTH minimum hashes (32 bits each) of a set."""
     low = np.full(len(_SALTS), 0xFFFFFFFF, np.uint32)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(items), 4096):
-            some = items[at : at + 4096]
-            x = (some[None, :] ^ _SALTS[:, None]) * (_SALTS[:, None] | np.uint64(1))
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            low = np.minimum(low, (x >> np.uint64(32)).astype(np.uint32).min(1))
+    high = (items >> np.uint64(32)).astype(np.uint32)
+    block = np.empty((len(_SALTS), BLOCK), np.uint32)
+    for at in range(0, len(high), BLOCK):
+        some = high[at : at + BLOCK]
+        x = np.bitwise_xor(some, _XOR, out=block[:, : len(some)])
+        np.multiply(x, _TIMES, out=x)
+        np.minimum(low, x.min(1), out=low)
     return low
 
 
@@ -122,7 +129,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaves = stored(map_slices(sets.where("sign is not null").select("node", "sign"), keyed, "node bigint, key bigint"), "leaves")
     busy = leaves.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     below = leaves.join(busy, "key")
-    edges = stored(_tiled(below, sets.select("node", F.col("sign").alias("data")), ["key"], _agreeing, "a bigint, b bigint").distinct(), "agreeing")
+    # prefixes are mostly shared by few: a partition's groups stream through one Python call
+    nodes_below = _dealt(below, sets.select("node", "sign")).select("key", "low", "high", "tile", "node", "sign")
+    edges = stored(nodes_below.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+                   .mapInArrow(_agreeing, "a bigint, b bigint").distinct(), "agreeing")
     candidates = components(edges, "candidates")
     total = candidates.groupBy("root").agg(F.count("*").alias("m"))
     inside = stored(candidates.join(total, "root").join(sets.select("node", "rep", "n"), "node"), "inside")
@@ -159,14 +169,19 @@ def _same_set(data, node):
     return number(data) == node
 
 
-def _tiled(members: DataFrame, data: DataFrame, group: list[str], fn, schema: str) -> DataFrame:
-    """``fn`` on every pair of tiles of every group of ``members`` (with m, the group's size)."""
+def _dealt(members: DataFrame, data: DataFrame) -> DataFrame:
+    """``members`` (with m, the size of their group) once per pair of tiles, with their data."""
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     tile = F.pmod(F.xxhash64(F.lit(7), "node"), F.greatest(F.lit(1), tiles)).cast("int")
-    dealt = (members.withColumn("tile", tile).withColumn("tiles", tiles)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-             .join(data, "node"))
+    return (members.withColumn("tile", tile).withColumn("tiles", tiles)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            .withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+            .join(data, "node"))
+
+
+def _tiled(members: DataFrame, data: DataFrame, group: list[str], fn, schema: str) -> DataFrame:
+    """``fn`` on every pair of tiles of every group of ``members`` (with m, the group's size)."""
+    dealt = _dealt(members, data)
     columns = [c for c in ("node", "n", "tile", "low", "high", "data") if c in dealt.columns]
     return dealt.select(*group, *columns).groupBy(*group, "low", "high").applyInPandas(fn, schema)
 
@@ -183,19 +198,54 @@ def _forest_rows(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.nd
     return nodes[far], nodes[root[far]]
 
 
-def _agreeing(batch: pd.DataFrame) -> pd.DataFrame:
-    """Spanning edges of the pairs whose signatures agree in enough places."""
-    nodes = batch["node"].to_numpy()
-    a, b, same = _sides(batch)
-    signs = np.frombuffer(b"".join(batch["data"]), np.uint32).reshape(len(batch), -1)
-    i, j = [], []
-    for x in a:
-        y = b[b > x] if same else b
-        hit = y[(signs[y] == signs[x]).mean(1) >= AGREEING]
-        i.append(np.full(len(hit), x))
-        j.append(hit)
-    got = _forest_rows(nodes, np.concatenate(i).astype(int), np.concatenate(j).astype(int)) if i else (nodes[:0], nodes[:0])
-    return pd.DataFrame({"a": got[0], "b": got[1]})
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning edges of the pairs whose signatures agree in enough places.
+
+    Rows come sorted by group (key, low, high). A group that goes on in the next batch is carried
+    over; it holds two tiles at most.
+    """
+    carried = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        if carried is not None:
+            now = pa.concat_tables([carried, now])
+        starts = _group_starts(now)
+        carried = now.slice(starts[-1])
+        if starts[-1]:
+            yield _group_edges(now.slice(0, starts[-1]), starts)
+    if carried is not None:
+        yield _group_edges(carried, np.array([0, carried.num_rows]))
+
+
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for name in ("key", "low", "high"):
+        column = rows.column(name).to_numpy()
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
+def _group_edges(rows: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+    """Edges within the groups that lie between neighbouring ``bounds``."""
+    nodes, low, high, tile = (rows.column(c).to_numpy() for c in ("node", "low", "high", "tile"))
+    signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint32).reshape(len(nodes), -1)
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        apart = low[begin] != high[begin]  # pairs within one tile belong to that tile's own group
+        for x in range(begin, end - 1):
+            agree = (signs[x + 1 : end] == signs[x]).mean(1) >= AGREEING
+            if apart:
+                agree &= tile[x + 1 : end] != tile[x]
+            y = np.flatnonzero(agree) + x + 1
+            if len(y):
+                i.append(np.full(len(y), x))
+                j.append(y)
+    known, place = np.unique(nodes, return_inverse=True)
+    got = _forest_rows(known, place[np.concatenate(i)], place[np.concatenate(j)])
+    return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
 
 
 def _verified(batch: pd.DataFrame) -> pd.DataFrame:
