@@ -36,6 +36,8 @@ SYMBOLS = 256
 CONTEXTS = 1 << (FOLD * DEPTH)
 #: Words of a chunk, and different words that a worker counts before it hands them on.
 CHUNK_WORDS = 400_000
+#: A chunk's documents are numbered, and occurrences counted, in 16 bits; what goes beyond is split.
+SHORT = 65_535
 COUNTED = 200_000
 END = b"\n"  # no word contains it
 
@@ -224,7 +226,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
                     pa.array([part] * m, pa.int64()), pa.array([chunk] * m, pa.int64()), pa.nulls(m, pa.int64()),
                     pa.nulls(m, out_schema.field("doc_id").type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()),
                     pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), pa.array(some, pa.binary()),
-                    pa.array([np.array(places[w], np.int32).tobytes() for w in some], pa.binary())], schema=out_schema)
+                    pa.array([np.array(places[w], np.uint16).tobytes() for w in some], pa.binary())], schema=out_schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -236,10 +238,14 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
                     number = len(docs_in)
                     docs_in.append((key, out_of, len(tokens) + 1, score, len(raw)))
                     for w, c in Counter(tokens).items():
-                        places.setdefault(w, []).extend((number, c))
+                        at_word = places.setdefault(w, [])
+                        while c > SHORT:
+                            at_word += (number, SHORT)
+                            c -= SHORT
+                        at_word += (number, c)
                     places.setdefault(END, []).extend((number, 1))
                     words_in += len(tokens) + 1
-                    if words_in >= CHUNK_WORDS:
+                    if words_in >= CHUNK_WORDS or len(docs_in) == SHORT:
                         yield from handed(next(numbers))
                         docs_in, words_in = [], 0
                         places = {}
@@ -262,8 +268,8 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sizes = np.array([len(p) // 8 for p in batch.column("places").to_pylist()])
-            flat = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.int32).reshape(-1, 2)
+            sizes = np.array([len(p) // 4 for p in batch.column("places").to_pylist()])
+            flat = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.uint16).reshape(-1, 2)
             c = np.repeat(batch.column("c").to_numpy(), sizes)
             part = np.repeat(batch.column("part").to_numpy(), sizes)
             chunk = np.repeat(batch.column("chunk").to_numpy(), sizes)
