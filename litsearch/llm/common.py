@@ -24,7 +24,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     steps survive the loss of any executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
