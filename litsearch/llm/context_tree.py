@@ -20,6 +20,7 @@ probability 1/256. Other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -226,7 +227,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
                     pa.array([part] * m, pa.int64()), pa.array([chunk] * m, pa.int64()), pa.nulls(m, pa.int64()),
                     pa.nulls(m, out_schema.field("doc_id").type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()),
                     pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), pa.array(some, pa.binary()),
-                    pa.array([np.array(places[w], np.uint16).tobytes() for w in some], pa.binary())], schema=out_schema)
+                    pa.array([array("H", places[w]).tobytes() for w in some], pa.binary())], schema=out_schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -268,8 +269,10 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sizes = np.array([len(p) // 4 for p in batch.column("places").to_pylist()])
-            flat = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.uint16).reshape(-1, 2)
+            packed = batch.column("places").cast(pa.binary())
+            bounds = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+            sizes = np.diff(bounds) // 4
+            flat = np.frombuffer(packed.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.uint16).reshape(-1, 2)
             c = np.repeat(batch.column("c").to_numpy(), sizes)
             part = np.repeat(batch.column("part").to_numpy(), sizes)
             chunk = np.repeat(batch.column("chunk").to_numpy(), sizes)
