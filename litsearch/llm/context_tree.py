@@ -1,21 +1,25 @@
 """Language-model scores by context-tree weighting over bytes.
 
-Every byte is eight binary decisions; each decision node has its own tree of contexts, the bytes
-before it (up to ``DEPTH``, kept to their low five bits, which fold case). In every context counts
-of zeros and ones give a Krichevsky-Trofimov estimate, and weighting mixes the estimates of all
-depths: P(s) = 1/2 KT(s) + 1/2 product of P(child contexts). Counts come from all training
-documents, summed by Spark; the tree has at most 2^(5 DEPTH + 8) counts whatever the size of the
-corpus (8,388,608), which is why the finished table (32 MB) may be broadcast. The model is frozen
-for scoring: a text's score is the sum of log10 probabilities of its bytes, and the code length
-per byte follows from it.
-
-A unigram score is given beside it; its counts are joined by word, not broadcast. Documents are
-grouped in chunks of at most ``CHUNK_WORDS`` words; a chunk's different words, each with where it
-occurs in the chunk, meet the counts in a shuffle join.
+Every byte is eight binary decisions; each decision node has its own tree of contexts, the up to
+``ORDER`` whole bytes before it (what lies before a text's start is a sign of its own). In every context
+counts of zeros and ones give a Krichevsky-Trofimov estimate, and weighting mixes the estimates of all
+depths: P(s) = 1/2 KT(s) + 1/2 product of P(child contexts). Counts come from all training documents
+and grow with them: they are rows (context and node, zeros, ones), summed by Spark, weighted bottom-up
+by one aggregation per depth and mixed top-down by one join per depth; no table of them is gathered
+or broadcast. A context that only scored documents have counts as one with zeros and ones of 0, which
+changes no other. The model is frozen for scoring: a text's score is the sum of log10 probabilities of
+its bytes, and the code length per byte follows from it.
+
+A unigram score is given beside it. Documents are grouped in chunks of about ``CHUNK_WORDS`` words or
+``CHUNK_BYTES`` bytes; a chunk's different words, and its different bytes in context, each with where
+it occurs in the chunk, meet the counts and the probabilities in shuffle joins.
 
 Defined results: a null text is the empty text, which has one token (the end) and score 0. Repeated rows
 are scored one by one; rows without an id are training rows. Without training documents all bytes have
 probability 1/256. Other columns are ignored.
+
+``codes`` and ``weighted_table`` hold a small tree (``DEPTH`` bytes of five bits) as one dense table, for
+comparison.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from __future__ import annotations
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +37,16 @@ from pyspark.sql import functions as F
 
 from litsearch.llm.common import SLICE, crc_class, stored
 
+#: Context bytes, and bits of each: 0 is before the start, 1 to 256 are the bytes.
+ORDER = 6
+SIGN = 9
 DEPTH = 3
 FOLD = 5
 SYMBOLS = 256
 CONTEXTS = 1 << (FOLD * DEPTH)
 #: Words of a chunk, and different words that a worker counts before it hands them on.
 CHUNK_WORDS = 400_000
+CHUNK_BYTES = 4_000_000
 #: A chunk's documents are numbered, and occurrences counted, in 16 bits; what goes beyond is split.
 SHORT = 65_535
 COUNTED = 200_000
@@ -59,23 +69,6 @@ def words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def byte_counts(rows: DataFrame) -> DataFrame:
-    """(code, n): how often each byte follows each context in ``rows.text``; partial sums per task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CONTEXTS * SYMBOLS, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                got = [codes((t or "").encode()) for t in batch.column("text").slice(at, SLICE).to_pylist()]
-                code, n = np.unique(np.concatenate(got), return_counts=True)
-                total[code] += n
-        code = np.flatnonzero(total)
-        for at in range(0, len(code), 100_000):
-            part = code[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["code", "n"])
-
-    return rows.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
     def lg(x):  # log gamma(x + 1/2) - log gamma(1/2), by Stirling's series from x + 8
@@ -161,12 +154,94 @@ def weighted_table(counts: np.ndarray) -> np.ndarray:
     return out.reshape(CONTEXTS, SYMBOLS)
 
 
-def train_table(rows: DataFrame) -> np.ndarray:
-    """The finished table, flat, from all of ``rows.text``."""
-    counts = np.zeros(CONTEXTS * SYMBOLS, np.int64)
-    got = byte_counts(rows).toArrow()  # at most CONTEXTS * 256 rows, whatever the corpus
-    counts[got["code"].to_numpy()] = got["n"].to_numpy()
-    return weighted_table(counts.reshape(CONTEXTS, SYMBOLS)).reshape(-1)
+def long_codes(text: bytes, order: int = ORDER) -> np.ndarray:
+    """Context of whole bytes (newest lowest) and byte of every position, as one number."""
+    b = np.frombuffer(text, np.uint8).astype(np.int64)
+    out = b.copy()
+    for back in range(1, order + 1):
+        if len(b) > back:
+            out[back:] |= (b[:-back] + 1) << (8 + SIGN * (back - 1))
+    return out
+
+
+def _log_kt_column(zeros, ones):
+    """``_log_kt`` as an expression."""
+    def series(x, shift: float):
+        y = x + (8 + shift)
+        return ((y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y)
+                - F.log(reduce(mul, [x + (shift + k) for k in range(8)])))
+
+    z, o = zeros.cast("double"), ones.cast("double")
+    kt = series(z, 0.5) + series(o, 0.5) - 2 * 0.5723649429247001 - series(z + o, 1.0)
+    return F.when(zeros + ones == 0, 0.0).otherwise(kt)
+
+
+def log_chances(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(code, value): log10 probability of the byte in its context, for every code of ``counts``
+    (code, n; n is 0 for what training does not hold) and some of their siblings."""
+    node = [F.expr(f"named_struct('key', (code & -256L) | {1 << k}L | shiftright(code & 255L, {8 - k}), "
+                   f"'one', shiftright(code & 255L, {7 - k}) & 1L)") for k in range(8)]
+    sums = (counts.select("n", F.explode(F.array(*node)).alias("at")).groupBy(F.col("at.key").alias("key"))
+            .agg(F.sum(F.col("n") * (1 - F.col("at.one"))).alias("zeros"), F.sum(F.col("n") * F.col("at.one")).alias("ones")))
+    kt, children = F.col("kt"), F.col("children")
+    mixed = F.greatest(kt, children) + F.log1p(F.exp(-F.abs(kt - children))) + float(np.log(0.5))
+    levels = {}
+    for depth in range(order, -1, -1):
+        rows = sums.withColumn("kt", _log_kt_column(F.col("zeros"), F.col("ones")))
+        if depth == order:
+            rows = rows.withColumn("log_p", kt).withColumn("share", F.lit(1.0))
+        else:
+            rows = rows.withColumn("log_p", mixed).withColumn("share", 1 / (1 + F.exp(children - kt)))
+        levels[depth] = stored(rows.select("key", "zeros", "ones", "log_p", "share"), f"context-tree-{depth}")
+        if depth:  # drop the oldest byte
+            sums = (levels[depth].groupBy(_parent(depth).alias("key"))
+                    .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_p").alias("children")))
+    # downwards: what the shorter contexts have given, and the weight left for the longer ones
+    above = None
+    for depth in range(order + 1):
+        chance = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
+        rows = levels[depth].select("key", "share", chance.alias("chance"), _parent(depth).alias("parent") if depth else F.lit(None).alias("parent"))
+        if above is None:
+            rows = rows.withColumn("given", F.lit(0.0)).withColumn("left", F.lit(1.0))
+        else:
+            rows = rows.join(above, "parent")
+        above = rows.select(F.col("key").alias("parent"), (F.col("given") + F.col("left") * F.col("share") * F.col("chance")).alias("given"),
+                            (F.col("left") * (1 - F.col("share"))).alias("left"))
+    deepest = above.select(F.shiftright("parent", 8).alias("context"), F.col("parent").alias("key"), F.col("given").alias("one"))
+    return (deepest.repartition("context").sortWithinPartitions("key").select("key", "one")
+            .mapInArrow(_bytes_of_nodes, "code bigint, value double"))
+
+
+def _parent(depth: int):
+    """The key of a node of ``depth`` context bytes without its oldest byte."""
+    return F.expr(f"key & {(1 << (8 + SIGN * (depth - 1))) - 1}L")
+
+
+def _bytes_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Probabilities of bytes from those of their eight decisions. Rows come sorted by key; a context
+    that goes on in the next batch is carried over (it has 255 nodes at most)."""
+    def worked(key: np.ndarray, one: np.ndarray) -> pa.RecordBatch:
+        log_one, log_zero = np.log10(one), np.log10(1 - one)
+        last = np.flatnonzero((key & 255) >= 128)  # decisions of the last bit
+        context, node = key[last] >> 8, key[last] & 255
+        total = np.zeros(len(last))
+        for k in range(7):
+            at = np.searchsorted(key, context << 8 | node >> (7 - k))
+            total += np.where(node >> (6 - k) & 1, log_one[at], log_zero[at])
+        code = context << 8 | (node & 127) << 1
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[code, code | 1]), pa.array(np.r_[total + log_zero[last], total + log_one[last]])],
+                                          ["code", "value"])
+
+    key, one = np.zeros(0, np.int64), np.zeros(0)
+    for batch in batches:
+        if batch.num_rows:
+            key, one = np.r_[key, batch.column("key").to_numpy()], np.r_[one, batch.column("one").to_numpy()]
+            cut = int(np.searchsorted(key, key[-1] >> 8 << 8))
+            if cut:
+                yield worked(key[:cut], one[:cut])
+                key, one = key[cut:], one[cut:]
+    if len(key):
+        yield worked(key, one)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -196,48 +271,65 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     rows = docs.select("doc_id", crc_class("doc_id", modulus).eqNullSafe(held).alias("held_out"), "text")
     training = rows.where("not held_out")
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(train_table(training))
     counts = stored(word_counts(training), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     kind = docs.schema["doc_id"].dataType.simpleString()
     where = rows.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Two kinds of rows: a document with its score, and a word of a chunk with the numbers of
-        the chunk's documents that hold it and how often."""
+        """Three kinds of rows: a document, and a word or a byte in context of a chunk with the numbers
+        of the chunk's documents that hold it and how often."""
         from itertools import count
 
         numbers = count()
         places: dict[bytes, list[int]] = {}
-        docs_in, words_in, part = [], 0, 0
+        inside: list[tuple[np.ndarray, np.ndarray]] = []
+        docs_in, words_in, bytes_in, part = [], 0, 0, 0
+
+        def batch_of(m: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(m, f.type) for f in out_schema], schema=out_schema)
 
         def handed(chunk: int):
             k = len(docs_in)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([part] * k, pa.int64()), pa.array([chunk] * k, pa.int64()), pa.array(range(k), pa.int64()),
-                pa.array([d[0] for d in docs_in]).cast(out_schema.field("doc_id").type), pa.array([d[1] for d in docs_in], pa.bool_()),
-                pa.array([d[2] for d in docs_in], pa.int64()), pa.array([d[3] for d in docs_in], pa.float64()),
-                pa.array([d[4] for d in docs_in], pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=out_schema)
+            yield batch_of(k, part=[part] * k, chunk=[chunk] * k, number=range(k), doc_id=[d[0] for d in docs_in],
+                           held_out=[d[1] for d in docs_in], n_tokens=[d[2] for d in docs_in], n_bytes=[d[3] for d in docs_in])
             keys = list(places)
             for at in range(0, len(keys), 50_000):
                 some = keys[at : at + 50_000]
-                m = len(some)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([part] * m, pa.int64()), pa.array([chunk] * m, pa.int64()), pa.nulls(m, pa.int64()),
-                    pa.nulls(m, out_schema.field("doc_id").type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()),
-                    pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), pa.array(some, pa.binary()),
-                    pa.array([array("H", places[w]).tobytes() for w in some], pa.binary())], schema=out_schema)
+                yield batch_of(len(some), part=[part] * len(some), chunk=[chunk] * len(some), word=some,
+                               places=[array("H", places[w]).tobytes() for w in some])
+            code, often = (np.concatenate([d[i] for d in inside]) for i in (0, 1))
+            number = np.repeat(np.arange(k), [len(d[0]) for d in inside])
+            seen = often * ~np.array([d[1] for d in docs_in])[number]
+            split = (often + SHORT - 1) // SHORT
+            if (split > 1).any():
+                first = np.r_[True, np.repeat(np.arange(len(split)), split)[1:] != np.repeat(np.arange(len(split)), split)[:-1]]
+                code, number = np.repeat(code, split), np.repeat(number, split)
+                seen = np.where(first, np.repeat(seen, split), 0)
+                often = np.where(first, np.repeat(often - (split - 1) * SHORT, split), SHORT)
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(seen[order], start) if len(start) else start
+            flat = np.c_[number[order], often[order]].astype(np.uint16)
+            ends = np.r_[start, len(code)]
+            for at in range(0, len(start), 50_000):
+                bounds = ends[at : at + 50_001]
+                m = len(bounds) - 1
+                packed = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(((bounds - bounds[0]) * 4).astype(np.int32)),
+                                                                pa.py_buffer(flat[bounds[0] : bounds[-1]].tobytes())])
+                yield batch_of(m, part=np.full(m, part), chunk=np.full(m, chunk), code=code[bounds[:-1]], seen=sums[at : at + m], places=packed)
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 got = batch.slice(at, SLICE).to_pydict()
                 for key, out_of, text, part in zip(got["doc_id"], got["held_out"], got["text"], got["part"], strict=True):
                     raw = (text or "").encode()
-                    score = float(table.value[codes(raw)].sum(dtype=np.float64))
                     tokens = raw.lower().split()
                     number = len(docs_in)
-                    docs_in.append((key, out_of, len(tokens) + 1, score, len(raw)))
+                    docs_in.append((key, out_of, len(tokens) + 1, len(raw)))
+                    inside.append(np.unique(long_codes(raw), return_counts=True))
                     for w, c in Counter(tokens).items():
                         at_word = places.setdefault(w, [])
                         while c > SHORT:
@@ -246,10 +338,11 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
                         at_word += (number, c)
                     places.setdefault(END, []).extend((number, 1))
                     words_in += len(tokens) + 1
-                    if words_in >= CHUNK_WORDS or len(docs_in) == SHORT:
+                    bytes_in += len(raw)
+                    if words_in >= CHUNK_WORDS or bytes_in >= CHUNK_BYTES or len(docs_in) == SHORT:
                         yield from handed(next(numbers))
-                        docs_in, words_in = [], 0
-                        places = {}
+                        docs_in, words_in, bytes_in = [], 0, 0
+                        places, inside = {}, []
         if docs_in:
             yield from handed(next(numbers))
 
@@ -257,15 +350,21 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
     from pyspark.sql.types import _parse_datatype_string
 
     schema = (f"part bigint, chunk bigint, number bigint, doc_id {kind}, held_out boolean, n_tokens bigint, "
-              "score double, n_bytes bigint, word binary, places binary")
+              "n_bytes bigint, word binary, code bigint, seen bigint, places binary")
     out_schema = to_arrow_schema(_parse_datatype_string(schema))
     pieces = stored(where.mapInArrow(run, schema), "lm-chunks")
 
-    looked_up = (pieces.where("word is not null").select("part", "chunk", "word", "places")
-                 .join(counts, "word", "left").select("part", "chunk", F.coalesce("c", F.lit(0)).alias("c"), "places"))
+    c = F.coalesce("c", F.lit(0))
+    by_word = (pieces.where("word is not null").select("part", "chunk", "word", "places").join(counts, "word", "left")
+               .select("part", "chunk", F.log10((c + 1) / F.lit(float(n + v + 1))).alias("value"),
+                       F.when(c > 0, 1).otherwise(0).alias("sort"), "places"))
+    in_context = pieces.where("code is not null")
+    chances = log_chances(in_context.groupBy("code").agg(F.sum("seen").alias("n")))
+    by_code = (in_context.select("part", "chunk", "code", "places").join(chances, "code")
+               .select("part", "chunk", "value", F.lit(2).alias("sort"), "places"))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums per document of what its words bring, over the rows of a batch."""
+        """Sums per document of what its words and bytes bring, over the rows of a batch."""
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -273,22 +372,22 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
             bounds = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
             sizes = np.diff(bounds) // 4
             flat = np.frombuffer(packed.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.uint16).reshape(-1, 2)
-            c = np.repeat(batch.column("c").to_numpy(), sizes)
-            part = np.repeat(batch.column("part").to_numpy(), sizes)
-            chunk = np.repeat(batch.column("chunk").to_numpy(), sizes)
-            order = np.lexsort((flat[:, 0], chunk, part))
-            key = np.c_[part[order], chunk[order], flat[order, 0]]
-            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-            often = flat[order, 1].astype(np.float64)
-            value = often * np.log10((c[order] + 1) / (n + (v + 1)))
+            chunks, chunk = np.unique(np.c_[batch.column("part").to_numpy(), batch.column("chunk").to_numpy()], axis=0, return_inverse=True)
+            key, place = np.unique(np.repeat(chunk.reshape(-1), sizes) << 16 | flat[:, 0], return_inverse=True)
+            sort = np.repeat(batch.column("sort").to_numpy(), sizes)
+            often = flat[:, 1].astype(np.float64)
+            value = often * np.repeat(batch.column("value").to_numpy(), sizes)
+
+            def total(weights: np.ndarray) -> np.ndarray:
+                return np.bincount(place, weights, len(key))
+
             yield pa.RecordBatch.from_arrays([
-                pa.array(key[start, 0]), pa.array(key[start, 1]), pa.array(key[start, 2]),
-                pa.array(np.add.reduceat(value, start)),
-                pa.array(np.add.reduceat(np.where(c[order] > 0, often, 0), start).astype(np.int64))],
-                ["part", "chunk", "number", "base_score", "n_known"])
-
-    base = (looked_up.mapInArrow(summed, "part bigint, chunk bigint, number bigint, base_score double, n_known bigint")
-            .groupBy("part", "chunk", "number").agg(F.sum("base_score").alias("base_score"), F.sum("n_known").alias("n_known")))
-    return (pieces.where("word is null").drop("word", "places").join(base, ["part", "chunk", "number"])
+                pa.array(chunks[key >> 16, 0]), pa.array(chunks[key >> 16, 1]), pa.array(key & 0xFFFF),
+                pa.array(total(np.where(sort < 2, value, 0))), pa.array(total(np.where(sort == 1, often, 0)).astype(np.int64)),
+                pa.array(total(np.where(sort == 2, value, 0)))], ["part", "chunk", "number", "base_score", "n_known", "score"])
+
+    sums = (by_word.unionAll(by_code).mapInArrow(summed, "part bigint, chunk bigint, number bigint, base_score double, n_known bigint, score double")
+            .groupBy("part", "chunk", "number").agg(*(F.sum(x).alias(x) for x in ("base_score", "n_known", "score"))))
+    return (pieces.where("number is not null").drop("word", "code", "seen", "places").join(sums, ["part", "chunk", "number"])
             .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
                     (-F.col("score") / F.lit(np.log10(2)) / F.greatest(F.lit(1), F.col("n_bytes"))).alias("bits_per_byte")))

@@ -262,6 +262,27 @@ def test_context_tree_table_is_a_distribution():
     assert table.reshape(-1)[code] > 0.3
 
 
+def test_context_tree_of_whole_bytes(spark):
+    """The rows of Spark give the dense table's probabilities; contexts are longer than three bytes and not folded."""
+    rng = random.Random(11)
+    text = "".join(rng.choice(["abra", "cad", "bra", "zed"]) for _ in range(300)).encode()
+    counts = np.zeros((context_tree.CONTEXTS, 256), np.int64)
+    np.add.at(counts.reshape(-1), context_tree.codes(text), 1)
+    dense = context_tree.weighted_table(counts).reshape(-1)
+    code, n = np.unique(context_tree.long_codes(text, 3), return_counts=True)
+    frame = spark.createDataFrame(list(zip(code.tolist(), n.tolist())), "code long, n long")
+    got = {r.code: r.value for r in context_tree.log_chances(frame, 3).collect()}
+    for a, b in zip(context_tree.codes(text)[3:], context_tree.long_codes(text, 3)[3:]):
+        assert abs(got[int(b)] - dense[a]) < 1e-5
+    # what follows "xxx" depends on the fifth byte back; 2 and r, space and @ share their low five bits
+    rows = [f"{a}xxxx{b}" for a, b in (("p", "m"), ("q", "n"))] * 200 + ["2!", "r?", " !", "@?"] * 100
+    right = ["pxxxxm", "2!", "@?"]
+    wrong = ["pxxxxn", "2?", "@!"]
+    docs = spark.createDataFrame([(None, t) for t in rows] + [(i, t) for i, t in enumerate(right + wrong, 1000)], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in context_tree.score_documents(docs).where("doc_id is not null").collect()}
+    assert all(score[1000 + i] > score[1003 + i] + 1 for i in range(3))
+
+
 def test_urls(spark):
     urls = [None, "no scheme", "https://www.Cheap-Pills.example.org/en/1", "http://a.example.net/en/x?q=1", "http://example.net/de/",
             "http://x.example.com/de/1#t", "http://example.org/fr/2", "http://notexample.net", "http://spam-farm.example.com", "http://a.com/login"]
