@@ -1,9 +1,9 @@
-"""URL filters: host and path rules, and pattern rules indexed by their rarest literal token.
+"""URL filters: host and path rules, and pattern rules indexed by rare literal tokens.
 
-A pattern rule is a regular expression over the lower-cased URL with one literal token (a run of
-letters and digits) that every match must contain as a whole token. Of its literal tokens the rarest in the URLs at hand
-is the rule's index key. A URL's own tokens fetch its candidate rules by an equality join, and only
-those run their regular expression.
+A pattern rule is a regular expression over the lower-cased URL with its alternatives: lists of literal
+tokens (runs of letters and digits). Every match contains all tokens of at least one alternative, each as a
+whole token. An alternative is indexed under its token that is rarest in the URLs at hand. A URL's own
+tokens fetch its candidate rules by an equality join, and only those run their regular expression, once each.
 
 Host and path rules (`example.com/de/`) fit their host and its subdomains where the URL's path starts
 with the rule's; the longest wins, on equal length `block` before `allow`. Where one fits, it
@@ -30,20 +30,20 @@ HOST_RULES = [
     ("org/fr/", "allow"),
 ]
 
-#: Name, regular expression, literal tokens. Advertising, unwanted shops, sessions and trackers.
+#: Name, regular expression, alternatives of literal tokens. Advertising, unwanted shops, sessions and trackers.
 PATTERN_RULES = [
-    ("spam_farm", r"://([^/?#]*[.-])?spam-?farm[.:/]", ["spam", "farm"]),
-    ("pill_shop", r"://[^/?#]*\b(cheap|online|discount)-pills\b", ["pills"]),
-    ("casino", r"://[^/?#]*\bcasino\b", ["casino"]),
-    ("poker", r"://[^/?#]*\bpoker\b", ["poker"]),
-    ("adult", r"://[^/?#]*\b(xxx|porn)\b", ["xxx"]),
-    ("free_download", r"/free-download\b", ["free", "download"]),
-    ("ad_server", r"://(ads?|adserver|banners?)\.", ["ads"]),
-    ("doubleclick", r"://[^/?#]*\bdoubleclick\.", ["doubleclick"]),
-    ("login", r"/(wp-login|login|signin)(\.\w+)?([/?#]|$)", ["login"]),
-    ("session_id", r"[?&;](phpsessid|jsessionid)=", ["phpsessid"]),
-    ("calendar", r"/calendar/\d{4}/\d{2}\b", ["calendar"]),
-    ("replytocom", r"[?&]replytocom=\d+", ["replytocom"]),
+    ("spam_farm", r"://([^/?#]*[.-])?spam-?farm[.:/]", [["spam", "farm"], ["spamfarm"]]),
+    ("pill_shop", r"://[^/?#]*\b(cheap|online|discount)-pills\b", [["pills"]]),
+    ("casino", r"://[^/?#]*\bcasino\b", [["casino"]]),
+    ("poker", r"://[^/?#]*\bpoker\b", [["poker"]]),
+    ("adult", r"://[^/?#]*\b(xxx|porn)\b", [["xxx"], ["porn"]]),
+    ("free_download", r"/free-download\b", [["free", "download"]]),
+    ("ad_server", r"://(ads?|adserver|banners?)\.", [["ad"], ["ads"], ["adserver"], ["banner"], ["banners"]]),
+    ("doubleclick", r"://[^/?#]*\bdoubleclick\.", [["doubleclick"]]),
+    ("login", r"/(wp-login|login|signin)(\.\w+)?([/?#]|$)", [["login"], ["signin"]]),
+    ("session_id", r"[?&;](phpsessid|jsessionid)=", [["phpsessid"], ["jsessionid"]]),
+    ("calendar", r"/calendar/\d{4}/\d{2}\b", [["calendar"]]),
+    ("replytocom", r"[?&]replytocom=\d+", [["replytocom"]]),
 ]
 
 
@@ -69,24 +69,24 @@ def _small(rows: list, what: str) -> list:
     return rows
 
 
-def pattern_index(urls: DataFrame, url_col: str, rules: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """(token, rule_name, pattern): every rule under the one of its literal tokens that is rarest
-    among ``urls``; ties go to the alphabetically first."""
+def pattern_index(urls: DataFrame, url_col: str, rules: list[tuple[str, str, list[list[str]]]]) -> DataFrame:
+    """(token, rule_name, pattern): every alternative of a rule under the one of its tokens that is
+    rarest among ``urls``; ties go to the alphabetically first."""
     spark = urls.sparkSession
     literals = spark.createDataFrame(
-        [(n, p, t) for n, p, tokens in _small(rules, "pattern rules") for t in tokens],
-        "rule_name string, pattern string, token string")
+        [(n, p, i, t) for n, p, ways in _small(rules, "pattern rules") for i, tokens in enumerate(ways) for t in tokens],
+        "rule_name string, pattern string, way int, token string")
     counts = (urls.select(F.explode(url_tokens(F.col(url_col))).alias("token"))
               .join(F.broadcast(literals.select("token").distinct()), "token")
               .groupBy("token").agg(F.count("*").alias("n")))
-    return (literals.join(counts, "token", "left").groupBy("rule_name", "pattern")
+    return (literals.join(counts, "token", "left").groupBy("rule_name", "pattern", "way")
             .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
-            .select(F.col("rarest.token").alias("token"), "rule_name", "pattern"))
+            .select(F.col("rarest.token").alias("token"), "rule_name", "pattern").distinct())
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                host_rules: list[tuple[str, str]] = HOST_RULES,
-               pattern_rules: list[tuple[str, str, list[str]]] = PATTERN_RULES) -> DataFrame:
+               pattern_rules: list[tuple[str, str, list[list[str]]]] = PATTERN_RULES) -> DataFrame:
     """The id column, host, path, rule (null where none fits), verdict, patterns (names of the
     pattern rules that match, in order)."""
     spark = pages.sparkSession
@@ -110,7 +110,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fit = F.filter(fetched(suffixes, F.col("hosts"), None), lambda r: F.startswith(F.col("path"), r.rule_path))
-    fired = F.filter(fetched(url_tokens(F.col("url")), F.col("index"), None),
+    fired = F.filter(F.array_distinct(fetched(url_tokens(F.col("url")), F.col("index"), None)),
                      lambda r: F.regexp_like(F.lower("url"), r.pattern))
     judged = (urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
               .crossJoin(F.broadcast(by_token)).crossJoin(F.broadcast(by_host))

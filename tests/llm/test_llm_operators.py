@@ -295,6 +295,18 @@ def test_urls(spark):
         ("notexample.net", "", None, "allow"), ("spam-farm.example.com", "", None, "block"), ("a.com", "/login", None, "block")]
 
 
+def test_every_matching_pattern_rule_is_fetched(spark):
+    """Against every regular expression on every URL, without any index."""
+    urls = ["http://porn.a.io/", "http://xxx.a.io/", "http://ad.a.io/ads", "http://ads.a.io", "http://adserver.a.io", "http://banner.a.io",
+            "http://banners.a.io", "http://a.io/signin", "http://a.io/wp-login.php", "http://a.io/x;jsessionid=1", "http://a.io/?PHPSESSID=1",
+            "http://spamfarm.com/", "http://spamfarm.com/farm/", "http://spam-farm.com/", "http://xxx.porn.a.io/login?jsessionid=1"]
+    urls += ["http://a.io/farm/spam", "http://farm.a.io/", "http://a.io/porn", "http://a.io/ads/banner"] + ["http://farm.b.io/farm"] * 5
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(r.patterns, r.verdict) for r in url_filter.judge_urls(frame, host_rules=[("none.io/", "block")]).orderBy("page_id").collect()]
+    want = [sorted(n for n, p, _ in url_filter.PATTERN_RULES if re.search(p, u.lower())) for u in urls]
+    assert got == [(w, "block" if w else "allow") for w in want] and all(want[:15]) and not any(want[15:])
+
+
 def test_sql_agrees(spark):
     from litsearch.llm.queries import ORACLES, QUERIES
 
