@@ -14,7 +14,8 @@ trie nodes and components are cut into tiles of ``TILE`` documents, a task per p
 Defined results: words are separated by white space and lower-cased. A text of one to four words is
 one shingle of all its words; texts without words (null, empty) are copies of each other and link
 with nothing else. Repeated rows are copies. A row without id counts, but no class is named after it
-unless no other is there. Other columns are ignored.
+unless no other is there; a class of such rows only has a null class_id. Exactly one row of each class is kept,
+also where an id is repeated or missing. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,16 +109,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     depth = prefix_depth()
 
     def signed(got: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"id": got["id"], "node": [], "sign": []}
+        out: dict[str, list] = {"id": got["id"], "row": got["row"], "node": [], "sign": []}
         for text in got["text"]:
             items = shingles(text or "")
             out["node"].append(xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63))
             out["sign"].append(signature(items).tobytes() if len(items) else None)
         return out
 
-    rows = stored(map_slices(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), signed,
-                             "id bigint, node bigint, sign binary"), "signed")
-    sets = stored(rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.any_value("sign").alias("sign")), "sets")
+    rows = stored(map_slices(docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),
+                                         F.col(text_col).alias("text")), signed,
+                             "id bigint, row bigint, node bigint, sign binary"), "signed")
+    # the row that stays: smallest id, rows without id last
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("first")
+    sets = stored(rows.groupBy("node").agg(first, F.count("*").alias("n"), F.any_value("sign").alias("sign"))
+                  .withColumn("rep", F.col("first.id")), "sets")
 
     def keyed(got: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"node": [], "key": []}
@@ -145,28 +150,33 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
     items = map_slices(texts.select("node", "text"), itemised, "node bigint, data binary")
     # an id that is repeated with other texts brings other sets: keep the one that is meant
-    items = stored(items.where(_same_set(F.col("data"), F.col("node"))).dropDuplicates(["node"]), "shingles")
+    items = items.where(_set_number(F.col("data")) == F.col("node"))
+    # sets that only rows without id have are found by the set itself
+    unnamed = map_slices(docs.where(F.col(id_col).cast("long").isNull()).select(F.lit(0).cast("long").alias("node"), F.col(text_col).alias("text")),
+                         itemised, "node bigint, data binary").select(_set_number(F.col("data")).alias("node"), "data")
+    unnamed = unnamed.join(inside.where("rep is null").select("node"), "node", "left_semi")
+    items = stored(items.unionAll(unnamed).dropDuplicates(["node"]), "shingles")
     verified = stored(_tiled(inside, items, ["root"], _verified, "a bigint, b bigint, links bigint"), "verified")
     links = verified.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = components(verified.where("b is not null").select("a", "b"), "classes")
-    named = classes.join(sets.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
-    by_set = (sets.select("node", "rep", "n").join(classes.join(named, "root").select("node", "class_id"), "node", "left")
+    named = classes.join(sets.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("stays"))
+    by_set = (sets.select("node", "first", "n").join(classes.join(named, "root").select("node", "stays"), "node", "left")
               .join(links, "node", "left")
-              .select("node", F.coalesce("class_id", "rep").alias("class_id"),
+              .select("node", F.coalesce("stays", "first").alias("stays"),
                       (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
-    return rows.select("id", "node").join(by_set, "node").select(
-        F.col("id").alias(id_col), "class_id", F.col("n_links").cast("long").alias("n_links"),
-        F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return rows.select("id", "row", "node").join(by_set, "node").select(
+        F.col("id").alias(id_col), F.col("stays.id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"),
+        (F.col("row") == F.col("stays.row")).alias("kept"))
 
 
-def _same_set(data, node):
+def _set_number(data):
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("bigint")
     def number(column: pd.Series) -> pd.Series:
         return pd.Series([xxhash.xxh3_64_intdigest(d) - (1 << 63) for d in column], dtype="int64")
 
-    return number(data) == node
+    return number(data)
 
 
 def _dealt(members: DataFrame, data: DataFrame) -> DataFrame:

@@ -95,6 +95,16 @@ def test_jaccard_classes_match_brute_force(spark):
         (len(links[i]), root[i], root[i] == i) for i in range(len(sets))]
 
 
+def test_near_copies_without_id_link(spark):
+    words = [f"w{i}" for i in range(200)]
+    a, b, c = " ".join(words), " ".join([*words[:199], "new"]), " ".join([*words[:198], "two", "new"])
+    other = " ".join(f"v{i}" for i in range(200))
+    rows = [(None, a), (None, b), (7, c), (None, other), (None, other + " end"), (8, "x y"), (8, "x y")]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), (r.class_id or 0), r.n_links, r.kept) for r in got) == [
+        (0, 0, 1, False), (0, 0, 1, True), (0, 7, 2, False), (0, 7, 2, False), (7, 7, 2, True), (8, 8, 1, False), (8, 8, 1, True)]
+
+
 def test_forest_prefix_is_shortened_to_the_target():
     d = ngram_join.prefix_depth()
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.TARGET
