@@ -293,6 +293,39 @@ def test_context_tree_of_whole_bytes(spark):
     assert all(score[1000 + i] > score[1003 + i] + 1 for i in range(3))
 
 
+def test_pipeline_stages_decide_on_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    calm = ["the", "river", "story", "window", "garden", "running", "thin", "other", "stone", "music"]
+    rows, labels = [], []
+    for i in range(400):
+        words = [rng.choice(calm) for _ in range(40)]
+        if i % 3 == 0:
+            words[rng.randrange(40)] = "idiot"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows += [(401, "such an idiot"), (401, "the river of 401"), (None, "an idiot again"), (None, "the river of none")]
+
+    def through(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == corpus_pipeline.COLUMNS
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert through(corpus_pipeline.toxicity, rows) == sorted((r for r in rows if "idiot" not in r[1]), key=repr)
+
+    words = [f"w{i}" for i in range(200)]
+    a, b, c = " ".join(words), " ".join([*words[:199], "new"]), " ".join([*words[:198], "two", "new"])
+    lone = [(7, "alone under the id of a near copy"), (None, "alone without an id here")]
+    twice = [(9, "a row that is there twice")]
+    nameless = " ".join(f"v{i}" for i in range(200))
+    rows = [(8, a), (7, b), (3, c), (None, b), *lone, *twice, *twice, (None, nameless), (None, nameless + " end")]
+    got = through(corpus_pipeline.ngram_join, rows)
+    assert [r for r in got if not (r[1] or "").startswith("v0 ")] == sorted([(3, c), *lone, *twice], key=repr)
+    assert len(got) == 5
+
+
 def test_urls(spark):
     urls = [None, "no scheme", "https://www.Cheap-Pills.example.org/en/1", "http://a.example.net/en/x?q=1", "http://example.net/de/",
             "http://x.example.com/de/1#t", "http://example.org/fr/2", "http://notexample.net", "http://spam-farm.example.com", "http://a.com/login"]
