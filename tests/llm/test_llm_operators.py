@@ -205,6 +205,20 @@ def test_pii_adds_looser_forms_and_keeps_base_spans(spark):
     assert rows[300].redacted is None and rows[301].redacted == ""
 
 
+def test_looser_forms_that_the_corpus_holds_are_found():
+    rng = random.Random(13)
+    texts = []
+    for i in range(600):
+        number = f"{rng.randint(200, 989)}) 555-{rng.randint(1000, 9999)}"
+        finds = [f"call +1 ({number}", f"write n{i}@mail{i % 9}.example.com", f"order {rng.randint(10**7, 10**9)} of 2024-01-02",
+                 f"call ({number}", f"write n{i}(at)mail{i % 9}.example.com", "look at home.then"]
+        texts.append("the river of that and " + " and the stone window of ".join(finds) + " at the end")
+    model = pii.train([x for t in texts for x in pii.examples(t)])
+    for t in texts[:50]:
+        found = [t[b:e] for _, b, e in model.spans(t)]
+        assert any("(at)" in f for f in found) and sum("555" in f for f in found) == 2 and not any("2024" in f or "home" in f for f in found)
+
+
 def test_looser_forms_learned_from_documents(spark):
     model = pii.train(pii.sampled(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
     found = {t: [k for k, _, _ in model.spans(t)] for t in (
