@@ -205,7 +205,15 @@ def test_pii_adds_looser_forms_and_keeps_base_spans(spark):
     assert rows[300].redacted is None and rows[301].redacted == ""
 
 
-def test_looser_forms_that_the_corpus_holds_are_found():
+def test_pii_sample_is_per_kind_and_of_different_finds(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 10)
+    texts = [f"write n{i}@mail.example.com now" + "x" * (i % 20) for i in range(300)] * 2 + ["pay 4111111111111111 now"] * 300
+    rows = [(k, y, tuple(f)) for k, y, f in pii.sampled(documents(spark, texts))]
+    assert len(set(rows)) == len(rows)
+    assert sum(r[:2] == ("email", 1) for r in rows) == 10 and sum(r[:2] == ("card", 1) for r in rows) == 1
+
+
+def test_looser_forms_that_the_corpus_holds_are_found(spark):
     rng = random.Random(13)
     texts = []
     for i in range(600):
@@ -213,7 +221,7 @@ def test_looser_forms_that_the_corpus_holds_are_found():
         finds = [f"call +1 ({number}", f"write n{i}@mail{i % 9}.example.com", f"order {rng.randint(10**7, 10**9)} of 2024-01-02",
                  f"call ({number}", f"write n{i}(at)mail{i % 9}.example.com", "look at home.then"]
         texts.append("the river of that and " + " and the stone window of ".join(finds) + " at the end")
-    model = pii.train([x for t in texts for x in pii.examples(t)])
+    model = pii.train(pii.sampled(documents(spark, texts)))
     for t in texts[:50]:
         found = [t[b:e] for _, b, e in model.spans(t)]
         assert any("(at)" in f for f in found) and sum("555" in f for f in found) == 2 and not any("2024" in f or "home" in f for f in found)
