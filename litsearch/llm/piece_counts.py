@@ -3,9 +3,9 @@
 A byte-level tokenizer cuts a text into pre-tokens that never share a token, so a text's length is
 the sum over its different pre-tokens of frequency times number of pieces. Texts are read
 once, a chunk at a time: a chunk keeps which pre-token occurs how often in which of its rows. Only the
-chunk's different pre-tokens travel, each with its number in the chunk; every pre-token of the whole
-table is encoded once; the piece counts go back by chunk and are multiplied out there. A word that is
-in every text is one narrow row per chunk, not per text, and neither texts nor ids are shuffled.
+chunk's different pre-tokens travel, each with its number in the chunk. They meet sorted, where every pre-token
+of the whole table is encoded once; the piece counts go back by chunk and are multiplied out there. A word
+that is in every text is one narrow row per chunk, not per text, and neither texts nor ids are shuffled.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens. Repeated rows, null and repeated ids
 are counted row by row. The texts of special tokens count as those tokens, which is the library's default.
@@ -33,9 +33,11 @@ from litsearch.llm.common import SLICE, stored
 
 LIMIT = 512
 #: A chunk ends with the row that brings it to this many characters or rows. A longer text is a chunk alone.
-CHUNK_CHARS, CHUNK_ROWS = 16_000_000, 1 << 16
+CHUNK_CHARS, CHUNK_ROWS = 32_000_000, 1 << 16
 #: Pre-tokens of a text above LONG characters are held as objects at most AT_ONCE at a time.
 AT_ONCE, LONG = 200_000, 1_000_000
+#: Places of pre-tokens that are put together by chunk at a time.
+AT_A_TIME = 2_000_000
 
 #: Texts of these characters only are split here; others by the library, whose Unicode tables decide.
 PLAIN = re.compile("[\x00-\x7eÀ-ÖØ-öø-ÿ‐-‧‰-⁞]*")
@@ -103,9 +105,9 @@ class _Chunk:
             codes, at = np.unique(np.concatenate([s[0] for s in seen]), return_inverse=True)
             seen = [(codes, np.bincount(at, np.concatenate([s[1] for s in seen])).astype(np.int64))]
         for codes, times in seen:
-            self.codes.append(codes)
-            self.times.append(times)
-            self.rows.append(np.full(len(codes), len(self.keys)))
+            self.codes.append(codes.astype(np.int32))
+            self.times.append(times.astype(np.int32))
+            self.rows.append(np.full(len(codes), len(self.keys), np.int32))
         self.keys.append(key)
         self.sizes.append(size)
         self.special.append(special)
@@ -116,7 +118,7 @@ class _Chunk:
         return self.chars >= CHUNK_CHARS or len(self.keys) >= CHUNK_ROWS
 
     def row(self, chunk: int) -> dict:
-        codes, rows, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.codes, self.rows, self.times))
+        codes, rows, times = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (self.codes, self.rows, self.times))
         order = np.argsort(codes, kind="stable")
         return {"chunk": chunk, "pieces": list(self.number), "keys": self.keys, "sizes": self.sizes, "special": self.special,
                 "per_piece": _packed(np.bincount(codes, minlength=len(self.number))),
@@ -154,35 +156,60 @@ def chunks(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) ->
     return docs.select(F.col(id_col).alias("key"), F.octet_length(text).cast("long").alias("size"), text.alias("text")).mapInArrow(run, out)
 
 
-def piece_lengths(pieces: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(piece, tokens): every different pre-token encoded once."""
-    schema = pa.schema([("piece", pa.string()), ("tokens", pa.int64())])
+def piece_lengths(places: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(of, at, tokens): per chunk, packed, the places of pre-tokens and the number of their pieces.
+
+    Equal pre-tokens come one after the other, so that each is encoded once and none is remembered.
+    """
+    schema = pa.schema([("of", pa.int64()), ("at", pa.binary()), ("tokens", pa.binary())])
+
+    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        of, at, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, of))
+        of, at, tokens = of[order], at[order], tokens[order]
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        parts = [(of[a], _packed(np.diff(at[a:b], prepend=0)), _packed(tokens[a:b])) for a, b in zip(starts, [*starts[1:], len(of)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*parts, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = splitter(tokenizer_path).tokenizer.encode_batch
+        held, rows, last, last_tokens = [], 0, None, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                got = encode(part.column(0).to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(g) for g in got], pa.int64())], schema=schema)
-
-    return pieces.select("piece").distinct().mapInArrow(run, "piece string, tokens bigint")
+            pieces = batch.column(2).dictionary_encode()
+            different = pieces.dictionary.to_pylist()
+            new = different[1:] if different[0] == last else different
+            tokens = [len(e.ids) for at in range(0, len(new), 4096) for e in encode(new[at : at + 4096], add_special_tokens=False)]
+            tokens = np.array(([last_tokens] if len(new) < len(different) else []) + tokens, np.int64)
+            last, last_tokens = different[-1], int(tokens[-1])
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), tokens[pieces.indices.to_numpy()]))
+            rows += batch.num_rows
+            if rows >= AT_A_TIME:
+                yield packed(held)
+                held, rows = [], 0
+        if held:
+            yield packed(held)
+
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartition(parts, "piece").sortWithinPartitions("piece").select("of", "at", "piece").mapInArrow(
+        run, "of bigint, at binary, tokens binary")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row per document: the id column, n_bytes, n_tokens, and over_limit (more than ``limit`` tokens)."""
     held = stored(chunks(docs, tokenizer_path, id_col, text_col), "piece-chunks")
     places = held.select(F.col("chunk").alias("of"), F.posexplode("pieces").alias("at", "piece"))
-    lengths = places.join(piece_lengths(places, tokenizer_path), "piece").select("of", "at", "tokens")
+    lengths = piece_lengths(places, tokenizer_path)
     out = StructType.fromDDL(f"key {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
     schema = to_arrow_schema(out)
 
     def multiply(chunk: pa.Table, lengths: pa.Table) -> pa.Table:
         of = {name: chunk.column(name)[0].as_py() for name in ("sizes", "special", "per_piece", "rows", "times")}
-        tokens = np.zeros(lengths.num_rows, np.int64)
-        tokens[lengths.column("at").to_numpy()] = lengths.column("tokens").to_numpy()
+        per_piece = _unpacked(of["per_piece"])
+        tokens = np.zeros(len(per_piece), np.int64)
+        for at, found in zip(lengths.column("at").to_pylist(), lengths.column("tokens").to_pylist(), strict=True):
+            tokens[np.cumsum(_unpacked(at))] = _unpacked(found)
         total = np.array(of["special"], np.int64)
-        np.add.at(total, _unpacked(of["rows"]), np.repeat(tokens, _unpacked(of["per_piece"])) * _unpacked(of["times"]))
+        np.add.at(total, _unpacked(of["rows"]), np.repeat(tokens, per_piece) * _unpacked(of["times"]))
         return pa.Table.from_arrays([
             pa.concat_arrays([chunk.column("keys").chunk(0)[0].values.cast(schema.field("key").type)]),
             pa.array(of["sizes"], pa.int64()), pa.array(total)], schema=schema)
