@@ -141,9 +141,12 @@ def load_index(spark: SparkSession, path: str, key: str, fields: Sequence[str])
 
 # ---------------------------------------------------------------- scoring
 
-def _bm25_weight() -> Column:
-    """Weight of a term in a field, from the columns tf, field_len, df, n_docs and avg_len."""
-    tf, field_len, df, n, avg_len = map(F.col, ["tf", "field_len", "df", "n_docs", "avg_len"])
+def _bm25_weight(tf: str = "tf", field_len: str = "field_len") -> Column:
+    """Weight of a term in a field, from the named columns and df, n_docs and avg_len.
+
+    It grows with tf and falls with field_len.
+    """
+    tf, field_len, df, n, avg_len = map(F.col, [tf, field_len, "df", "n_docs", "avg_len"])
     idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
     return idf * ((K1 + 1) * tf / (tf + K1 * ((1 - B) + B * field_len / avg_len)))
 

@@ -98,6 +98,12 @@ FROM ({page(20)}) h JOIN papers USING (doc_id)"""
 ORACLES["search_exact"] = hits(q.QUERY, fuzziness=0)
 ORACLES["search_indexed"] = hits(q.QUERY)
 ORACLES["search_indexed_fuzzy"] = hits(q.MISSPELT_QUERY)
+ORACLES["index_upsert"] = hits(q.QUERY)
+# the papers that a delete by the toxic ids leaves
+LEFT = f"SELECT * FROM ({PAPERS}) p WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+ORACLES["index_delete"] = hits(q.QUERY).replace(f"papers AS ({PAPERS})", f"papers AS ({LEFT})")
+ORACLES["index_compacted"] = hits(q.MISSPELT_QUERY).replace(f"papers AS ({PAPERS})", f"papers AS ({LEFT})")
+ORACLES["index_top"] = hits(q.QUERY, 30, 5, operator="OR")
 ORACLES["search_title"] = hits(q.TITLE_QUERY, fields={"title": 1.0}, fuzziness=0, operator="OR")
 ORACLES["search_paged"] = hits(q.QUERY, 30, 20)
 ORACLES["search_prefer_complete"] = hits(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from litsearch.functions.fuzzy import similar_terms
 from litsearch.functions.text import tokenize
 from litsearch.operators import (
-    body, clean, dedup, layout, news, profile, search, store, summarize, tfidf, vector,
+    body, clean, dedup, layout, news, profile, search, segments, store, summarize, tfidf, vector,
 )
 from litsearch.plans.views import FEEDS_SQL, paper_files, papers, table
 from litsearch.sources import files, tables
@@ -30,6 +30,7 @@ BATCH_BYTES = 200_000
 SAMPLE_FRACTION = 0.1
 SENTENCES = 2
 SLICE = (1000, 2999)
+SLOT_ROWS = 128
 
 
 def _r6(name: str):
@@ -337,6 +338,40 @@ def search_prefer_complete_indexed(spark, d):
     return search.search(index, QUERY, doc_boost=F.col("complete")).select("doc_id", _r6("score"))
 
 
+def _segmented(spark, docs):
+    return segments.create_index(docs, "doc_id", list(search.DEFAULT_BOOSTS), scratch_path(spark, "segments"), slot_rows=SLOT_ROWS)
+
+
+def index_upsert(spark, d):
+    """Papers of one language come later, of another with a longer body: the index ends up with all papers."""
+    now = papers(spark, d)
+    before = now.filter("journal <> 'de'").withColumn("body", F.when(F.col("journal") == "en", F.col("abstract")).otherwise(F.col("body")))
+    index = segments.index_upsert(_segmented(spark, before), now.filter("journal IN ('de', 'en')"))
+    return segments.search_index(index, QUERY).select("doc_id", _r6("score"))
+
+
+def index_delete(spark, d):
+    toxic = table(spark, d, "labels").filter("toxic = 1")
+    index = segments.index_delete(_segmented(spark, papers(spark, d)), toxic)
+    return segments.search_index(index, QUERY).select("doc_id", _r6("score"))
+
+
+def index_compacted(spark, d):
+    """Papers come in batches, the Spanish ones twice; some are deleted, then segments of a size are merged."""
+    now = papers(spark, d)
+    spanish = now.filter("journal = 'es'")
+    index = _segmented(spark, now.filter("journal NOT IN ('fr', 'de', 'es') OR journal IS NULL"))
+    for batch in (now.filter("journal IN ('fr', 'de')"), spanish.withColumn("body", F.col("title")), spanish):
+        index = segments.index_upsert(index, batch)
+    index = segments.index_delete(index, table(spark, d, "labels").filter("toxic = 1"))
+    return segments.search_index(segments.compact_index(index, tier=2), MISSPELT_QUERY).select("doc_id", _r6("score"))
+
+
+def index_top(spark, d):
+    index = _segmented(spark, papers(spark, d))
+    return segments.search_index(index, QUERY, operator="OR", offset=5, size=30).select("doc_id", _r6("score"))
+
+
 def search_title(spark, d):
     hits = search.search(papers(spark, d), TITLE_QUERY, "doc_id", {"title": 1}, 0, "OR")
     return hits.select("doc_id", _r6("score"))
@@ -462,7 +497,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         search_fuzzy, search_exact, search_indexed, search_indexed_fuzzy, search_title, search_paged, search_response,
-        search_prefer_complete, search_prefer_complete_indexed, search_batch, match_all, fuzzy_terms, postings, vector_search,
+        search_prefer_complete, search_prefer_complete_indexed, search_batch,
+        index_upsert, index_delete, index_compacted, index_top, match_all, fuzzy_terms, postings, vector_search,
         vector_rerank, tfidf_search, tfidf_idf, tfidf_weights, tfidf_query_vector,
         tfidf_title_abstract, tfidf_stats, token_counts, term_counts, stopword_filter, clean_text,
         papers_clean, fill_typed, missing_flags, keyword_filter, contains_filter, pattern_filter,
