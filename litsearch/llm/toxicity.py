@@ -21,13 +21,15 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litsearch.llm.common import crc_class, map_slices
 
 SAMPLE = 2000
 SAMPLE_CHARS = 6_000_000
+#: Longer labelled texts are scored, but not learned from.
+LONGEST_SAMPLED = 200_000
 LANDMARKS = 128
 DECAY = 0.85
 SPAN = 6
@@ -35,7 +37,7 @@ SPAN = 6
 LONGEST = 24
 THRESHOLD = 0.3
 #: Words that a worker remembers; then it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -279,20 +281,33 @@ def _curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE,
-                    chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """At most ``sample`` training documents per class, and ``chars`` characters, by hash of the id."""
+                    chars: int = SAMPLE_CHARS, longest: int = LONGEST_SAMPLED) -> list[tuple[str, int]]:
+    """At most ``sample`` training documents and ``chars`` / 2 characters of each class, by hash of the id.
+
+    A text above ``longest`` characters is left out by itself, as is one that would go beyond what is left of its class's
+    characters. Of the rows of one id one text counts. Ids and lengths are chosen from first, so that no
+    task or driver holds more texts than are taken.
+    """
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.groupBy("id").agg(F.max("y").alias("y")).where(crc_class("id", 4) != 2)
     picked = None
     for y in (0, 1):
         one = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
         picked = one if picked is None else picked.unionAll(one)
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null")
-    rows = texts.join(F.broadcast(picked), "id")  # at most 2 x sample ids
-    so_far = Window.orderBy(F.xxhash64("id"), "text")
-    rows = (rows.withColumn("n", F.char_length("text")).withColumn("so_far", F.sum("n").over(so_far))
-            .where(F.col("so_far") <= chars))
-    return [(r["text"], r["y"]) for r in rows.orderBy("so_far").select("text", "y").collect()]
+    n = F.char_length("text").cast("long")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").where(n <= longest)
+    rows = texts.join(F.broadcast(picked), "id").withColumn("n", n).withColumn("hash", F.xxhash64("text"))  # at most 2 x sample ids
+    places = rows.groupBy("id", "y").agg(F.min(F.struct("hash", "n")).alias("one")).select("id", "y", "one.*", F.xxhash64("id").alias("place"))
+    left, chosen = {0: chars // 2, 1: chars - chars // 2}, []
+    for r in sorted(places.collect(), key=lambda r: (r.place, r.id)):
+        if r.n <= left[r.y]:
+            left[r.y] -= r.n
+            chosen.append((r.id, r.hash))
+    if not chosen:
+        return []
+    taken = docs.sparkSession.createDataFrame(chosen, rows.select("id", "hash").schema)
+    found = rows.join(F.broadcast(taken), ["id", "hash"]).groupBy("id", "y").agg(F.any_value("text").alias("text"), F.first(F.xxhash64("id")).alias("place"))
+    return [(r["text"], r["y"]) for r in found.orderBy("place", "id").select("text", "y").collect()]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
