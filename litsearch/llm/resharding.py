@@ -77,20 +77,21 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[in
 
 
 def reshard(docs: DataFrame, new_shards: int, id_col: str = "doc_id", text_col: str = "text",
-            old_shard=None, capacities: list[int] | None = None) -> DataFrame:
-    """One row per input row: the id column, ``size`` (UTF-8 bytes + 1), ``text_crc32``, ``old_shard``,
+            old_shard=None, capacities: list[int] | None = None, row_col: str | None = None) -> DataFrame:
+    """One row per input row: the id column, ``row_col`` if given, ``size`` (UTF-8 bytes + 1), ``text_crc32``, ``old_shard``,
     ``shard``, ``slot`` (gapless from 0 in each shard), ``moved``.
 
     ``old_shard`` is a column expression for the present shard (int, from 0; default: rows hashed by
     id over half as many shards, as after a doubling). Without ``capacities`` each new shard takes
-    an equal share of the bytes.
+    an equal share of the bytes. ``row_col`` names a column that is different in every row
+    (:func:`with_row_key` adds one); rewriting files needs it.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     if old_shard is None:
         old_shard = F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(1, new_shards // 2)))
     rows = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+        F.crc32(text).alias("text_crc32"), old_shard.cast("int").alias("old_shard"), *([F.col(row_col).alias("row_key")] if row_col else []))
     rows = stored(rows.withColumn("block", F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(BLOCKS_PER_SHARD)).cast("int")), "shard-rows")
     blocks = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     sizes = {r[0]: r[1] for r in blocks.groupBy("old_shard").agg(F.sum("bytes")).collect()}
@@ -117,7 +118,8 @@ def reshard(docs: DataFrame, new_shards: int, id_col: str = "doc_id", text_col:
     cut = (placed.where("size(to) > 1")
            .withColumn("place", F.col("begin") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
            .withColumn("shard", F.element_at(F.filter("to", lambda t: t.low <= F.col("place")), -1)["target"]).drop("place"))
-    columns = ["id", "size", "text_crc32", "old_shard", "block", "shard"]
+    keys = ["row_key"] if row_col else []
+    columns = ["id", *keys, "size", "text_crc32", "old_shard", "block", "shard"]
     placed = stored(whole.select(*columns).unionAll(cut.select(*columns)), "sharded")
 
     numbered = Window.partitionBy("shard").orderBy("old_shard", "block")
@@ -126,19 +128,24 @@ def reshard(docs: DataFrame, new_shards: int, id_col: str = "doc_id", text_col:
     slot = Window.partitionBy("shard", "old_shard", "block").orderBy("id", "text_crc32", "size")
     out = placed.join(F.broadcast(first), ["shard", "old_shard", "block"])
     return out.select(
-        F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard",
+        F.col("id").alias(id_col), *([F.col("row_key").alias(row_col)] if row_col else []), "size", "text_crc32", "old_shard", "shard",
         (F.col("first") + F.row_number().over(slot) - 1).cast("long").alias("slot"),
         (F.col("shard") != F.col("old_shard")).alias("moved"))
 
 
-def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
+def with_row_key(docs: DataFrame, out: str = "row_key") -> DataFrame:
+    """``docs`` written once, with a number that is different in every row and stays with it."""
+    return stored(docs.withColumn(out, F.monotonically_increasing_id()), "keyed-rows")
+
+
+def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, row_col: str = "row_key") -> list[int]:
     """Write the documents of every shard that a move leaves or enters, one folder per shard, and
-    return their numbers; files of other shards can stay as they are."""
+    return their numbers; files of other shards can stay as they are.
+
+    ``docs`` and ``plan`` meet by ``row_col``, so each row is written once, however often its id and text are repeated.
+    """
     moves = plan.where("moved").select("old_shard", "shard").distinct()
     touched = sorted({r[0] for r in moves.select("old_shard").unionAll(moves.select("shard")).distinct().collect()})
-    keyed = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    to = plan.select(F.col(id_col).alias("_id"), F.col("text_crc32").alias("_crc"), "shard").distinct()
-    (keyed.join(to, keyed[id_col].eqNullSafe(to["_id"]) & (keyed["text_crc32"] == to["_crc"]))
-     .where(F.col("shard").isin(touched)).drop("_id", "_crc", "text_crc32")
-     .write.partitionBy("shard").parquet(path))
+    to = plan.where(F.col("shard").isin(touched)).select(row_col, "shard")
+    docs.drop("shard").join(to, row_col).drop(row_col).write.partitionBy("shard").parquet(path)
     return touched
