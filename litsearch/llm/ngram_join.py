@@ -1,15 +1,18 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash signatures in the layout of an LSH forest, read at one depth.
 
 Documents are sets of hashed five-word shingles. Each gets ``TREES`` signatures of ``DEPTH`` minimum hashes;
 a tree is the signatures in sorted order, and a prefix is a node of its trie. Starting from whole
 signatures, the matched prefix is shortened until pairs at the threshold share one in some tree with at
-least the target recall: 1 - (1 - s^d)^trees. Documents below such a node are candidates of each
-other; those whose signatures agree in enough places are joined, and each component of candidates
+least the target recall: 1 - (1 - s^d)^trees. That depth follows from the target alone and is the same for all
+documents, so what runs is banding by prefixes of d hashes, not a descent per document: with the target a pair
+may miss at any greater depth, whatever a document has met there. Documents below such a node are candidates of
+each other; those whose signatures agree in enough places are joined, and each component of candidates
 is verified exactly: true Jaccard similarity of all its pairs, in tiles. Links are counted there
 and never written out pair by pair.
 
 Documents with equal shingle sets are worked on once and counted as often as they occur. Large
-trie nodes and components are cut into tiles of ``TILE`` documents, a task per pair of tiles.
+trie nodes and components are cut into tiles of ``TILE`` documents (of ``TILE_SHINGLES`` shingles, where texts
+are compared), a task per pair of tiles.
 
 Defined results: words are separated by white space and lower-cased. A text of one to four words is
 one shingle of all its words; texts without words (null, empty) are copies of each other and link
@@ -39,8 +42,9 @@ TARGET = 0.9999
 #: Share of agreeing hashes from which a pair goes on to exact verification; pairs at the threshold
 #: fall below it with a chance of about one in a hundred million.
 AGREEING = 0.6
-TILE = 512
-REMEMBERED = 500_000
+#: Documents, and shingles of documents, that one side of a comparison holds at about.
+TILE, TILE_SHINGLES = 512, 500_000
+REMEMBERED = 200_000
 
 _WORDS: dict[str, int] = {}
 
@@ -109,19 +113,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     depth = prefix_depth()
 
     def signed(got: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"id": got["id"], "row": got["row"], "node": [], "sign": []}
+        out: dict[str, list] = {"id": got["id"], "row": got["row"], "node": [], "sign": [], "size": []}
         for text in got["text"]:
             items = shingles(text or "")
             out["node"].append(xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63))
             out["sign"].append(signature(items).tobytes() if len(items) else None)
+            out["size"].append(len(items))
         return out
 
     rows = stored(map_slices(docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),
                                          F.col(text_col).alias("text")), signed,
-                             "id bigint, row bigint, node bigint, sign binary"), "signed")
+                             "id bigint, row bigint, node bigint, sign binary, size bigint"), "signed")
     # the row that stays: smallest id, rows without id last
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("first")
-    sets = stored(rows.groupBy("node").agg(first, F.count("*").alias("n"), F.any_value("sign").alias("sign"))
+    sets = stored(rows.groupBy("node").agg(first, F.count("*").alias("n"), F.any_value("sign").alias("sign"), F.any_value("size").alias("size"))
                   .withColumn("rep", F.col("first.id")), "sets")
 
     def keyed(got: dict[str, list]) -> dict[str, list]:
@@ -139,8 +144,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = stored(nodes_below.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
                    .mapInArrow(_agreeing, "a bigint, b bigint").distinct(), "agreeing")
     candidates = components(edges, "candidates")
-    total = candidates.groupBy("root").agg(F.count("*").alias("m"))
-    inside = stored(candidates.join(total, "root").join(sets.select("node", "rep", "n"), "node"), "inside")
+    sized = candidates.join(sets.select("node", "rep", "n", "size"), "node")
+    total = sized.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("work"))
+    inside = stored(sized.drop("size").join(total, "root"), "inside")
 
     # the texts of candidates only, one per set, as shingles
     def itemised(got: dict[str, list]) -> dict[str, list]:
@@ -180,8 +186,12 @@ def _set_number(data):
 
 
 def _dealt(members: DataFrame, data: DataFrame) -> DataFrame:
-    """``members`` (with m, the size of their group) once per pair of tiles, with their data."""
+    """``members`` (with m, the size of their group, and work, its shingles, if they are to be
+    compared) once per pair of tiles, with their data."""
     tiles = F.ceil(F.col("m") / TILE).cast("int")
+    if "work" in members.columns:
+        # no more tiles than documents
+        tiles = F.least(F.col("m").cast("int"), F.greatest(tiles, F.ceil(F.col("work") / TILE_SHINGLES).cast("int")))
     tile = F.pmod(F.xxhash64(F.lit(7), "node"), F.greatest(F.lit(1), tiles)).cast("int")
     return (members.withColumn("tile", tile).withColumn("tiles", tiles)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -272,7 +282,7 @@ def _verified(batch: pd.DataFrame) -> pd.DataFrame:
     i, j = [], []
     marks = np.zeros(max(1, int((often > 1).sum())), np.int32)
     flat = np.concatenate([shared[y] for y in b]) if len(b) else np.zeros(0, int)
-    lengths = np.array([len(shared[y]) for y in b])
+    lengths = np.array([len(shared[y]) for y in b], np.int64)
     owner = np.repeat(np.arange(len(b)), lengths)
     for x in a:
         marks[shared[x]] = 1
