@@ -105,6 +105,20 @@ def test_near_copies_without_id_link(spark):
         (0, 0, 1, False), (0, 0, 1, True), (0, 7, 2, False), (0, 7, 2, False), (7, 7, 2, True), (8, 8, 1, False), (8, 8, 1, True)]
 
 
+def test_tiles_by_shingles_lose_no_link(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(40):
+        words = [*words[:110], *(f"n{rng.randrange(9999)}" for _ in range(4)), *words[114:]] if i % 4 == 0 else words
+        rows.append((i, " ".join([*words, f"end{i}"])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, ngram_join.jaccard_classes(frame).collect()))
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 300)
+    assert sorted(map(tuple, ngram_join.jaccard_classes(frame).collect())) == whole
+    assert any(r[2] for r in whole)
+
+
 def test_forest_prefix_is_shortened_to_the_target():
     d = ngram_join.prefix_depth()
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.TARGET
@@ -254,6 +268,32 @@ def test_toxicity_on_held_out_sentences(spark):
     assert (got[400].predicted, got[401].predicted, got[402].predicted, got[403].predicted) == (0, 0, 1, 1)
 
 
+def test_one_long_text_does_not_empty_the_toxicity_sample(spark):
+    rows = [(i, f"text number {i}") for i in range(60)] + [(i, "x" * 300_000) for i in range(60, 70)] + [(3, "another"), (4, "text number 4")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    got = toxicity.sample_labelled(docs, labels)
+    assert len(got) == len(learned) and {y for _, y in got} == {0, 1}
+    # each class has its own characters; a text that does not fit is passed over alone
+    few = toxicity.sample_labelled(docs, labels, chars=100, longest=1_000_000)
+    assert {y for _, y in few} == {0, 1} and all(sum(len(t) for t, z in few if z == y) <= 50 for y in (0, 1))
+    assert toxicity.sample_labelled(docs.limit(0), labels) == []
+
+
+def test_rewriting_keeps_every_row_once(spark, tmp_path):
+    texts = ["t" * (i % 50) for i in range(600)] + ["copy"] * 200
+    docs = spark.createDataFrame([(None if i % 3 else i // 2, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, shard int")
+    keyed = resharding.with_row_key(docs)
+    plan = resharding.reshard(keyed, 6, row_col="row_key")
+    touched = resharding.rewrite_affected(keyed, plan, str(tmp_path / "shards"))
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    place = {r.row_key: r.shard for r in plan.collect()}
+    expected = sorted((r.doc_id or -1, r.text, place[r.row_key]) for r in keyed.collect() if place[r.row_key] in touched)
+    assert sorted((r.doc_id or -1, r.text, r.shard) for r in written.collect()) == expected
+    assert touched == list(range(6)) and len(expected) == 800
+
+
 def test_resharding_moves_least_and_balances(spark, odd):
     flow = resharding.min_cost_flow([50, 30, 20], [25, 25, 25, 25], lambda i, j: int(i != j))
     assert sum(flow.values()) == 100 and sum(v for (i, j), v in flow.items() if i != j) == 30
