@@ -357,14 +357,14 @@ def index_delete(spark, d):
 
 
 def index_compacted(spark, d):
-    """Papers come in batches, the Spanish ones twice; some are deleted, then segments of a size are merged."""
+    """Papers come in batches, the Spanish ones twice; some are deleted, then all is merged."""
     now = papers(spark, d)
     spanish = now.filter("journal = 'es'")
     index = _segmented(spark, now.filter("journal NOT IN ('fr', 'de', 'es') OR journal IS NULL"))
     for batch in (now.filter("journal IN ('fr', 'de')"), spanish.withColumn("body", F.col("title")), spanish):
         index = segments.index_upsert(index, batch)
     index = segments.index_delete(index, table(spark, d, "labels").filter("toxic = 1"))
-    return segments.search_index(segments.compact_index(index, tier=2), MISSPELT_QUERY).select("doc_id", _r6("score"))
+    return segments.search_index(segments.compact_index(index, all_segments=True), MISSPELT_QUERY).select("doc_id", _r6("score"))
 
 
 def index_top(spark, d):
