@@ -36,8 +36,8 @@ SPAN = 6
 #: Words longer than this are looked at in overlapping parts.
 LONGEST = 24
 THRESHOLD = 0.3
-#: Words that a worker remembers; then it starts afresh.
-REMEMBERED = 250_000
+#: Words that a worker remembers.
+REMEMBERED = 400_000
 
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -121,6 +121,7 @@ class ToxicWords:
     def _start(self) -> None:
         self.kernel = Kernel(self.landmarks)
         self.raw: dict[str, float] = {}
+        self.older: dict[str, float] = {}
         self.known: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
@@ -134,12 +135,16 @@ class ToxicWords:
         return self.kernel.rows(words) @ self.weights + self.bias
 
     def learn(self, words: set[str]) -> None:
-        """Make every word known."""
+        """Make every word known. Words that are met again outlive those that are not."""
         new = words.difference(self.raw)
-        if len(self.raw) + len(new) > REMEMBERED:
-            self.raw.clear()
+        if len(self.raw) + len(new) > REMEMBERED // 2:
+            self.older, self.raw = self.raw, {}
             self.known.clear()
             new = words
+        again = [w for w in new if w in self.older]
+        for w in again:
+            self.raw[w] = self.older[w]
+        new = new.difference(again)
         cores = {w: letters(w) for w in new}
         fresh = sorted(set(cores.values()).difference(self.known))
         split = [(w, p) for w in fresh for p in parts(w)]
