@@ -149,6 +149,7 @@ VECTOR = "[" + ", ".join(f"cast({v!r} AS double)" for v in q.QUERY_VECTOR) + "]"
 COSINE = f"list_cosine_similarity(cast(embedding AS double[]), {VECTOR})"
 ORACLES["vector_search"] = f"""SELECT vec_id AS doc_id, round({COSINE} + 1, 6) AS score
 FROM embeddings ORDER BY {COSINE} DESC, vec_id LIMIT 20"""
+ORACLES["vector_search_indexed"] = ORACLES["vector_search"]
 ORACLES["vector_rerank"] = f"""{scores_cte(q.QUERY)}
 SELECT h.doc_id, round({COSINE} + 1, 6) AS score
 FROM ({page(50)}) h LEFT JOIN embeddings e ON e.vec_id = h.doc_id"""

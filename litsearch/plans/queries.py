@@ -11,6 +11,7 @@ from litsearch.functions.fuzzy import similar_terms
 from litsearch.functions.text import tokenize
 from litsearch.operators import (
     body, clean, dedup, layout, news, profile, search, segments, store, summarize, tfidf, vector,
+    vector_index,
 )
 from litsearch.plans.views import FEEDS_SQL, paper_files, papers, table
 from litsearch.sources import files, tables
@@ -410,6 +411,11 @@ def vector_search(spark, d):
     return vector.vector_search(_vectors(spark, d), QUERY_VECTOR, "doc_id").select("doc_id", _r6("score"))
 
 
+def vector_search_indexed(spark, d):
+    index = vector_index.write_vectors(_vectors(spark, d), "doc_id", scratch_path(spark, "vectors"), folders=16)
+    return vector_index.search_vectors(index, QUERY_VECTOR).select("doc_id", _r6("score"))
+
+
 def vector_rerank(spark, d):
     hits = search.search(papers(spark, d), QUERY, "doc_id", size=50)
     return vector.rerank(hits, _vectors(spark, d), QUERY_VECTOR, "doc_id").select("doc_id", _r6("score"))
@@ -498,7 +504,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         search_fuzzy, search_exact, search_indexed, search_indexed_fuzzy, search_title, search_paged, search_response,
         search_prefer_complete, search_prefer_complete_indexed, search_batch,
-        index_upsert, index_delete, index_compacted, index_top, match_all, fuzzy_terms, postings, vector_search,
+        index_upsert, index_delete, index_compacted, index_top, match_all, fuzzy_terms, postings, vector_search, vector_search_indexed,
         vector_rerank, tfidf_search, tfidf_idf, tfidf_weights, tfidf_query_vector,
         tfidf_title_abstract, tfidf_stats, token_counts, term_counts, stopword_filter, clean_text,
         papers_clean, fill_typed, missing_flags, keyword_filter, contains_filter, pattern_filter,
