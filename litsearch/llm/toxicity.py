@@ -287,10 +287,10 @@ def _curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE,
                     chars: int = SAMPLE_CHARS, longest: int = LONGEST_SAMPLED) -> list[tuple[str, int]]:
-    """At most ``sample`` training documents and ``chars`` / 2 characters of each class, by hash of the id.
+    """At most ``sample`` training documents of each class and ``chars`` characters, by hash of the id.
 
-    A text above ``longest`` characters is left out by itself, as is one that would go beyond what is left of its class's
-    characters. Of the rows of one id one text counts. Ids and lengths are chosen from first, so that no
+    Half of the characters are each class's own; what one class leaves goes to the other. A text above ``longest``
+    characters is left out by itself, as is one that would go beyond what is left. Of the rows of one id one text counts. Ids and lengths are chosen from first, so that no
     task or driver holds more texts than are taken.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
@@ -303,11 +303,18 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic", sa
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").where(n <= longest)
     rows = texts.join(F.broadcast(picked), "id").withColumn("n", n).withColumn("hash", F.xxhash64("text"))  # at most 2 x sample ids
     places = rows.groupBy("id", "y").agg(F.min(F.struct("hash", "n")).alias("one")).select("id", "y", "one.*", F.xxhash64("id").alias("place"))
-    left, chosen = {0: chars // 2, 1: chars - chars // 2}, []
+    left, chosen, others = {0: chars // 2, 1: chars - chars // 2}, [], []
     for r in sorted(places.collect(), key=lambda r: (r.place, r.id)):
         if r.n <= left[r.y]:
             left[r.y] -= r.n
             chosen.append((r.id, r.hash))
+        else:
+            others.append(r)
+    spare = sum(left.values())
+    for r in others:
+        if r.n <= spare:
+            spare -= r.n
+            chosen.append((r.id, r.hash))
     if not chosen:
         return []
     taken = docs.sparkSession.createDataFrame(chosen, rows.select("id", "hash").schema)
