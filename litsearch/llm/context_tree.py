@@ -3,23 +3,24 @@
 Every byte is eight binary decisions; each decision node has its own tree of contexts, the up to
 ``ORDER`` whole bytes before it (what lies before a text's start is a sign of its own). In every context
 counts of zeros and ones give a Krichevsky-Trofimov estimate, and weighting mixes the estimates of all
-depths: P(s) = 1/2 KT(s) + 1/2 product of P(child contexts). Counts come from all training documents
-and grow with them: they are rows (context and node, zeros, ones), summed by Spark, weighted bottom-up
-by one aggregation per depth and mixed top-down by one join per depth; no table of them is gathered
-or broadcast. A context that only scored documents have counts as one with zeros and ones of 0, which
-changes no other. The model is frozen for scoring: a text's score is the sum of log10 probabilities of
-its bytes, and the code length per byte follows from it.
+depths: P(s) = 1/2 KT(s) + 1/2 product of P(child contexts). A context that only scored documents have
+counts as one with zeros and ones of 0, which changes no other. The model is frozen for scoring: a text's
+score is the sum of log10 probabilities of its bytes, and the code length per byte follows from it.
+
+The counts are one row per different byte in context, and grow with the training documents. Texts are dealt in
+blocks of about ``BLOCK_BYTES`` bytes; a block sends its different bytes in context, sorted and packed, to
+buckets by their newest three bytes, so that every tree below depth ``TOP`` lies in one bucket, and gets one
+number back for each. Buckets are met twice: first they give the sums of depth ``TOP``, then, with the weights
+of the depths up to ``TOP``, the probabilities. Only those upper nodes pass through the driver: at most 257^2
+contexts with 255 nodes each, whatever the corpus. The number of buckets grows with the bytes of the table.
 
 A unigram score is given beside it. Documents are grouped in chunks of about ``CHUNK_WORDS`` words or
-``CHUNK_BYTES`` bytes; a chunk's different words, and its different bytes in context, each with where
-it occurs in the chunk, meet the counts and the probabilities in shuffle joins.
+``CHUNK_BYTES`` bytes; a chunk's different words, each with where it occurs in the chunk, meet the counts in
+a shuffle join.
 
 Defined results: a null text is the empty text, which has one token (the end) and score 0. Repeated rows
 are scored one by one; rows without an id are training rows. Without training documents all bytes have
-probability 1/256. Other columns are ignored.
-
-``codes`` and ``weighted_table`` hold a small tree (``DEPTH`` bytes of five bits) as one dense table, for
-comparison.
+probability 1/256. Very long texts go over several blocks, with the bytes before each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,23 +28,27 @@ from __future__ import annotations
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from operator import mul
+from itertools import count
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsearch.llm.common import SLICE, crc_class, stored
+from litsearch.llm.common import SLICE, crc_class, mix, stored, tasks
 
 #: Context bytes, and bits of each: 0 is before the start, 1 to 256 are the bytes.
 ORDER = 6
 SIGN = 9
-DEPTH = 3
-FOLD = 5
-SYMBOLS = 256
-CONTEXTS = 1 << (FOLD * DEPTH)
+#: Depth up to which a node's subtree may lie in several buckets.
+TOP = 2
+#: Bytes of a block, of a piece of a long text, and of the table per bucket.
+BLOCK_BYTES = 8_000_000
+SEGMENT_BYTES = 2_000_000
+BUCKET_BYTES = 8_000_000
+#: Counts whose logarithms of factorials are looked up.
+LOOKED_UP = 1 << 14
 #: Words of a chunk, and different words that a worker counts before it hands them on.
 CHUNK_WORDS = 400_000
 CHUNK_BYTES = 4_000_000
@@ -53,195 +58,211 @@ COUNTED = 200_000
 END = b"\n"  # no word contains it
 
 
-def codes(text: bytes) -> np.ndarray:
-    """Context and byte of every position, as one number below CONTEXTS * 256."""
-    b = np.frombuffer(text, np.uint8).astype(np.int64)
-    out = b.copy()
-    folded = b & ((1 << FOLD) - 1)
-    for back in range(1, DEPTH + 1):
-        if len(b) > back:
-            out[back:] |= folded[:-back] << (8 + FOLD * (back - 1))
-    return out
-
-
 def words(text: str) -> list[bytes]:
     """Lower-cased (A-Z) words; only ASCII white space separates."""
     return text.encode().lower().split()
 
 
-def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    def lg(x):  # log gamma(x + 1/2) - log gamma(1/2), by Stirling's series from x + 8
-        y = x + 8.5
-        value = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3)
-        for k in range(8):
-            value = value - np.log(x + 0.5 + k)
-        return value - 0.5723649429247001
-
-    def factorial(x):
-        y = x + 9.0
-        value = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3)
-        for k in range(8):
-            value = value - np.log(x + 1.0 + k)
-        return value
-
-    z, o = zeros.astype(np.float64), ones.astype(np.float64)
-    return lg(z) + lg(o) - factorial(z + o)
-
-
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(zeros, ones) of the 255 decision nodes of every context, from counts per byte."""
-    zeros = np.zeros((len(counts), SYMBOLS), np.int64)
-    ones = np.zeros_like(zeros)
-    for depth in range(8):
-        width = SYMBOLS >> depth
-        sums = counts.reshape(len(counts), 1 << depth, 2, width // 2).sum(3)
-        zeros[:, (1 << depth) : (2 << depth)] = sums[:, :, 0]
-        ones[:, (1 << depth) : (2 << depth)] = sums[:, :, 1]
-    return zeros, ones
-
-
-def weighted_table(counts: np.ndarray) -> np.ndarray:
-    """log10 probability of every byte in every deepest context, from counts [CONTEXTS, 256].
-
-    Worked off one newest context byte at a time, so that memory stays small; the root joins them.
-    """
-    step = 1 << FOLD
-    by_newest = counts.reshape(-1, step, SYMBOLS)  # [older bytes, newest byte, symbol]
-    out = np.zeros((by_newest.shape[0], step, SYMBOLS), np.float32)
-    log_half = np.log(0.5)
-    root_children = np.zeros(SYMBOLS)
-    kept = []
-    for newest in range(step):
-        levels, level = [], by_newest[:, newest]  # deepest contexts with this newest byte
-        while True:
-            levels.append(level)
-            if len(level) == 1:
-                break
-            level = level.reshape(step, -1, SYMBOLS).sum(0)  # drop the oldest byte
-        log_p, ratios, chances = None, [], []
-        for depth, level in enumerate(levels):
-            zeros, ones = _bits(level)
-            kt = _log_kt(zeros, ones)
-            chances.append(((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32))
-            if depth == 0:
-                log_p = kt
-            else:
-                children = log_p.reshape(step, -1, SYMBOLS).sum(0)
-                ratios.append(np.clip(kt - children, -60, 60))
-                log_p = np.logaddexp(log_half + kt, log_half + children)
-        root_children += log_p[0]
-        kept.append((chances, ratios))
-    zeros, ones = _bits(counts.sum(0)[None, :])
-    root_ratio = np.clip(_log_kt(zeros, ones) - root_children, -60, 60)
-    root_chance = (ones + 0.5) / (zeros + ones + 1.0)
-    for newest, (chances, ratios) in enumerate(kept):
-        one = chances[0].astype(np.float64)  # [deepest contexts, node]
-        for chance, ratio in zip(chances[1:], ratios, strict=True):
-            many = len(one) // len(chance)
-            share = 1 / (1 + np.exp(-np.tile(ratio, (many, 1))))
-            one = share * np.tile(chance, (many, 1)) + (1 - share) * one
-        share = 1 / (1 + np.exp(-root_ratio))
-        one = share * root_chance + (1 - share) * one
-        log_one, log_zero = np.log10(one), np.log10(1 - one)
-        total = np.zeros((len(one), SYMBOLS))
-        byte = np.arange(SYMBOLS)
-        for depth in range(8):
-            node = (1 << depth) | (byte >> (8 - depth))
-            bit = (byte >> (7 - depth)) & 1
-            total += np.where(bit, log_one[:, node], log_zero[:, node])
-        out[:, newest] = total
-    return out.reshape(CONTEXTS, SYMBOLS)
-
-
-def long_codes(text: bytes, order: int = ORDER) -> np.ndarray:
-    """Context of whole bytes (newest lowest) and byte of every position, as one number."""
+def long_codes(text: bytes, order: int = ORDER, lead: int = 0) -> np.ndarray:
+    """Context of whole bytes (newest highest) and byte of every position from ``lead`` on, as one number."""
     b = np.frombuffer(text, np.uint8).astype(np.int64)
     out = b.copy()
     for back in range(1, order + 1):
         if len(b) > back:
-            out[back:] |= (b[:-back] + 1) << (8 + SIGN * (back - 1))
-    return out
+            out[back:] |= (b[:-back] + 1) << (8 + SIGN * (order - back))
+    return out[lead:]
+
+
+class _LogGamma:
+    """log gamma(count + shift) - log gamma(shift) for whole counts: a table, and Stirling's series beyond it."""
+
+    def __init__(self, shift: float):
+        self.shift, self.low = shift, lgamma(shift)
+        self.table = np.array([lgamma(i + shift) - self.low for i in range(LOOKED_UP)])
+
+    def __call__(self, counts: np.ndarray) -> np.ndarray:
+        out = self.table[np.minimum(counts, LOOKED_UP - 1)]
+        many = np.flatnonzero(counts >= LOOKED_UP)
+        if len(many):
+            y = counts[many] + self.shift
+            out[many] = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - self.low
+        return out
+
+
+_HALVES, _WHOLES = _LogGamma(0.5), _LogGamma(1.0)
+
+
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    return _HALVES(zeros) + _HALVES(ones) - _WHOLES(zeros + ones)
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.r_[True, key[1:] != key[:-1]]
 
 
-def _log_kt_column(zeros, ones):
-    """``_log_kt`` as an expression."""
-    def series(x, shift: float):
-        y = x + (8 + shift)
-        return ((y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y)
-                - F.log(reduce(mul, [x + (shift + k) for k in range(8)])))
+class _Level:
+    """The nodes of one depth: sorted keys, counts, estimate, and what weighting makes of them."""
 
-    z, o = zeros.cast("double"), ones.cast("double")
-    kt = series(z, 0.5) + series(o, 0.5) - 2 * 0.5723649429247001 - series(z + o, 1.0)
-    return F.when(zeros + ones == 0, 0.0).otherwise(kt)
+    def __init__(self, key, zeros, ones, log_children=None):
+        start = _starts(key)
+        at = np.flatnonzero(start)
+        self.member = np.cumsum(start) - 1  # the node that each row of the level below belongs to
+        self.key, self.zeros, self.ones = key[at], np.add.reduceat(zeros, at), np.add.reduceat(ones, at)
+        kt = log_kt(self.zeros, self.ones)
+        if log_children is None:
+            self.log_p, self.share = kt, np.ones(len(at))
+        else:
+            children = np.add.reduceat(log_children, at)
+            self.log_p = np.logaddexp(kt, children) - np.log(2)
+            self.share = 1 / (1 + np.exp(np.clip(children - kt, -700, 700)))
+
+    def above(self) -> _Level:
+        return _Level(self.key >> SIGN, self.zeros, self.ones, self.log_p)
+
+    def down(self, given: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the rows below: the probability of a one so far, and the weight left for longer contexts."""
+        given = given + left * self.share * (self.ones + 0.5) / (self.zeros + self.ones + 1.0)
+        return given[self.member], (left * (1 - self.share))[self.member]
+
+
+def _decisions(code: np.ndarray, n: np.ndarray, order: int, k: int, top: int):
+    """Decision ``k`` of every byte: (order of the rows by node and context, ones among them, levels from the
+    deepest up to the one below ``top``)."""
+    byte = code & 255
+    key = (1 << k | byte >> (8 - k)) << (SIGN * order) | code >> 8
+    by_key = np.argsort(key, kind="stable")
+    one = (byte[by_key] >> (7 - k)) & 1
+    times = n[by_key]
+    levels = [_Level(key[by_key], times * (1 - one), times * one)]
+    for _ in range(order - top - 1):
+        levels.append(levels[-1].above())
+    return by_key, one, levels
+
+
+def _sums_below_top(code: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
+    """key, zeros, ones, log_p of the children, of the nodes of depth ``TOP``."""
+    out = []
+    for k in range(8):
+        level = _decisions(code, n, order, k, TOP)[2][-1]
+        key = level.key >> SIGN
+        at = np.flatnonzero(_starts(key))
+        out.append([key[at], *(np.add.reduceat(x, at) for x in (level.zeros, level.ones, level.log_p))])
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def _upper(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log_children: np.ndarray) -> tuple[np.ndarray, ...]:
+    """key, given, left of the nodes of depth ``TOP``, from their sums, sorted by key."""
+    levels = [_Level(key, zeros, ones, log_children)]
+    for _ in range(TOP):
+        levels.append(levels[-1].above())
+    given, left = np.zeros(len(levels[-1].key)), np.ones(len(levels[-1].key))
+    for level in reversed(levels):
+        given, left = level.down(given, left)
+    return key, given, left
+
+
+def _log_chances(code: np.ndarray, n: np.ndarray, order: int, upper: tuple[np.ndarray, ...]) -> np.ndarray:
+    """log10 probability of every byte in its context."""
+    total = np.zeros(len(code))
+    for k in range(8):
+        by_key, one, levels = _decisions(code, n, order, k, TOP)
+        at = np.searchsorted(upper[0], levels[-1].key >> SIGN)
+        given, left = upper[1][at], upper[2][at]
+        for level in reversed(levels):
+            given, left = level.down(given, left)
+        total[by_key] += np.log10(np.where(one, given, 1 - given))
+    return total
+
+
+def _pack(numbers: np.ndarray, kind) -> bytes:
+    """Numbers byte by byte: all lowest bytes, then all next ones; the many zeros compress well."""
+    return np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+
+
+def _unpack(packed: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def _buckets(code: np.ndarray, order: int, buckets: int) -> np.ndarray:
+    newest = code >> (8 + SIGN * (order - TOP - 1))
+    return (mix(newest) % np.uint64(buckets)).astype(np.uint16 if buckets <= 65_536 else np.int64)
+
+
+def _dealt(code: np.ndarray, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different sorted codes by bucket: (their order, first row of each bucket met, the buckets)."""
+    bucket = _buckets(code, order, buckets)
+    by_bucket = np.argsort(bucket, kind="stable")
+    bucket = bucket[by_bucket]
+    first = np.flatnonzero(_starts(bucket)) if len(bucket) else np.zeros(0, np.int64)
+    return by_bucket, first, bucket[first].astype(np.int64)
+
+
+def _packed_rows(code: np.ndarray, seen: np.ndarray, order: int, buckets: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    """bucket, codes and counts of a block; codes as differences."""
+    by_bucket, first, met = _dealt(code, order, buckets)
+    code, seen = code[by_bucket], seen[by_bucket]
+    ends = np.r_[first[1:], len(code)]
+    return (met.tolist(), [_pack(np.diff(code[a:b], prepend=0), np.int64) for a, b in zip(first, ends, strict=True)],
+            [_pack(seen[a:b], np.uint32) for a, b in zip(first, ends, strict=True)])
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's different codes, their counts, and for the codes of its rows one after the other which they
+    are; the rows' ends."""
+    rows = [np.cumsum(_unpack(x.as_buffer(), np.int64)) for x in table.column("codes")]
+    seen = np.concatenate([_unpack(x.as_buffer(), np.uint32) for x in table.column("seen")])
+    code, place = np.unique(np.concatenate(rows), return_inverse=True)
+    # float sums of counts are exact up to 2^53
+    return code, np.bincount(place, seen, len(code)).astype(np.int64), place, np.cumsum([len(r) for r in rows])
+
+
+def packed_chances(packed: DataFrame, order: int = ORDER) -> DataFrame:
+    """part, block, bucket, codes, values: log10 probabilities (32 bits each) of the packed codes, in their order.
+    ``packed`` holds part, block, bucket, codes, seen; seen is 0 for what training does not hold."""
+    def sums(table: pa.Table) -> pa.Table:
+        code, n, _, _ = _merged(table)
+        return pa.table(dict(zip(("key", "zeros", "ones", "children"), _sums_below_top(code, n, order), strict=True)))
+
+    rows = packed.select("part", "block", "bucket", "codes", "seen")
+    tops = (rows.groupBy("bucket").applyInArrow(sums, "key bigint, zeros bigint, ones bigint, children double")
+            .groupBy("key").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "children"))).orderBy("key").toArrow())
+    upper = None
+    if tops.num_rows:
+        upper = packed.sparkSession.sparkContext.broadcast(_upper(*(tops.column(i).to_numpy() for i in range(4))))
+
+    def values(table: pa.Table) -> pa.Table:
+        code, n, place, ends = _merged(table)
+        value = _log_chances(code, n, order, upper.value).astype(np.float32)[place]
+        return table.drop_columns(["seen"]).append_column("values", pa.array(
+            [_pack(value[a:b], np.float32) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)], pa.binary()))
+
+    return rows.groupBy("bucket").applyInArrow(values, "part bigint, block bigint, bucket bigint, codes binary, values binary")
 
 
 def log_chances(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(code, value): log10 probability of the byte in its context, for every code of ``counts``
-    (code, n; n is 0 for what training does not hold) and some of their siblings."""
-    node = [F.expr(f"named_struct('key', (code & -256L) | {1 << k}L | shiftright(code & 255L, {8 - k}), "
-                   f"'one', shiftright(code & 255L, {7 - k}) & 1L)") for k in range(8)]
-    sums = (counts.select("n", F.explode(F.array(*node)).alias("at")).groupBy(F.col("at.key").alias("key"))
-            .agg(F.sum(F.col("n") * (1 - F.col("at.one"))).alias("zeros"), F.sum(F.col("n") * F.col("at.one")).alias("ones")))
-    kt, children = F.col("kt"), F.col("children")
-    mixed = F.greatest(kt, children) + F.log1p(F.exp(-F.abs(kt - children))) + float(np.log(0.5))
-    levels = {}
-    for depth in range(order, -1, -1):
-        rows = sums.withColumn("kt", _log_kt_column(F.col("zeros"), F.col("ones")))
-        if depth == order:
-            rows = rows.withColumn("log_p", kt).withColumn("share", F.lit(1.0))
-        else:
-            rows = rows.withColumn("log_p", mixed).withColumn("share", 1 / (1 + F.exp(children - kt)))
-        levels[depth] = stored(rows.select("key", "zeros", "ones", "log_p", "share"), f"context-tree-{depth}")
-        if depth:  # drop the oldest byte
-            sums = (levels[depth].groupBy(_parent(depth).alias("key"))
-                    .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_p").alias("children")))
-    # downwards: what the shorter contexts have given, and the weight left for the longer ones
-    above = None
-    for depth in range(order + 1):
-        chance = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
-        rows = levels[depth].select("key", "share", chance.alias("chance"), _parent(depth).alias("parent") if depth else F.lit(None).alias("parent"))
-        if above is None:
-            rows = rows.withColumn("given", F.lit(0.0)).withColumn("left", F.lit(1.0))
-        else:
-            rows = rows.join(above, "parent")
-        above = rows.select(F.col("key").alias("parent"), (F.col("given") + F.col("left") * F.col("share") * F.col("chance")).alias("given"),
-                            (F.col("left") * (1 - F.col("share"))).alias("left"))
-    deepest = above.select(F.shiftright("parent", 8).alias("context"), F.col("parent").alias("key"), F.col("given").alias("one"))
-    return (deepest.repartition("context").sortWithinPartitions("key").select("key", "one")
-            .mapInArrow(_bytes_of_nodes, "code bigint, value double"))
-
-
-def _parent(depth: int):
-    """The key of a node of ``depth`` context bytes without its oldest byte."""
-    return F.expr(f"key & {(1 << (8 + SIGN * (depth - 1))) - 1}L")
-
-
-def _bytes_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Probabilities of bytes from those of their eight decisions. Rows come sorted by key; a context
-    that goes on in the next batch is carried over (it has 255 nodes at most)."""
-    def worked(key: np.ndarray, one: np.ndarray) -> pa.RecordBatch:
-        log_one, log_zero = np.log10(one), np.log10(1 - one)
-        last = np.flatnonzero((key & 255) >= 128)  # decisions of the last bit
-        context, node = key[last] >> 8, key[last] & 255
-        total = np.zeros(len(last))
-        for k in range(7):
-            at = np.searchsorted(key, context << 8 | node >> (7 - k))
-            total += np.where(node >> (6 - k) & 1, log_one[at], log_zero[at])
-        code = context << 8 | (node & 127) << 1
-        return pa.RecordBatch.from_arrays([pa.array(np.r_[code, code | 1]), pa.array(np.r_[total + log_zero[last], total + log_one[last]])],
-                                          ["code", "value"])
-
-    key, one = np.zeros(0, np.int64), np.zeros(0)
-    for batch in batches:
-        if batch.num_rows:
-            key, one = np.r_[key, batch.column("key").to_numpy()], np.r_[one, batch.column("one").to_numpy()]
-            cut = int(np.searchsorted(key, key[-1] >> 8 << 8))
-            if cut:
-                yield worked(key[:cut], one[:cut])
-                key, one = key[cut:], one[cut:]
-    if len(key):
-        yield worked(key, one)
+    (code, n; a code is in one row, n is 0 for what training does not hold)."""
+    buckets = tasks(counts)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, batch in enumerate(batches):
+            code, n = batch.column("code").to_numpy(), batch.column("n").to_numpy()
+            at = np.argsort(code)
+            met, codes, seen = _packed_rows(code[at], n[at], order, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(met), np.int64)), pa.array(np.full(len(met), block)), pa.array(met, pa.int64()),
+                                              pa.array(codes, pa.binary()), pa.array(seen, pa.binary())],
+                                             ["part", "block", "bucket", "codes", "seen"])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, values in zip(batch.column("codes"), batch.column("values"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(_unpack(codes.as_buffer(), np.int64))),
+                                                  pa.array(_unpack(values.as_buffer(), np.float32).astype(np.float64))], ["code", "value"])
+
+    rows = counts.select("code", "n").mapInArrow(packed, "part bigint, block bigint, bucket bigint, codes binary, seen binary")
+    return packed_chances(stored(rows, "context-codes"), order).mapInArrow(opened, "code bigint, value double")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -274,23 +295,23 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
     counts = stored(word_counts(training), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    where = rows.withColumn("part", F.spark_partition_id())
+    where = rows.withColumn("part", F.spark_partition_id().cast("long"))
+    buckets = max(tasks(docs), (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Three kinds of rows: a document, and a word or a byte in context of a chunk with the numbers
-        of the chunk's documents that hold it and how often."""
-        from itertools import count
-
-        numbers = count()
+        """Four kinds of rows: a document, a word of a chunk with the numbers of the chunk's documents that
+        hold it and how often, a piece of a text, and a bucket of a block's bytes in context."""
+        numbers, blocks = count(), count()
         places: dict[bytes, list[int]] = {}
-        inside: list[tuple[np.ndarray, np.ndarray]] = []
-        docs_in, words_in, bytes_in, part = [], 0, 0, 0
+        docs_in, words_in, bytes_in, part, chunk = [], 0, 0, 0, next(numbers)
+        segments: list[tuple[int, int, bool, int, bytes]] = []
+        block_bytes = 0
 
         def batch_of(m: int, **columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(m, f.type) for f in out_schema], schema=out_schema)
 
-        def handed(chunk: int):
+        def handed():
             k = len(docs_in)
             yield batch_of(k, part=[part] * k, chunk=[chunk] * k, number=range(k), doc_id=[d[0] for d in docs_in],
                            held_out=[d[1] for d in docs_in], n_tokens=[d[2] for d in docs_in], n_bytes=[d[3] for d in docs_in])
@@ -299,27 +320,19 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
                 some = keys[at : at + 50_000]
                 yield batch_of(len(some), part=[part] * len(some), chunk=[chunk] * len(some), word=some,
                                places=[array("H", places[w]).tobytes() for w in some])
-            code, often = (np.concatenate([d[i] for d in inside]) for i in (0, 1))
-            number = np.repeat(np.arange(k), [len(d[0]) for d in inside])
-            seen = often * ~np.array([d[1] for d in docs_in])[number]
-            split = (often + SHORT - 1) // SHORT
-            if (split > 1).any():
-                first = np.r_[True, np.repeat(np.arange(len(split)), split)[1:] != np.repeat(np.arange(len(split)), split)[:-1]]
-                code, number = np.repeat(code, split), np.repeat(number, split)
-                seen = np.where(first, np.repeat(seen, split), 0)
-                often = np.where(first, np.repeat(often - (split - 1) * SHORT, split), SHORT)
-            order = np.argsort(code, kind="stable")
-            code = code[order]
-            start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
-            sums = np.add.reduceat(seen[order], start) if len(start) else start
-            flat = np.c_[number[order], often[order]].astype(np.uint16)
-            ends = np.r_[start, len(code)]
-            for at in range(0, len(start), 50_000):
-                bounds = ends[at : at + 50_001]
-                m = len(bounds) - 1
-                packed = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(((bounds - bounds[0]) * 4).astype(np.int32)),
-                                                                pa.py_buffer(flat[bounds[0] : bounds[-1]].tobytes())])
-                yield batch_of(m, part=np.full(m, part), chunk=np.full(m, chunk), code=code[bounds[:-1]], seen=sums[at : at + m], places=packed)
+
+        def block_handed(number: int):
+            m = len(segments)
+            yield batch_of(m, part=[part] * m, block=[number] * m, chunk=[x[0] for x in segments], number=[x[1] for x in segments],
+                           held_out=[x[2] for x in segments], lead=[x[3] for x in segments], segment=[x[4] for x in segments])
+            # the lowest bit says that the occurrence is not learnt from
+            code = np.sort(np.concatenate([long_codes(x[4], lead=x[3]) << 1 | x[2] for x in segments]))
+            learnt, code = 1 - (code & 1), code >> 1
+            first = np.flatnonzero(_starts(code))
+            met, codes, seen = _packed_rows(code[first], np.add.reduceat(learnt, first), ORDER, buckets)
+            for at in range(0, len(met), 1_000):
+                m = len(met[at : at + 1_000])
+                yield batch_of(m, part=[part] * m, block=[number] * m, bucket=met[at : at + 1_000], codes=codes[at : at + 1_000], seen=seen[at : at + 1_000])
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -329,7 +342,13 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
                     tokens = raw.lower().split()
                     number = len(docs_in)
                     docs_in.append((key, out_of, len(tokens) + 1, len(raw)))
-                    inside.append(np.unique(long_codes(raw), return_counts=True))
+                    for start in range(0, len(raw), SEGMENT_BYTES):
+                        lead = min(start, ORDER)
+                        segments.append((chunk, number, out_of, lead, raw[start - lead : start + SEGMENT_BYTES]))
+                        block_bytes += len(segments[-1][4])
+                        if block_bytes >= BLOCK_BYTES:
+                            yield from block_handed(next(blocks))
+                            segments, block_bytes = [], 0
                     for w, c in Counter(tokens).items():
                         at_word = places.setdefault(w, [])
                         while c > SHORT:
@@ -340,31 +359,27 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
                     words_in += len(tokens) + 1
                     bytes_in += len(raw)
                     if words_in >= CHUNK_WORDS or bytes_in >= CHUNK_BYTES or len(docs_in) == SHORT:
-                        yield from handed(next(numbers))
-                        docs_in, words_in, bytes_in = [], 0, 0
-                        places, inside = {}, []
+                        yield from handed()
+                        docs_in, words_in, bytes_in, chunk = [], 0, 0, next(numbers)
+                        places = {}
         if docs_in:
-            yield from handed(next(numbers))
+            yield from handed()
+        if segments:
+            yield from block_handed(next(blocks))
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = (f"part bigint, chunk bigint, number bigint, doc_id {kind}, held_out boolean, n_tokens bigint, "
-              "n_bytes bigint, word binary, code bigint, seen bigint, places binary")
+              "n_bytes bigint, word binary, places binary, block bigint, lead bigint, segment binary, bucket bigint, codes binary, seen binary")
     out_schema = to_arrow_schema(_parse_datatype_string(schema))
     pieces = stored(where.mapInArrow(run, schema), "lm-chunks")
 
     c = F.coalesce("c", F.lit(0))
     by_word = (pieces.where("word is not null").select("part", "chunk", "word", "places").join(counts, "word", "left")
-               .select("part", "chunk", F.log10((c + 1) / F.lit(float(n + v + 1))).alias("value"),
-                       F.when(c > 0, 1).otherwise(0).alias("sort"), "places"))
-    in_context = pieces.where("code is not null")
-    chances = log_chances(in_context.groupBy("code").agg(F.sum("seen").alias("n")))
-    by_code = (in_context.select("part", "chunk", "code", "places").join(chances, "code")
-               .select("part", "chunk", "value", F.lit(2).alias("sort"), "places"))
-
+               .select("part", "chunk", F.log10((c + 1) / F.lit(float(n + v + 1))).alias("value"), (c > 0).alias("known"), "places"))
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums per document of what its words and bytes bring, over the rows of a batch."""
+        """Sums per document of what its words bring, over the rows of a batch."""
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -374,20 +389,38 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
             flat = np.frombuffer(packed.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.uint16).reshape(-1, 2)
             chunks, chunk = np.unique(np.c_[batch.column("part").to_numpy(), batch.column("chunk").to_numpy()], axis=0, return_inverse=True)
             key, place = np.unique(np.repeat(chunk.reshape(-1), sizes) << 16 | flat[:, 0], return_inverse=True)
-            sort = np.repeat(batch.column("sort").to_numpy(), sizes)
             often = flat[:, 1].astype(np.float64)
             value = often * np.repeat(batch.column("value").to_numpy(), sizes)
-
-            def total(weights: np.ndarray) -> np.ndarray:
-                return np.bincount(place, weights, len(key))
-
+            known = often * np.repeat(batch.column("known").to_numpy(zero_copy_only=False), sizes)
             yield pa.RecordBatch.from_arrays([
                 pa.array(chunks[key >> 16, 0]), pa.array(chunks[key >> 16, 1]), pa.array(key & 0xFFFF),
-                pa.array(total(np.where(sort < 2, value, 0))), pa.array(total(np.where(sort == 1, often, 0)).astype(np.int64)),
-                pa.array(total(np.where(sort == 2, value, 0)))], ["part", "chunk", "number", "base_score", "n_known", "score"])
-
-    sums = (by_word.unionAll(by_code).mapInArrow(summed, "part bigint, chunk bigint, number bigint, base_score double, n_known bigint, score double")
+                pa.array(np.bincount(place, value, len(key))), pa.array(np.bincount(place, known, len(key)).astype(np.int64)),
+                pa.array(np.zeros(len(key)))], ["part", "chunk", "number", "base_score", "n_known", "score"])
+
+    def block_scores(table: pa.Table) -> pa.Table:
+        """Sums per piece of a text: its bytes in context find their values in the order in which they were sent."""
+        texts = table.filter(table.column("segment").is_valid())
+        code = [long_codes(x.as_py(), lead=lead.as_py()) for x, lead in zip(texts.column("segment"), texts.column("lead"), strict=True)]
+        starts = np.cumsum([0] + [len(x) for x in code[:-1]])
+        code, place = np.unique(np.concatenate(code), return_inverse=True)
+        by_bucket, _, _ = _dealt(code, ORDER, buckets)
+        packed = table.filter(table.column("values").is_valid()).sort_by("bucket").column("values")
+        value = np.zeros(len(code))
+        value[by_bucket] = np.concatenate([_unpack(x.as_buffer(), np.float32) for x in packed])
+        m = texts.num_rows
+        return pa.table([texts.column("part"), texts.column("chunk"), texts.column("number"), pa.array(np.zeros(m)), pa.array(np.zeros(m, np.int64)),
+                         pa.array(np.add.reduceat(value[place], starts))], ["part", "chunk", "number", "base_score", "n_known", "score"])
+
+    none = {x: F.lit(None).cast(kind) for x, kind in
+            (("chunk", "bigint"), ("number", "bigint"), ("lead", "bigint"), ("segment", "binary"), ("bucket", "bigint"), ("values", "binary"))}
+    value_rows = packed_chances(pieces.where("codes is not null")).select(
+        "part", "block", *(none[x].alias(x) for x in ("chunk", "number", "lead", "segment")), "bucket", "values")
+    text_rows = pieces.where("segment is not null").select(
+        "part", "block", "chunk", "number", "lead", "segment", *(none[x].alias(x) for x in ("bucket", "values")))
+    found = "part bigint, chunk bigint, number bigint, base_score double, n_known bigint, score double"
+    by_block = text_rows.unionAll(value_rows).groupBy("part", "block").applyInArrow(block_scores, found)
+    sums = (by_word.mapInArrow(summed, found).unionAll(by_block)
             .groupBy("part", "chunk", "number").agg(*(F.sum(x).alias(x) for x in ("base_score", "n_known", "score"))))
-    return (pieces.where("number is not null").drop("word", "code", "seen", "places").join(sums, ["part", "chunk", "number"])
+    return (pieces.where("n_tokens is not null").select("part", "chunk", "number", "doc_id", "held_out", "n_tokens", "n_bytes").join(sums, ["part", "chunk", "number"])
             .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
                     (-F.col("score") / F.lit(np.log10(2)) / F.greatest(F.lit(1), F.col("n_bytes"))).alias("bits_per_byte")))

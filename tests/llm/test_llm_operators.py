@@ -328,12 +328,113 @@ def test_context_tree_scores(spark, odd):
     assert rows[300].score == 0 and rows[0].bits_per_byte < 1 < rows[302].bits_per_byte
 
 
+#: A small context tree of three bytes of five bits as one dense table, to compare with.
+DEPTH, FOLD, SYMBOLS = 3, 5, 256
+CONTEXTS = 1 << (FOLD * DEPTH)
+
+
+def codes(text: bytes) -> np.ndarray:
+    """Context and byte of every position, as one number below CONTEXTS * 256."""
+    b = np.frombuffer(text, np.uint8).astype(np.int64)
+    out = b.copy()
+    folded = b & ((1 << FOLD) - 1)
+    for back in range(1, DEPTH + 1):
+        if len(b) > back:
+            out[back:] |= folded[:-back] << (8 + FOLD * (back - 1))
+    return out
+
+
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    def lg(x):  # log gamma(x + 1/2) - log gamma(1/2), by Stirling's series from x + 8
+        y = x + 8.5
+        value = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3)
+        for k in range(8):
+            value = value - np.log(x + 0.5 + k)
+        return value - 0.5723649429247001
+
+    def factorial(x):
+        y = x + 9.0
+        value = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3)
+        for k in range(8):
+            value = value - np.log(x + 1.0 + k)
+        return value
+
+    z, o = zeros.astype(np.float64), ones.astype(np.float64)
+    return lg(z) + lg(o) - factorial(z + o)
+
+
+def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(zeros, ones) of the 255 decision nodes of every context, from counts per byte."""
+    zeros = np.zeros((len(counts), SYMBOLS), np.int64)
+    ones = np.zeros_like(zeros)
+    for depth in range(8):
+        width = SYMBOLS >> depth
+        sums = counts.reshape(len(counts), 1 << depth, 2, width // 2).sum(3)
+        zeros[:, (1 << depth) : (2 << depth)] = sums[:, :, 0]
+        ones[:, (1 << depth) : (2 << depth)] = sums[:, :, 1]
+    return zeros, ones
+
+
+def weighted_table(counts: np.ndarray) -> np.ndarray:
+    """log10 probability of every byte in every deepest context, from counts [CONTEXTS, 256].
+
+    Worked off one newest context byte at a time, so that memory stays small; the root joins them.
+    """
+    step = 1 << FOLD
+    by_newest = counts.reshape(-1, step, SYMBOLS)  # [older bytes, newest byte, symbol]
+    out = np.zeros((by_newest.shape[0], step, SYMBOLS), np.float32)
+    log_half = np.log(0.5)
+    root_children = np.zeros(SYMBOLS)
+    kept = []
+    for newest in range(step):
+        levels, level = [], by_newest[:, newest]  # deepest contexts with this newest byte
+        while True:
+            levels.append(level)
+            if len(level) == 1:
+                break
+            level = level.reshape(step, -1, SYMBOLS).sum(0)  # drop the oldest byte
+        log_p, ratios, chances = None, [], []
+        for depth, level in enumerate(levels):
+            zeros, ones = _bits(level)
+            kt = _log_kt(zeros, ones)
+            chances.append(((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32))
+            if depth == 0:
+                log_p = kt
+            else:
+                children = log_p.reshape(step, -1, SYMBOLS).sum(0)
+                ratios.append(np.clip(kt - children, -60, 60))
+                log_p = np.logaddexp(log_half + kt, log_half + children)
+        root_children += log_p[0]
+        kept.append((chances, ratios))
+    zeros, ones = _bits(counts.sum(0)[None, :])
+    root_ratio = np.clip(_log_kt(zeros, ones) - root_children, -60, 60)
+    root_chance = (ones + 0.5) / (zeros + ones + 1.0)
+    for newest, (chances, ratios) in enumerate(kept):
+        one = chances[0].astype(np.float64)  # [deepest contexts, node]
+        for chance, ratio in zip(chances[1:], ratios, strict=True):
+            many = len(one) // len(chance)
+            share = 1 / (1 + np.exp(-np.tile(ratio, (many, 1))))
+            one = share * np.tile(chance, (many, 1)) + (1 - share) * one
+        share = 1 / (1 + np.exp(-root_ratio))
+        one = share * root_chance + (1 - share) * one
+        log_one, log_zero = np.log10(one), np.log10(1 - one)
+        total = np.zeros((len(one), SYMBOLS))
+        byte = np.arange(SYMBOLS)
+        for depth in range(8):
+            node = (1 << depth) | (byte >> (8 - depth))
+            bit = (byte >> (7 - depth)) & 1
+            total += np.where(bit, log_one[:, node], log_zero[:, node])
+        out[:, newest] = total
+    return out.reshape(CONTEXTS, SYMBOLS)
+
+
 def test_context_tree_table_is_a_distribution():
-    counts = np.zeros((context_tree.CONTEXTS, 256), np.int64)
-    np.add.at(counts.reshape(-1), context_tree.codes(b"abracadabra " * 50), 1)
-    table = 10.0 ** context_tree.weighted_table(counts).astype(np.float64)
+    counts = np.zeros((CONTEXTS, 256), np.int64)
+    np.add.at(counts.reshape(-1), codes(b"abracadabra " * 50), 1)
+    table = 10.0 ** weighted_table(counts).astype(np.float64)
     assert np.allclose(table.sum(1), 1, atol=1e-3)
-    code = context_tree.codes(b"abrac")[-1]
+    code = codes(b"abrac")[-1]
     assert table.reshape(-1)[code] > 0.3
 
 
@@ -341,13 +442,13 @@ def test_context_tree_of_whole_bytes(spark):
     """The rows of Spark give the dense table's probabilities; contexts are longer than three bytes and not folded."""
     rng = random.Random(11)
     text = "".join(rng.choice(["abra", "cad", "bra", "zed"]) for _ in range(300)).encode()
-    counts = np.zeros((context_tree.CONTEXTS, 256), np.int64)
-    np.add.at(counts.reshape(-1), context_tree.codes(text), 1)
-    dense = context_tree.weighted_table(counts).reshape(-1)
+    counts = np.zeros((CONTEXTS, 256), np.int64)
+    np.add.at(counts.reshape(-1), codes(text), 1)
+    dense = weighted_table(counts).reshape(-1)
     code, n = np.unique(context_tree.long_codes(text, 3), return_counts=True)
     frame = spark.createDataFrame(list(zip(code.tolist(), n.tolist())), "code long, n long")
     got = {r.code: r.value for r in context_tree.log_chances(frame, 3).collect()}
-    for a, b in zip(context_tree.codes(text)[3:], context_tree.long_codes(text, 3)[3:]):
+    for a, b in zip(codes(text)[3:], context_tree.long_codes(text, 3)[3:]):
         assert abs(got[int(b)] - dense[a]) < 1e-5
     # what follows "xxx" depends on the fifth byte back; 2 and r, space and @ share their low five bits
     rows = [f"{a}xxxx{b}" for a, b in (("p", "m"), ("q", "n"))] * 200 + ["2!", "r?", " !", "@?"] * 100
@@ -358,6 +459,61 @@ def test_context_tree_of_whole_bytes(spark):
     assert all(score[1000 + i] > score[1003 + i] + 1 for i in range(3))
 
 
+def test_context_tree_equals_a_recursion_and_blocks_change_nothing(spark, odd, monkeypatch):
+    """Scores are those of the definition, written as a recursion over whole counts; small blocks, with texts
+    cut into many pieces, give the same."""
+    from math import log
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["ab", "ra", "kad ", "\u00e9"]) for _ in range(rng.randrange(60))) for _ in range(40)] + ["", "ab" * 300]
+    docs = documents(spark, texts)
+    order, nodes, children = context_tree.ORDER, {}, {}
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        for at, byte in enumerate(raw):
+            before = tuple(raw[at - j] if at >= j else -1 for j in range(1, order + 1))
+            for k in range(8):
+                for depth in range(order + 1):
+                    key = (1 << k | byte >> (8 - k), before[:depth])
+                    count = nodes.setdefault(key, [0, 0])
+                    count[byte >> (7 - k) & 1] += zlib.crc32(str(i).encode()) % 7 != 2
+                    if depth:
+                        children.setdefault((key[0], before[: depth - 1]), set()).add(key)
+
+    def estimate(key):
+        zeros, ones = nodes[key]
+        return sum(log(j + 0.5) for j in range(zeros)) + sum(log(j + 0.5) for j in range(ones)) - sum(log(j + 1) for j in range(zeros + ones))
+
+    weighted = {}
+    for key in sorted(nodes, key=lambda key: -len(key[1])):
+        below = sum(weighted[c] for c in children.get(key, ()))
+        weighted[key] = estimate(key) if len(key[1]) == order else np.logaddexp(estimate(key), below) - log(2)
+
+    def chance(node, before, depth):
+        zeros, ones = nodes[node, before[:depth]]
+        here = (ones + 0.5) / (zeros + ones + 1)
+        if depth == order:
+            return here
+        share = np.exp(estimate((node, before[:depth])) - log(2) - weighted[node, before[:depth]])
+        return share * here + (1 - share) * chance(node, before, depth + 1)
+
+    got = {r.doc_id: r.score for r in context_tree.score_documents(docs).collect()}
+    for i in [0, 3, 7, 40, 41]:
+        raw, score = texts[i].encode(), 0.0
+        for at, byte in enumerate(raw):
+            before = tuple(raw[at - j] if at >= j else -1 for j in range(1, order + 1))
+            for k in range(8):
+                one = chance(1 << k | byte >> (8 - k), before, 0)
+                score += np.log10(one if byte >> (7 - k) & 1 else 1 - one)
+        assert abs(got[i] - score) < 1e-4, (i, got[i], score)
+    whole = {r.doc_id: r.score for r in context_tree.score_documents(odd).collect()}
+    monkeypatch.setattr(context_tree, "SEGMENT_BYTES", 500)
+    monkeypatch.setattr(context_tree, "BLOCK_BYTES", 3_000)
+    monkeypatch.setattr(context_tree, "BUCKET_BYTES", 400)
+    pieces = {r.doc_id: r.score for r in context_tree.score_documents(odd).collect()}
+    assert whole.keys() == pieces.keys() and all(abs(whole[i] - pieces[i]) < 1e-3 for i in whole)
+
+
 def test_pipeline_stages_decide_on_rows(spark, tmp_path):
     import corpus_pipeline
 
