@@ -14,19 +14,20 @@ number back for each. Buckets are met twice: first they give the sums of depth `
 of the depths up to ``TOP``, the probabilities. Only those upper nodes pass through the driver: at most 257^2
 contexts with 255 nodes each, whatever the corpus. The number of buckets grows with the bytes of the table.
 
-A unigram score is given beside it. Documents are grouped in chunks of about ``CHUNK_WORDS`` words or
-``CHUNK_BYTES`` bytes; a chunk's different words, each with where it occurs in the chunk, meet the counts in
-a shuffle join.
+A unigram score is given beside it, in the same way: a block sends its different words with how often training
+documents hold them, packed, to buckets by a hash of the word, and gets the whole table's counts back.
 
 Defined results: a null text is the empty text, which has one token (the end) and score 0. Repeated rows
 are scored one by one; rows without an id are training rows. Without training documents all bytes have
-probability 1/256. Very long texts go over several blocks, with the bytes before each. Other columns are ignored.
+probability 1/256. Very long texts are cut at
+white space and may go over several blocks, each piece with the bytes before it. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
+import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 from math import lgamma
@@ -49,18 +50,23 @@ SEGMENT_BYTES = 2_000_000
 BUCKET_BYTES = 8_000_000
 #: Counts whose logarithms of factorials are looked up.
 LOOKED_UP = 1 << 14
-#: Words of a chunk, and different words that a worker counts before it hands them on.
-CHUNK_WORDS = 400_000
-CHUNK_BYTES = 4_000_000
-#: A chunk's documents are numbered, and occurrences counted, in 16 bits; what goes beyond is split.
-SHORT = 65_535
-COUNTED = 200_000
-END = b"\n"  # no word contains it
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def words(text: str) -> list[bytes]:
+def words(raw: bytes) -> list[bytes]:
     """Lower-cased (A-Z) words; only ASCII white space separates."""
-    return text.encode().lower().split()
+    return raw.lower().split()
+
+
+def pieces_of(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """(bytes of context before it, piece with them), cut after white space at about ``SEGMENT_BYTES`` bytes."""
+    start = 0
+    while start < len(raw):
+        white = WHITE.search(raw, start + SEGMENT_BYTES - 1) if len(raw) - start > SEGMENT_BYTES else None
+        end = white.end() if white else len(raw)
+        lead = min(start, ORDER)
+        yield lead, raw[start - lead : end]
+        start = end
 
 
 def long_codes(text: bytes, order: int = ORDER, lead: int = 0) -> np.ndarray:
@@ -265,162 +271,139 @@ def log_chances(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return packed_chances(stored(rows, "context-codes"), order).mapInArrow(opened, "code bigint, value double")
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word binary, c) over ``rows.text``, ends included; partial sums per task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+class _Words:
+    """Numbers for words in the order in which they first come."""
 
-        def handed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+    def __init__(self):
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
+
+    def numbers(self, some: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, some), np.int64, len(some))
+
+    def by_bucket(self, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """(words, their numbers by bucket, first of each bucket met, the buckets)."""
+        known = list(self.number)
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in known), np.int64, len(known))
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(_starts(bucket[order])) if len(known) else np.zeros(0, np.int64)
+        return known, order, first, bucket[order][first]
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                for text in batch.column("text").slice(at, SLICE).to_pylist():
-                    counts.update(words(text or ""))
-                    counts[END] += 1
-                if len(counts) > COUNTED:
-                    yield handed()
-                    counts.clear()
-        if counts:
-            yield handed()
 
-    return rows.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+def packed_word_counts(packed: DataFrame) -> DataFrame:
+    """part, block, bucket, counts: how often training holds each of the packed words, in their order; the first
+    row of a bucket brings n and v, its words' occurrences and the number of those that occur."""
+    def counted(table: pa.Table) -> pa.Table:
+        known = _Words()
+        numbers = [known.numbers(x.as_py().split(b"\n")) for x in table.column("words")]
+        seen = np.concatenate([_unpack(x.as_buffer(), np.uint32) for x in table.column("seen")])
+        c = np.bincount(np.concatenate(numbers), seen, len(known.number)).astype(np.int64)
+        rest = [0] * (table.num_rows - 1)
+        return pa.table([*(table.column(x) for x in ("part", "block", "bucket")), pa.array([_pack(c[x], np.int64) for x in numbers], pa.binary()),
+                         pa.array([int(c.sum()), *rest]), pa.array([int((c > 0).sum()), *rest])], ["part", "block", "bucket", "counts", "n", "v"])
+
+    return (packed.select("part", "block", "bucket", "words", "seen").groupBy("bucket")
+            .applyInArrow(counted, "part bigint, block bigint, bucket bigint, counts binary, n bigint, v bigint"))
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
     rows = docs.select("doc_id", crc_class("doc_id", modulus).eqNullSafe(held).alias("held_out"), "text")
-    training = rows.where("not held_out")
-    counts = stored(word_counts(training), "word-counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    where = rows.withColumn("part", F.spark_partition_id().cast("long"))
-    buckets = max(tasks(docs), (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+    n_bytes, trained = rows.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
+    buckets = max(tasks(docs), (n_bytes or 0) // BUCKET_BYTES)
+    schema = (f"part bigint, number bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_bytes bigint, "
+              "block bigint, place bigint, lead bigint, segment binary, bucket bigint, codes binary, words binary, seen binary")
+    out_schema = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Four kinds of rows: a document, a word of a chunk with the numbers of the chunk's documents that
-        hold it and how often, a piece of a text, and a bucket of a block's bytes in context."""
-        numbers, blocks = count(), count()
-        places: dict[bytes, list[int]] = {}
-        docs_in, words_in, bytes_in, part, chunk = [], 0, 0, 0, next(numbers)
-        segments: list[tuple[int, int, bool, int, bytes]] = []
-        block_bytes = 0
+        """Four kinds of rows: a document, a piece of a text, and of a block a bucket of bytes in context or of words."""
+        segments: list[tuple[int, bool, int, bytes]] = []
+        number, blocks, held_bytes = count(), count(), 0
 
         def batch_of(m: int, **columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(m, f.type) for f in out_schema], schema=out_schema)
 
-        def handed():
-            k = len(docs_in)
-            yield batch_of(k, part=[part] * k, chunk=[chunk] * k, number=range(k), doc_id=[d[0] for d in docs_in],
-                           held_out=[d[1] for d in docs_in], n_tokens=[d[2] for d in docs_in], n_bytes=[d[3] for d in docs_in])
-            keys = list(places)
-            for at in range(0, len(keys), 50_000):
-                some = keys[at : at + 50_000]
-                yield batch_of(len(some), part=[part] * len(some), chunk=[chunk] * len(some), word=some,
-                               places=[array("H", places[w]).tobytes() for w in some])
-
-        def block_handed(number: int):
+        def handed(block: int):
             m = len(segments)
-            yield batch_of(m, part=[part] * m, block=[number] * m, chunk=[x[0] for x in segments], number=[x[1] for x in segments],
-                           held_out=[x[2] for x in segments], lead=[x[3] for x in segments], segment=[x[4] for x in segments])
+            yield batch_of(m, part=[part] * m, block=[block] * m, place=range(m), number=[x[0] for x in segments],
+                           held_out=[x[1] for x in segments], lead=[x[2] for x in segments], segment=[x[3] for x in segments])
             # the lowest bit says that the occurrence is not learnt from
-            code = np.sort(np.concatenate([long_codes(x[4], lead=x[3]) << 1 | x[2] for x in segments]))
+            code = np.sort(np.concatenate([long_codes(x[3], lead=x[2]) << 1 | x[1] for x in segments]))
             learnt, code = 1 - (code & 1), code >> 1
             first = np.flatnonzero(_starts(code))
             met, codes, seen = _packed_rows(code[first], np.add.reduceat(learnt, first), ORDER, buckets)
-            for at in range(0, len(met), 1_000):
-                m = len(met[at : at + 1_000])
-                yield batch_of(m, part=[part] * m, block=[number] * m, bucket=met[at : at + 1_000], codes=codes[at : at + 1_000], seen=seen[at : at + 1_000])
+            m = len(met)
+            yield batch_of(m, part=[part] * m, block=[block] * m, bucket=met, codes=codes, seen=seen)
+            known = _Words()
+            numbers = [(known.numbers(words(x[3][x[2]:])), x[1]) for x in segments]
+            c = np.bincount(np.concatenate([x for x, out_of in numbers if not out_of] or [np.zeros(0, np.int64)]), minlength=len(known.number))
+            every, order, first, met = known.by_bucket(buckets)
+            m, parts = len(met), np.split(order, first[1:])
+            yield batch_of(m, part=[part] * m, block=[block] * m, bucket=met, words=[b"\n".join([every[i] for i in x]) for x in parts[:m]],
+                           seen=[_pack(c[x], np.uint32) for x in parts[:m]])
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 got = batch.slice(at, SLICE).to_pydict()
+                found = []
                 for key, out_of, text, part in zip(got["doc_id"], got["held_out"], got["text"], got["part"], strict=True):
                     raw = (text or "").encode()
-                    tokens = raw.lower().split()
-                    number = len(docs_in)
-                    docs_in.append((key, out_of, len(tokens) + 1, len(raw)))
-                    for start in range(0, len(raw), SEGMENT_BYTES):
-                        lead = min(start, ORDER)
-                        segments.append((chunk, number, out_of, lead, raw[start - lead : start + SEGMENT_BYTES]))
-                        block_bytes += len(segments[-1][4])
-                        if block_bytes >= BLOCK_BYTES:
-                            yield from block_handed(next(blocks))
-                            segments, block_bytes = [], 0
-                    for w, c in Counter(tokens).items():
-                        at_word = places.setdefault(w, [])
-                        while c > SHORT:
-                            at_word += (number, SHORT)
-                            c -= SHORT
-                        at_word += (number, c)
-                    places.setdefault(END, []).extend((number, 1))
-                    words_in += len(tokens) + 1
-                    bytes_in += len(raw)
-                    if words_in >= CHUNK_WORDS or bytes_in >= CHUNK_BYTES or len(docs_in) == SHORT:
-                        yield from handed()
-                        docs_in, words_in, bytes_in, chunk = [], 0, 0, next(numbers)
-                        places = {}
-        if docs_in:
-            yield from handed()
+                    found.append((part, next(number), key, out_of, len(raw.split()) + 1, len(raw)))
+                    for lead, piece in pieces_of(raw):
+                        segments.append((found[-1][1], out_of, lead, piece))
+                        held_bytes += len(piece)
+                        if held_bytes >= BLOCK_BYTES:
+                            yield from handed(next(blocks))
+                            segments, held_bytes = [], 0
+                yield batch_of(len(found), **dict(zip(("part", "number", "doc_id", "held_out", "n_tokens", "n_bytes"), zip(*found, strict=True), strict=True)))
         if segments:
-            yield from block_handed(next(blocks))
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+            yield from handed(next(blocks))
 
-    schema = (f"part bigint, chunk bigint, number bigint, doc_id {kind}, held_out boolean, n_tokens bigint, "
-              "n_bytes bigint, word binary, places binary, block bigint, lead bigint, segment binary, bucket bigint, codes binary, seen binary")
-    out_schema = to_arrow_schema(_parse_datatype_string(schema))
-    pieces = stored(where.mapInArrow(run, schema), "lm-chunks")
-
-    c = F.coalesce("c", F.lit(0))
-    by_word = (pieces.where("word is not null").select("part", "chunk", "word", "places").join(counts, "word", "left")
-               .select("part", "chunk", F.log10((c + 1) / F.lit(float(n + v + 1))).alias("value"), (c > 0).alias("known"), "places"))
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums per document of what its words bring, over the rows of a batch."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            packed = batch.column("places").cast(pa.binary())
-            bounds = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
-            sizes = np.diff(bounds) // 4
-            flat = np.frombuffer(packed.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.uint16).reshape(-1, 2)
-            chunks, chunk = np.unique(np.c_[batch.column("part").to_numpy(), batch.column("chunk").to_numpy()], axis=0, return_inverse=True)
-            key, place = np.unique(np.repeat(chunk.reshape(-1), sizes) << 16 | flat[:, 0], return_inverse=True)
-            often = flat[:, 1].astype(np.float64)
-            value = often * np.repeat(batch.column("value").to_numpy(), sizes)
-            known = often * np.repeat(batch.column("known").to_numpy(zero_copy_only=False), sizes)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(chunks[key >> 16, 0]), pa.array(chunks[key >> 16, 1]), pa.array(key & 0xFFFF),
-                pa.array(np.bincount(place, value, len(key))), pa.array(np.bincount(place, known, len(key)).astype(np.int64)),
-                pa.array(np.zeros(len(key)))], ["part", "chunk", "number", "base_score", "n_known", "score"])
+    pieces = stored(rows.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(run, schema), "lm-blocks")
+    counts = stored(packed_word_counts(pieces.where("words is not null")), "lm-words")
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    n, v = n + trained, v + (trained > 0)  # the ends of texts
+    result = "part bigint, number bigint, base_score double, n_known bigint, score double"
 
     def block_scores(table: pa.Table) -> pa.Table:
-        """Sums per piece of a text: its bytes in context find their values in the order in which they were sent."""
-        texts = table.filter(table.column("segment").is_valid())
-        code = [long_codes(x.as_py(), lead=lead.as_py()) for x, lead in zip(texts.column("segment"), texts.column("lead"), strict=True)]
+        """Sums per piece of a text: its bytes in context and words find their values in the order in which they were sent."""
+        texts = table.filter(table.column("segment").is_valid()).sort_by("place")
+        raws = list(zip((x.as_py() for x in texts.column("segment")), texts.column("lead").to_pylist(), strict=True))
+        code = [long_codes(raw, lead=lead) for raw, lead in raws]
         starts = np.cumsum([0] + [len(x) for x in code[:-1]])
         code, place = np.unique(np.concatenate(code), return_inverse=True)
-        by_bucket, _, _ = _dealt(code, ORDER, buckets)
-        packed = table.filter(table.column("values").is_valid()).sort_by("bucket").column("values")
-        value = np.zeros(len(code))
-        value[by_bucket] = np.concatenate([_unpack(x.as_buffer(), np.float32) for x in packed])
-        m = texts.num_rows
-        return pa.table([texts.column("part"), texts.column("chunk"), texts.column("number"), pa.array(np.zeros(m)), pa.array(np.zeros(m, np.int64)),
-                         pa.array(np.add.reduceat(value[place], starts))], ["part", "chunk", "number", "base_score", "n_known", "score"])
-
-    none = {x: F.lit(None).cast(kind) for x, kind in
-            (("chunk", "bigint"), ("number", "bigint"), ("lead", "bigint"), ("segment", "binary"), ("bucket", "bigint"), ("values", "binary"))}
-    value_rows = packed_chances(pieces.where("codes is not null")).select(
-        "part", "block", *(none[x].alias(x) for x in ("chunk", "number", "lead", "segment")), "bucket", "values")
-    text_rows = pieces.where("segment is not null").select(
-        "part", "block", "chunk", "number", "lead", "segment", *(none[x].alias(x) for x in ("bucket", "values")))
-    found = "part bigint, chunk bigint, number bigint, base_score double, n_known bigint, score double"
-    by_block = text_rows.unionAll(value_rows).groupBy("part", "block").applyInArrow(block_scores, found)
-    sums = (by_word.mapInArrow(summed, found).unionAll(by_block)
-            .groupBy("part", "chunk", "number").agg(*(F.sum(x).alias(x) for x in ("base_score", "n_known", "score"))))
-    return (pieces.where("n_tokens is not null").select("part", "chunk", "number", "doc_id", "held_out", "n_tokens", "n_bytes").join(sums, ["part", "chunk", "number"])
-            .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
-                    (-F.col("score") / F.lit(np.log10(2)) / F.greatest(F.lit(1), F.col("n_bytes"))).alias("bits_per_byte")))
+
+        def sent_back(column: str, order: np.ndarray, kind) -> np.ndarray:
+            packed = table.filter(table.column(column).is_valid()).sort_by("bucket").column(column)
+            out = np.zeros(len(order), kind)
+            if len(order):
+                out[order] = np.concatenate([_unpack(x.as_buffer(), kind) for x in packed])
+            return out
+
+        value = sent_back("values", _dealt(code, ORDER, buckets)[0], np.float32).astype(np.float64)
+        score = np.add.reduceat(value[place], starts)
+        known = _Words()
+        numbers = [known.numbers(words(raw[lead:])) for raw, lead in raws]
+        c = sent_back("counts", known.by_bucket(buckets)[1], np.int64)
+        log_c = np.log10(c + 1.0)
+        return pa.table([texts.column("part"), texts.column("number"), pa.array([float(log_c[x].sum()) for x in numbers]),
+                         pa.array([int((c[x] > 0).sum()) for x in numbers]), pa.array(score)], ["part", "number", "base_score", "n_known", "score"])
+
+    columns = {"number": "bigint", "place": "bigint", "lead": "bigint", "segment": "binary", "bucket": "bigint", "values": "binary", "counts": "binary"}
+
+    def rows_of(df: DataFrame) -> DataFrame:
+        return df.select("part", "block", *(F.col(x) if x in df.columns else F.lit(None).cast(kind).alias(x) for x, kind in columns.items()))
+
+    texts = pieces.where("segment is not null").select("part", "block", "number", "place", "lead", "segment")
+    chances = packed_chances(pieces.where("codes is not null"))
+    sums = (rows_of(texts).unionAll(rows_of(chances)).unionAll(rows_of(counts)).groupBy("part", "block").applyInArrow(block_scores, result)
+            .groupBy("part", "number").agg(*(F.sum(x).alias(x) for x in ("base_score", "n_known", "score"))))
+    # empty texts have no piece; every document has an end, and the divisor is that of all tokens
+    known, base, score = (F.coalesce(x, F.lit(0)) for x in ("n_known", "base_score", "score"))
+    return (pieces.where("n_tokens is not null").select("part", "number", "doc_id", "held_out", "n_tokens", "n_bytes").join(sums, ["part", "number"], "left")
+            .select("doc_id", "held_out", "n_tokens", (known + int(trained > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+                    (base + float(np.log10(trained + 1)) - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
+                    score.cast("double").alias("score"), (-score / F.lit(np.log10(2)) / F.greatest(F.lit(1), F.col("n_bytes"))).alias("bits_per_byte")))
