@@ -39,9 +39,12 @@ from pyspark.sql import functions as F
 
 from litsearch.llm.common import SLICE, crc_class, mix, stored, tasks
 
-#: Context bytes, and bits of each: 0 is before the start, 1 to 256 are the bytes.
+#: Context bytes, their bits, and the sign of what lies before the start: no UTF-8 text holds this byte.
 ORDER = 6
-SIGN = 9
+SIGN = 8
+BEFORE = 0xFF
+#: Steps of one power of ten in which probabilities are sent back.
+STEPS = 1 << 22
 #: Depth up to which a node's subtree may lie in several buckets.
 TOP = 2
 #: Bytes of a block, of a piece of a long text, and of the table per bucket.
@@ -71,12 +74,11 @@ def pieces_of(raw: bytes) -> Iterator[tuple[int, bytes]]:
 
 def long_codes(text: bytes, order: int = ORDER, lead: int = 0) -> np.ndarray:
     """Context of whole bytes (newest highest) and byte of every position from ``lead`` on, as one number."""
-    b = np.frombuffer(text, np.uint8).astype(np.int64)
-    out = b.copy()
+    b = np.frombuffer(bytes([BEFORE]) * order + text, np.uint8)
+    out = b[order + lead :].astype(np.int64)
     for back in range(1, order + 1):
-        if len(b) > back:
-            out[back:] |= (b[:-back] + 1) << (8 + SIGN * (order - back))
-    return out[lead:]
+        out |= b[order + lead - back : len(b) - back].astype(np.int64) << (SIGN * (order + 1 - back))
+    return out
 
 
 class _LogGamma:
@@ -181,14 +183,23 @@ def _log_chances(code: np.ndarray, n: np.ndarray, order: int, upper: tuple[np.nd
     return total
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _opened(packed) -> bytes:
+    packed = memoryview(packed)
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+
+
 def _pack(numbers: np.ndarray, kind) -> bytes:
-    """Numbers byte by byte: all lowest bytes, then all next ones; the many zeros compress well."""
-    return np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+    """Numbers byte by byte, all lowest bytes, then all next ones, compressed."""
+    return _squeezed(np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T).tobytes())
 
 
 def _unpack(packed: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(_opened(packed), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
 def _buckets(code: np.ndarray, order: int, buckets: int) -> np.ndarray:
@@ -225,7 +236,8 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def packed_chances(packed: DataFrame, order: int = ORDER) -> DataFrame:
-    """part, block, bucket, codes, values: log10 probabilities (32 bits each) of the packed codes, in their order.
+    """part, block, bucket, codes, values: log10 probabilities of the packed codes, in their order, in
+    whole ``STEPS``.
     ``packed`` holds part, block, bucket, codes, seen; seen is 0 for what training does not hold."""
     def sums(table: pa.Table) -> pa.Table:
         code, n, _, _ = _merged(table)
@@ -240,9 +252,9 @@ def packed_chances(packed: DataFrame, order: int = ORDER) -> DataFrame:
 
     def values(table: pa.Table) -> pa.Table:
         code, n, place, ends = _merged(table)
-        value = _log_chances(code, n, order, upper.value).astype(np.float32)[place]
+        value = np.rint(-STEPS * _log_chances(code, n, order, upper.value)).astype(np.int32)[place]
         return table.drop_columns(["seen"]).append_column("values", pa.array(
-            [_pack(value[a:b], np.float32) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)], pa.binary()))
+            [_pack(value[a:b], np.int32) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)], pa.binary()))
 
     return rows.groupBy("bucket").applyInArrow(values, "part bigint, block bigint, bucket bigint, codes binary, values binary")
 
@@ -265,7 +277,7 @@ def log_chances(counts: DataFrame, order: int = ORDER) -> DataFrame:
         for batch in batches:
             for codes, values in zip(batch.column("codes"), batch.column("values"), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(_unpack(codes.as_buffer(), np.int64))),
-                                                  pa.array(_unpack(values.as_buffer(), np.float32).astype(np.float64))], ["code", "value"])
+                                                  pa.array(_unpack(values.as_buffer(), np.int32) / -STEPS)], ["code", "value"])
 
     rows = counts.select("code", "n").mapInArrow(packed, "part bigint, block bigint, bucket bigint, codes binary, seen binary")
     return packed_chances(stored(rows, "context-codes"), order).mapInArrow(opened, "code bigint, value double")
@@ -294,7 +306,7 @@ def packed_word_counts(packed: DataFrame) -> DataFrame:
     row of a bucket brings n and v, its words' occurrences and the number of those that occur."""
     def counted(table: pa.Table) -> pa.Table:
         known = _Words()
-        numbers = [known.numbers(x.as_py().split(b"\n")) for x in table.column("words")]
+        numbers = [known.numbers(_opened(x.as_buffer()).split(b"\n")) for x in table.column("words")]
         seen = np.concatenate([_unpack(x.as_buffer(), np.uint32) for x in table.column("seen")])
         c = np.bincount(np.concatenate(numbers), seen, len(known.number)).astype(np.int64)
         rest = [0] * (table.num_rows - 1)
@@ -314,11 +326,11 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
     n_bytes, trained = rows.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
     buckets = max(tasks(docs), (n_bytes or 0) // BUCKET_BYTES)
     schema = (f"part bigint, number bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_bytes bigint, "
-              "block bigint, place bigint, lead bigint, segment binary, bucket bigint, codes binary, words binary, seen binary")
+              "block bigint, numbers binary, leads binary, sizes binary, texts binary, bucket bigint, codes binary, words binary, seen binary")
     out_schema = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Four kinds of rows: a document, a piece of a text, and of a block a bucket of bytes in context or of words."""
+        """Four kinds of rows: a document, a block with its pieces of texts, and of a block a bucket of bytes in context or of words."""
         segments: list[tuple[int, bool, int, bytes]] = []
         number, blocks, held_bytes = count(), count(), 0
 
@@ -327,9 +339,9 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
                 [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(m, f.type) for f in out_schema], schema=out_schema)
 
         def handed(block: int):
-            m = len(segments)
-            yield batch_of(m, part=[part] * m, block=[block] * m, place=range(m), number=[x[0] for x in segments],
-                           held_out=[x[1] for x in segments], lead=[x[2] for x in segments], segment=[x[3] for x in segments])
+            sizes = (_pack(np.array([x[i] if i < 3 else len(x[3]) for x in segments], np.int64), np.int64) for i in (0, 2, 3))
+            yield batch_of(1, part=[part], block=[block], texts=[_squeezed(b"".join([x[3] for x in segments]))],
+                           **{name: [packed] for name, packed in zip(("numbers", "leads", "sizes"), sizes, strict=True)})
             # the lowest bit says that the occurrence is not learnt from
             code = np.sort(np.concatenate([long_codes(x[3], lead=x[2]) << 1 | x[1] for x in segments]))
             learnt, code = 1 - (code & 1), code >> 1
@@ -342,7 +354,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
             c = np.bincount(np.concatenate([x for x, out_of in numbers if not out_of] or [np.zeros(0, np.int64)]), minlength=len(known.number))
             every, order, first, met = known.by_bucket(buckets)
             m, parts = len(met), np.split(order, first[1:])
-            yield batch_of(m, part=[part] * m, block=[block] * m, bucket=met, words=[b"\n".join([every[i] for i in x]) for x in parts[:m]],
+            yield batch_of(m, part=[part] * m, block=[block] * m, bucket=met, words=[_squeezed(b"\n".join([every[i] for i in x])) for x in parts[:m]],
                            seen=[_pack(c[x], np.uint32) for x in parts[:m]])
 
         for batch in batches:
@@ -370,8 +382,10 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
 
     def block_scores(table: pa.Table) -> pa.Table:
         """Sums per piece of a text: its bytes in context and words find their values in the order in which they were sent."""
-        texts = table.filter(table.column("segment").is_valid()).sort_by("place")
-        raws = list(zip((x.as_py() for x in texts.column("segment")), texts.column("lead").to_pylist(), strict=True))
+        row = table.filter(table.column("texts").is_valid())
+        numbers, leads, sizes = (_unpack(row.column(x)[0].as_buffer(), np.int64) for x in ("numbers", "leads", "sizes"))
+        texts, ends = _opened(row.column("texts")[0].as_buffer()), np.cumsum(sizes)
+        raws = [(texts[end - size : end], lead) for end, size, lead in zip(ends.tolist(), sizes.tolist(), leads.tolist(), strict=True)]
         code = [long_codes(raw, lead=lead) for raw, lead in raws]
         starts = np.cumsum([0] + [len(x) for x in code[:-1]])
         code, place = np.unique(np.concatenate(code), return_inverse=True)
@@ -383,21 +397,21 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
                 out[order] = np.concatenate([_unpack(x.as_buffer(), kind) for x in packed])
             return out
 
-        value = sent_back("values", _dealt(code, ORDER, buckets)[0], np.float32).astype(np.float64)
+        value = sent_back("values", _dealt(code, ORDER, buckets)[0], np.int32) / -STEPS
         score = np.add.reduceat(value[place], starts)
         known = _Words()
-        numbers = [known.numbers(words(raw[lead:])) for raw, lead in raws]
+        held_words = [known.numbers(words(raw[lead:])) for raw, lead in raws]
         c = sent_back("counts", known.by_bucket(buckets)[1], np.int64)
         log_c = np.log10(c + 1.0)
-        return pa.table([texts.column("part"), texts.column("number"), pa.array([float(log_c[x].sum()) for x in numbers]),
-                         pa.array([int((c[x] > 0).sum()) for x in numbers]), pa.array(score)], ["part", "number", "base_score", "n_known", "score"])
+        return pa.table([pa.array([row.column("part")[0].as_py()] * len(raws)), pa.array(numbers), pa.array([float(log_c[x].sum()) for x in held_words]),
+                         pa.array([int((c[x] > 0).sum()) for x in held_words]), pa.array(score)], ["part", "number", "base_score", "n_known", "score"])
 
-    columns = {"number": "bigint", "place": "bigint", "lead": "bigint", "segment": "binary", "bucket": "bigint", "values": "binary", "counts": "binary"}
+    columns = {"numbers": "binary", "leads": "binary", "sizes": "binary", "texts": "binary", "bucket": "bigint", "values": "binary", "counts": "binary"}
 
     def rows_of(df: DataFrame) -> DataFrame:
         return df.select("part", "block", *(F.col(x) if x in df.columns else F.lit(None).cast(kind).alias(x) for x, kind in columns.items()))
 
-    texts = pieces.where("segment is not null").select("part", "block", "number", "place", "lead", "segment")
+    texts = pieces.where("texts is not null").select("part", "block", "numbers", "leads", "sizes", "texts")
     chances = packed_chances(pieces.where("codes is not null"))
     sums = (rows_of(texts).unionAll(rows_of(chances)).unionAll(rows_of(counts)).groupBy("part", "block").applyInArrow(block_scores, result)
             .groupBy("part", "number").agg(*(F.sum(x).alias(x) for x in ("base_score", "n_known", "score"))))
