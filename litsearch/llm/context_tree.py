@@ -43,12 +43,14 @@ from litsearch.llm.common import SLICE, crc_class, mix, stored, tasks
 ORDER = 6
 SIGN = 8
 BEFORE = 0xFF
-#: Steps of one power of ten in which probabilities are sent back.
-STEPS = 1 << 22
+#: Bits of a 32-bit logarithm that are not sent back: a score's relative error stays below 2^-17.
+DROPPED = 7
+#: Parts, by bucket, in which a block's bytes in context are sorted.
+SHARES = 8
 #: Depth up to which a node's subtree may lie in several buckets.
 TOP = 2
 #: Bytes of a block, of a piece of a long text, and of the table per bucket.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 16_000_000
 SEGMENT_BYTES = 2_000_000
 BUCKET_BYTES = 8_000_000
 #: Counts whose logarithms of factorials are looked up.
@@ -202,6 +204,20 @@ def _unpack(packed: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_opened(packed), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
+def _rounded(log_p: np.ndarray) -> np.ndarray:
+    bits = (-log_p).astype(np.float32).view(np.uint32)
+    return ((bits + (1 << (DROPPED - 1))) >> DROPPED).astype(np.int32)
+
+
+def _restored(sent: np.ndarray) -> np.ndarray:
+    return -(sent.astype(np.uint32) << DROPPED).view(np.float32).astype(np.float64)
+
+
+def _shares(code: np.ndarray, buckets: int) -> np.ndarray:
+    """The share of each code; all codes of a bucket are in one."""
+    return (_buckets(code, ORDER, buckets).astype(np.int64) * SHARES // buckets).astype(np.uint8)
+
+
 def _buckets(code: np.ndarray, order: int, buckets: int) -> np.ndarray:
     newest = code >> (8 + SIGN * (order - TOP - 1))
     return (mix(newest) % np.uint64(buckets)).astype(np.uint16 if buckets <= 65_536 else np.int64)
@@ -236,8 +252,7 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def packed_chances(packed: DataFrame, order: int = ORDER) -> DataFrame:
-    """part, block, bucket, codes, values: log10 probabilities of the packed codes, in their order, in
-    whole ``STEPS``.
+    """part, block, bucket, codes, values: log10 probabilities of the packed codes, in their order.
     ``packed`` holds part, block, bucket, codes, seen; seen is 0 for what training does not hold."""
     def sums(table: pa.Table) -> pa.Table:
         code, n, _, _ = _merged(table)
@@ -252,7 +267,7 @@ def packed_chances(packed: DataFrame, order: int = ORDER) -> DataFrame:
 
     def values(table: pa.Table) -> pa.Table:
         code, n, place, ends = _merged(table)
-        value = np.rint(-STEPS * _log_chances(code, n, order, upper.value)).astype(np.int32)[place]
+        value = _rounded(_log_chances(code, n, order, upper.value))[place]
         return table.drop_columns(["seen"]).append_column("values", pa.array(
             [_pack(value[a:b], np.int32) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)], pa.binary()))
 
@@ -277,7 +292,7 @@ def log_chances(counts: DataFrame, order: int = ORDER) -> DataFrame:
         for batch in batches:
             for codes, values in zip(batch.column("codes"), batch.column("values"), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(_unpack(codes.as_buffer(), np.int64))),
-                                                  pa.array(_unpack(values.as_buffer(), np.int32) / -STEPS)], ["code", "value"])
+                                                  pa.array(_restored(_unpack(values.as_buffer(), np.int32)))], ["code", "value"])
 
     rows = counts.select("code", "n").mapInArrow(packed, "part bigint, block bigint, bucket bigint, codes binary, seen binary")
     return packed_chances(stored(rows, "context-codes"), order).mapInArrow(opened, "code bigint, value double")
@@ -342,13 +357,18 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
             sizes = (_pack(np.array([x[i] if i < 3 else len(x[3]) for x in segments], np.int64), np.int64) for i in (0, 2, 3))
             yield batch_of(1, part=[part], block=[block], texts=[_squeezed(b"".join([x[3] for x in segments]))],
                            **{name: [packed] for name, packed in zip(("numbers", "leads", "sizes"), sizes, strict=True)})
-            # the lowest bit says that the occurrence is not learnt from
-            code = np.sort(np.concatenate([long_codes(x[3], lead=x[2]) << 1 | x[1] for x in segments]))
-            learnt, code = 1 - (code & 1), code >> 1
-            first = np.flatnonzero(_starts(code))
-            met, codes, seen = _packed_rows(code[first], np.add.reduceat(learnt, first), ORDER, buckets)
-            m = len(met)
-            yield batch_of(m, part=[part] * m, block=[block] * m, bucket=met, codes=codes, seen=seen)
+            every = [long_codes(x[3], lead=x[2]) for x in segments]
+            share = [_shares(code, buckets) for code in every]
+            for q in range(SHARES):
+                # the lowest bit says that the occurrence is not learnt from
+                code = np.concatenate([c[at == q] << 1 | x[1] for c, at, x in zip(every, share, segments, strict=True)])
+                if len(code):
+                    code.sort()
+                    learnt, code = 1 - (code & 1), code >> 1
+                    first = np.flatnonzero(_starts(code))
+                    met, codes, seen = _packed_rows(code[first], np.add.reduceat(learnt, first), ORDER, buckets)
+                    yield batch_of(len(met), part=[part] * len(met), block=[block] * len(met), bucket=met, codes=codes, seen=seen)
+            del every, share
             known = _Words()
             numbers = [(known.numbers(words(x[3][x[2]:])), x[1]) for x in segments]
             c = np.bincount(np.concatenate([x for x, out_of in numbers if not out_of] or [np.zeros(0, np.int64)]), minlength=len(known.number))
@@ -386,19 +406,25 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
         numbers, leads, sizes = (_unpack(row.column(x)[0].as_buffer(), np.int64) for x in ("numbers", "leads", "sizes"))
         texts, ends = _opened(row.column("texts")[0].as_buffer()), np.cumsum(sizes)
         raws = [(texts[end - size : end], lead) for end, size, lead in zip(ends.tolist(), sizes.tolist(), leads.tolist(), strict=True)]
-        code = [long_codes(raw, lead=lead) for raw, lead in raws]
-        starts = np.cumsum([0] + [len(x) for x in code[:-1]])
-        code, place = np.unique(np.concatenate(code), return_inverse=True)
 
-        def sent_back(column: str, order: np.ndarray, kind) -> np.ndarray:
-            packed = table.filter(table.column(column).is_valid()).sort_by("bucket").column(column)
+        def sent_back(column: str, order: np.ndarray, kind, low: int = 0, high: int = buckets) -> np.ndarray:
+            bucket = table.column("bucket").to_numpy()
+            rows = np.flatnonzero(table.column(column).is_valid().to_numpy() & (bucket >= low) & (bucket < high))
+            packed = table.column(column).take(rows[np.argsort(bucket[rows])])
             out = np.zeros(len(order), kind)
             if len(order):
                 out[order] = np.concatenate([_unpack(x.as_buffer(), kind) for x in packed])
             return out
 
-        value = sent_back("values", _dealt(code, ORDER, buckets)[0], np.int32) / -STEPS
-        score = np.add.reduceat(value[place], starts)
+        every = [long_codes(raw, lead=lead) for raw, lead in raws]
+        share = [_shares(code, buckets) for code in every]
+        score = np.zeros(len(raws))
+        for q in range(SHARES):
+            some = [code[at == q] for code, at in zip(every, share, strict=True)]
+            code, place = np.unique(np.concatenate(some), return_inverse=True)
+            value = sent_back("values", _dealt(code, ORDER, buckets)[0], np.int32, -(-q * buckets // SHARES), -(-(q + 1) * buckets // SHARES))
+            score += np.bincount(np.repeat(np.arange(len(raws)), [len(x) for x in some]), _restored(value)[place], len(raws))
+        del every, share, some, code, place
         known = _Words()
         held_words = [known.numbers(words(raw[lead:])) for raw, lead in raws]
         c = sent_back("counts", known.by_bucket(buckets)[1], np.int64)
