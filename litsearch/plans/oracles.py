@@ -180,6 +180,7 @@ ORACLES["token_counts"] = f"""SELECT term, count(*) AS n
 FROM (SELECT unnest({tok('text')}) AS term FROM documents) t GROUP BY term"""
 ORACLES["term_counts"] = f"WITH {tfidf_ctes(DOCS, 'text')} SELECT * FROM tf"
 ORACLES["tfidf_idf"] = f"WITH {tfidf_ctes(DOCS, 'text')} SELECT term, df, round(idf, 6) AS idf, n_docs FROM idf"
+ORACLES["tfidf_incremental"] = ORACLES["tfidf_idf"]
 ORACLES["tfidf_weights"] = f"""WITH {tfidf_ctes(DOCS, 'text')}
 SELECT doc_id, term, round(weight, 6) AS weight FROM weights"""
 ORACLES["tfidf_stats"] = f"""WITH {tfidf_ctes(DOCS, 'text')}
@@ -366,3 +367,8 @@ FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) o
 WHERE rn BETWEEN {q.SLICE[0]} AND {q.SLICE[1]}"""
 ORACLES["sample_rows"] = f"""SELECT * FROM events
 WHERE cast(concat('0x', substring(md5(concat('7:', cast(event_id AS varchar))), 1, 8)) AS bigint) < {int(q.SAMPLE_FRACTION * 2**32)}"""
+ORACLES["csv_strings"] = f"""SELECT cast(doc_id AS varchar) AS doc_id, * EXCLUDE (doc_id, body) FROM ({PAPERS}) p"""
+ORACLES["embeddings_csv"] = """
+SELECT vec_id, cast(place - 1 AS integer) AS place, round(cast(embedding[place] AS double), 6) AS x
+FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS place FROM embeddings WHERE embedding IS NOT NULL) e"""
+ORACLES["dataset_scan"] = "SELECT * FROM events"

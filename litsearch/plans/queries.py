@@ -16,6 +16,7 @@ from litsearch.operators import (
 from litsearch.plans.views import FEEDS_SQL, paper_files, papers, table
 from litsearch.sources import files, tables
 from litsearch.session import scratch_path
+from litsearch.streaming.frequencies import read_model, update_frequencies
 from litsearch.streaming.ingest import ingest_stream, read_current
 
 QUERY = "thing thtion"
@@ -55,6 +56,32 @@ def csv_roundtrip(spark, d):
     return tables.read_metadata_csv(spark, path, cols)
 
 
+def csv_strings(spark, d):
+    path = scratch_path(spark, "csv")
+    tables.write_csv(papers(spark, d).drop("body"), path)
+    return tables.read_csv_as_strings(spark, path)
+
+
+def embeddings_csv(spark, d):
+    path = scratch_path(spark, "embeddings")
+    values = F.transform("embedding", lambda x: x.cast("string"))
+    table(spark, d, "embeddings").where("embedding is not null").select(
+        F.concat_ws(",", F.col("vec_id").cast("string"), F.array_join(values, ",")).alias("value")).write.text(path)
+    found = tables.read_embeddings(spark, "cord19", path, "vec_id", dim=64)
+    return found.select(F.col("vec_id").cast("long").alias("vec_id"),
+                        F.posexplode("embedding").alias("place", "x")).select("vec_id", "place", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+def dataset_scan(spark, d):
+    """A catalog table is made, filled and read whole."""
+    source = table(spark, d, "events")
+    path = scratch_path(spark, "dataset")
+    name = "scan_" + path.rstrip("/").split("/")[-1].replace("-", "_")
+    tables.create_dataset(spark, name, source.schema, path)
+    source.write.insertInto(name)
+    return tables.scan_all(spark, name)
+
+
 def bulk_actions(spark, d):
     return files.to_bulk_actions(_docs(spark, d), "papers", "doc_id")
 
@@ -258,6 +285,16 @@ def tfidf_idf(spark, d):
     return tfidf.fit_tfidf(_docs(spark, d), "text").select("term", "df", _r6("idf"), "n_docs")
 
 
+def tfidf_incremental(spark, d):
+    """All documents come with another text first, then in two batches with their own; one batch runs twice."""
+    docs, path = _docs(spark, d), scratch_path(spark, "frequencies")
+    odd = F.col("doc_id") % 2 == 1
+    batches = [docs.withColumn("text", F.concat_ws(" ", "source", "lang")), docs.where(odd), docs.where(odd), docs.where(~odd)]
+    for number, batch in zip([0, 1, 1, 2], batches, strict=True):
+        update_frequencies(batch, number, path, "doc_id", "text", [])
+    return read_model(spark, path).select("term", "df", _r6("idf"), "n_docs")
+
+
 def _weights(spark, d):
     docs = _docs(spark, d)
     return tfidf.transform_tfidf(docs, "doc_id", "text", tfidf.fit_tfidf(docs, "text"))
@@ -511,6 +548,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         point_lookup, news_topic_filter, assemble_body, conversation_body, feed_entries,
         feeds_without_rule, article_text, article_text_two, article_text_nested, article_filename, sentence_match,
         token_truncate, summarize_extractive, infer_batches, parquet_roundtrip, csv_roundtrip,
+        csv_strings, embeddings_csv, dataset_scan, tfidf_incremental,
         bulk_actions, bulk_actions_auto_id, bulk_deletes, upsert_merge, append_union, delete_by_id,
         get_by_ids, embedding_dim_check, ingest_events, dup_groups, dup_members, dedup_first,
         dedup_none, dedup_two_keys, dedup_report, dedup_repeated_ids, count_all, value_counts,
