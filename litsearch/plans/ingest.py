@@ -16,7 +16,7 @@ from litsearch.operators.news import (
 )
 from litsearch.operators.search import DEFAULT_BOOSTS, SearchIndex, write_index
 from litsearch.operators.store import upsert
-from litsearch.sources.files import load_articles, read_feeds, read_fulltext_json, write_articles, write_feed_metadata
+from litsearch.sources.files import load_articles, read_feed_metadata, read_feeds, read_fulltext_json, write_articles, write_feed_metadata
 from litsearch.sources.tables import read_metadata_csv, write_papers
 
 
@@ -56,12 +56,16 @@ def ingest_news(
 ) -> DataFrame:
     """Landed feed files and article pages (url, html) to article texts by date and feed.
 
-    Entries whose page shows no article text are left out.
+    Entries whose page shows no article text are left out; those whose page has not landed are listed
+    in the folder ``missing``.
     """
     feeds = read_feeds(spark, feeds_path)
     write_feed_metadata(feeds, f"{out}/feeds")
+    write_feed_metadata(read_feed_metadata(spark, feeds_path), f"{out}/feeds_parsed")
     entries = with_scrape_rule(feed_entries(feeds), rules)
-    found = entries.join(pages.select(F.col("url").alias("link"), "html"), "link")
+    landed = pages.select(F.col("url").alias("link"), "html")
+    entries.join(landed, "link", "left_anti").write.mode("overwrite").parquet(f"{out}/missing")
+    found = entries.join(landed, "link")
     articles = (
         extract_nested_article_text(found).filter("body <> ''")
         .select(

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 FULLTEXT_SCHEMA = "body_text array<struct<text: string, section: string>>"
 FEED_SCHEMA = "title string, link string, item array<struct<title: string, link: string, description: string, pubDate: string>>"
 
+ATOM_SCHEMA = ("title string, entry array<struct<title: string, link: array<struct<_href: string, _rel: string>>, "
+               "summary: string, content: string, published: string, updated: string>>")
+
 
 def _file_path() -> Column:
     # paths come back with special characters written as %XX; a plus sign stands for itself
@@ -32,12 +35,33 @@ def read_fulltext_json(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _feed_name() -> Column:
+    return F.regexp_extract(_file_path(), r"([^/]+?)(\.[A-Za-z]+)?$", 1).alias("feed")
+
+
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """(feed, title, entries) of landed feed files; ``feed`` is the file name without ending."""
+    """(feed, title, entries) of landed RSS and Atom files; ``feed`` is the file name without ending.
+
+    An Atom entry's link is its alternate one, its description the summary or else the content, and its
+    date that of publication or else of the last change.
+    """
     channels = spark.read.format("xml").option("rowTag", "channel").schema(FEED_SCHEMA).load(path)
-    name = F.regexp_extract(_file_path(), r"([^/]+?)(\.[A-Za-z]+)?$", 1)
-    entries = F.coalesce(F.col("item"), F.array().cast(channels.schema["item"].dataType))
-    return channels.select(name.alias("feed"), "title", entries.alias("entries"))
+    kind = channels.schema["item"].dataType
+    atoms = spark.read.format("xml").option("rowTag", "feed").schema(ATOM_SCHEMA).load(path)
+    alternate = F.expr("""transform(entry, e -> named_struct('title', e.title,
+        'link', coalesce(filter(e.link, l -> l._rel IS NULL OR l._rel = 'alternate')[0]._href, e.link[0]._href),
+        'description', coalesce(e.summary, e.content), 'pubDate', coalesce(e.published, e.updated)))""")
+    both = channels.select(_feed_name(), "title", "item").unionAll(atoms.select(_feed_name(), "title", alternate.cast(kind).alias("item")))
+    return both.select("feed", "title", F.coalesce("item", F.array().cast(kind)).alias("entries"))
+
+
+def read_feed_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(feed, parsed) of landed RSS and Atom files: everything that the file says, as one VARIANT, whatever its fields."""
+    def whole(tag: str) -> DataFrame:
+        parsed = spark.read.format("xml").option("rowTag", tag).option("singleVariantColumn", "parsed").load(path)
+        return parsed.select(_feed_name(), "parsed")
+
+    return whole("channel").unionAll(whole("feed"))
 
 
 def write_feed_metadata(feeds: DataFrame, path: str) -> None:
