@@ -7,11 +7,14 @@ the words around it; spans at or above their kind's threshold are added where th
 one that stays, the likeliest first.
 
 No table marks personal data, so the trees learn from the base rules' own finds: a find in its
-context, rewritten into each looser form, is an example; forms known to be harmless are counter-examples
-(dates, plain numbers, failed Luhn and octet checks, an everyday ` at `). What the generators propose is
-neither, since it may be personal data. At most ``SAMPLE`` different ones of each kind and sort are drawn, by hash. A kind's threshold
-is the lowest, 0.9 at least, at which ``PRECISION`` of what passes of those kept apart for it are examples.
-A kind without examples adds nothing.
+context, rewritten into each looser form, is an example. The same forms filled with what is none are
+counter-examples: a card number with one digit changed so that Luhn fails, an address with a part above 255,
+digits after a word that announces another number (section, order), ordinary words of the text around
+`at` and `dot`; so are forms known to be harmless (dates, plain numbers, failed checks, an everyday ` at `).
+What the generators propose is neither, since it may be personal data. At most ``SAMPLE`` different ones of
+each kind and sort are drawn, by hash. A quarter is kept apart: on it each kind's scores are calibrated by a
+logistic curve, and its threshold is the lowest probability, ``FLOOR`` at least, at which ``PRECISION`` of
+what passes are examples. A kind without examples adds nothing.
 
 Defined results: a null text is the empty text, without spans. Repeated rows are searched one by
 one; other columns are ignored. Texts are searched whole, in one pass without shuffle.
@@ -19,8 +22,11 @@ one; other columns are ignored. Texts are searched whole, in one pass without sh
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +47,8 @@ ROUNDS, LEAVES_DEEP, RATE = 40, 3, 0.3
 # The base rules.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# starts at borders of digit runs only: within a run the same dots follow, so nothing else can match
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -57,6 +64,12 @@ HARMLESS = {
     "card": CARD,
     "phone": re.compile(r"(?<![0-9])(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4}|[0-9]{7,20})(?![0-9])"),
 }
+# Words that announce a number of another kind, and common ends of host names.
+NUMBERED = re.compile(r"\b(?:section|version|order|invoice|page|chapter|item|part|ref|id|no|nr|number|code|"
+                      r"artikel|kapitel|article|chapitre|pedido|factura|capitulo)\W{0,3}\Z", re.I)
+ANNOUNCING = ("section", "version", "order", "invoice", "page", "chapter", "item", "part", "ref", "id", "no.", "number", "code")
+HOST_ENDS = frozenset("com org net edu gov info biz io co eu de fr es it uk us ch at be nl pl se no dk fi pt ru cn jp in br ca au nz example".split())
+WORD = re.compile(r"[^\W\d_]{3,20}")
 CUES = {
     "email": re.compile(r"mail|write|contact|reach", re.I),
     "ip": re.compile(r"\bip\b|address|host|server|login|from", re.I),
@@ -76,7 +89,7 @@ def luhn(digits: str) -> bool:
 
 
 def only_digits(text: str) -> str:
-    return "".join(c for c in text if c in "0123456789")
+    return re.sub(r"[^0-9]+", "", text)
 
 
 def base_emails(text: str) -> list[tuple[int, int]]:
@@ -138,10 +151,13 @@ def features(text: str, kind: str, begin: int, end: int) -> list[float]:
     span, before, after = text[begin:end], text[max(0, begin - 40) : begin], text[end : end + 20]
     digits = only_digits(span)
     groups = re.split(r"\D+", span.strip("()+ "))
+    labels = re.findall(r"[A-Za-z0-9-]+", span) if kind == "email" else []
     return [
+        float(bool(NUMBERED.search(before))), float(labels[-1].lower() in HOST_ENDS) if labels else 0.0, len(labels),
+        float(any(c.isdigit() for c in labels[0])) if labels else 0.0,
         float(KINDS.index(kind)), len(span), len(digits), len(digits) / max(1, len(span)), len(groups),
         max(map(len, groups)), sum(c in " .-()/_[]" for c in span), float("(" in span), float("[" in span),
-        float(luhn(digits)) if len(digits) > 11 else 0.0, max((int(g[:4] or 0) for g in groups), default=0),
+        float(luhn(digits)) if 11 < len(digits) <= 19 else 0.0, max((int(g[:4] or 0) for g in groups), default=0),
         float(bool(CUES[kind].search(before))), float(before[-1:].isalnum()), float(after[:1].isalnum()),
         float(before.rstrip()[-1:] in "=:#\"'"), float(before[-1:] in ".-/_"), float(after[:1] in "-/_"),
         sum(c.isdigit() for c in before + after), len(set(digits)),
@@ -176,41 +192,61 @@ class BoostedTrees:
         self.start = float(np.log(rate / (1 - rate)))
         raw = np.full(len(y), self.start)
         cuts = [np.unique(np.quantile(c, np.linspace(0.02, 0.98, 33))) for c in x.T]
+        width = max(map(len, cuts)) + 1
+        bins = [np.searchsorted(cut, c, "left") for cut, c in zip(cuts, x.T, strict=True)]  # bin > i: above cut i
         for _ in range(ROUNDS):
             p = 1 / (1 + np.exp(-raw))
             g, h = y - p, p * (1 - p) + 1e-6
             leaf = np.zeros(len(y), int)
             splits: list[tuple[int, float]] = []
             for level in range(LEAVES_DEEP):  # one split for a whole level keeps trees small and even
-                best = (-1.0, 0, 0.0)
-                for f, borders in enumerate(cuts):
-                    for cut in borders:
-                        side = leaf * 2 + (x[:, f] > cut)
-                        n = 2 << level
-                        gain = float((np.bincount(side, g, n) ** 2 / (np.bincount(side, h, n) + 1.0)).sum())
-                        if gain > best[0]:
-                            best = (gain, f, float(cut))
-                splits.append(best[1:])
-                leaf = leaf * 2 + (x[:, best[1]] > best[2])
+                best, n = (-1.0, 0, 0), 1 << level
+                for f, at in enumerate(bins):
+                    low_g, low_h = (np.bincount(leaf * width + at, v, n * width).reshape(n, width).cumsum(1) for v in (g, h))
+                    high_g, high_h = low_g[:, -1:] - low_g, low_h[:, -1:] - low_h
+                    gain = (low_g**2 / (low_h + 1.0) + high_g**2 / (high_h + 1.0)).sum(0)[: len(cuts[f])]
+                    if gain.max() > best[0]:
+                        best = (float(gain.max()), f, int(gain.argmax()))
+                _, f, cut = best
+                splits.append((f, float(cuts[f][cut])))
+                leaf = leaf * 2 + (bins[f] > cut)
             n = 1 << LEAVES_DEEP
             value = RATE * np.bincount(leaf, g, n) / (np.bincount(leaf, h, n) + 1.0)
             raw = raw + value[leaf]
             self.trees.append((splits, value))
         return self
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
+    def score(self, x: np.ndarray) -> np.ndarray:
         raw = np.full(len(x), self.start)
         for splits, value in self.trees:
             leaf = np.zeros(len(x), int)
             for f, cut in splits:
                 leaf = leaf * 2 + (x[:, f] > cut)
             raw = raw + value[leaf]
-        return 1 / (1 + np.exp(-raw))
+        return raw
+
+
+def calibrated(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from scores to probabilities, by Newton's method. Targets
+    are drawn in by one row of each sort, so that separated scores keep a finite slope."""
+    high, low = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
+    target, x, w = np.where(y == 1, high, low), np.stack([raw, np.ones(len(raw))], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (target - p) - 1e-3 * (w - [1.0, 0.0]))
+        w = w + np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(w[0]), 1e-3), float(w[1])
 
 
 class PiiModel:
-    def __init__(self, trees: BoostedTrees | None, thresholds: dict[str, float]):
-        self.trees, self.thresholds = trees, thresholds
+    def __init__(self, trees: BoostedTrees | None, curves: dict[str, tuple[float, float]], thresholds: dict[str, float]):
+        self.trees, self.curves, self.thresholds = trees, curves, thresholds
+
+    def probabilities(self, text: str, proposed: list[tuple[str, int, int]]) -> list[float]:
+        raw = self.trees.score(np.array([features(text, *c) for c in proposed]))
+        return [_probability(r, self.curves.get(c[0], (1.0, 0.0))) for r, c in zip(raw.tolist(), proposed, strict=True)]
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """Base spans and accepted candidates, by kind as listed, then start."""
@@ -218,44 +254,84 @@ class PiiModel:
         kept = [(k, *s) for k in KINDS for s in base[k]]
         proposed = candidates(text) if self.trees else []
         if proposed:
-            p = self.trees.probability(np.array([features(text, *c) for c in proposed]))
-            for q, (kind, begin, end) in sorted(zip(p.tolist(), proposed, strict=True), key=lambda c: (-c[0], c[1][1], c[1][0])):
+            p = self.probabilities(text, proposed)
+            for q, (kind, begin, end) in sorted(zip(p, proposed, strict=True), key=lambda c: (-c[0], c[1][1], c[1][0])):
                 if q >= self.thresholds.get(kind, 2.0) and not any(b < end and begin < e for _, b, e in kept):
                     kept.append((kind, begin, end))
         return sorted(kept, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+def _probability(raw: float, curve: tuple[float, float]) -> float:
+    return 1 / (1 + math.exp(-max(-500.0, curve[0] * raw + curve[1])))
+
+
+def refuted(kind: str, span: str, before: str, seed: int) -> tuple[str, str] | None:
+    """(text before, span in the base form) of something like a base find that is not one."""
+    if kind == "email":
+        words = WORD.findall(before)[:-1]  # the last may be what announces an address
+        if len(words) < 3:
+            return None
+        at = seed % (len(words) - 2)
+        return before[: before.rfind(words[-1])], f"{words[at]}@{words[at + 1]}.{words[at + 2]}"
+    if kind == "ip":
+        parts = span.split(".")
+        parts[seed % 4] = str(256 + seed % 744)
+        return before, ".".join(parts)
+    digits = only_digits(span)
+    if kind == "card":
+        at = seed % len(digits)
+        return before, digits[:at] + str((int(digits[at]) + 1 + seed % 9) % 10) + digits[at + 1 :]
+    return f"{before.rstrip()} {ANNOUNCING[seed % len(ANNOUNCING)]} ", str(10**10 + seed * 7919 % (9 * 10**10))
+
+
 def examples(text: str) -> list[tuple[str, int, list[float]]]:
     """(kind, 1 for an example or 0 for a counter-example, features) of one text."""
     base, out = base_spans(text), []
     for kind in KINDS:
         for begin, end in base[kind]:
             before, after = text[max(0, begin - 60) : begin], text[end : end + 30]
+            found = [(1, before, text[begin:end])]
             for turn in range(FORMS[kind]):
-                span = rewritten(kind, text[begin:end], turn)
-                out.append((kind, 1, features(before + span + after, kind, len(before), len(before) + len(span))))
-    stays = [s for k in KINDS for s in base[k]]
-    proposed = [(b, e) for _, b, e in candidates(text)]
+                seed = zlib.crc32(f"{turn}{before}{text[begin:end]}".encode("utf-8", "replace"))
+                other = refuted(kind, text[begin:end], before, seed)
+                for y, ahead, span in found + ([(0, *other)] if other else []):
+                    span = rewritten(kind, span, turn)
+                    out.append((kind, y, features(ahead + span + after, kind, len(ahead), len(ahead) + len(span))))
+    taken = _merged([s for k in KINDS for s in base[k]] + [(b, e) for _, b, e in candidates(text)])
+    ends = [e for _, e in taken]
     for kind, rule in HARMLESS.items():
         for m in rule.finditer(text):
-            if m.end() - m.start() > 6 and not any(b < m.end() and m.start() < e for b, e in stays + proposed):
+            at = bisect.bisect_right(ends, m.start())
+            if m.end() - m.start() > 6 and not (at < len(taken) and taken[at][0] < m.end()):
                 out.append((kind, 0, features(text, kind, *m.span())))
     return out
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(spans):
+        if out and b < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((b, e))
+    return out
+
+
 def train(rows: list[tuple[str, int, list[float]]]) -> PiiModel:
     if not rows or not any(y for _, y, _ in rows):
-        return PiiModel(None, {})
+        return PiiModel(None, {}, {})
     x, y = np.array([f for _, _, f in rows], float), np.array([v for _, v, _ in rows], float)
     kinds = np.array([k for k, _, _ in rows])
     apart = np.arange(len(rows)) % 4 == 3
     trees = BoostedTrees().fit(x[~apart], y[~apart])
-    p = trees.probability(x)
-    thresholds = {}
+    raw = trees.score(x)
+    curves, thresholds = {}, {}
     for kind in KINDS:
         if (y[(kinds == kind) & ~apart] == 1).any():
-            thresholds[kind] = _threshold(p[(kinds == kind) & apart], y[(kinds == kind) & apart])
-    return PiiModel(trees, thresholds)
+            own = (kinds == kind) & apart
+            curves[kind] = calibrated(raw[own], y[own]) if own.any() else (1.0, 0.0)
+            thresholds[kind] = _threshold(np.array([_probability(r, curves[kind]) for r in raw[own].tolist()]), y[own])
+    return PiiModel(trees, curves, thresholds)
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -263,7 +339,7 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     for t in [FLOOR, *np.unique(p[p > FLOOR]).tolist()]:
         if (y[p >= t] == 1).sum() >= PRECISION * (p >= t).sum():
             return t
-    return float(p.max()) + 1e-9
+    return float(p.max(initial=FLOOR)) + 1e-9
 
 
 def sampled(docs: DataFrame, text_col: str = "text") -> list[tuple[str, int, list[float]]]:
