@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from litsearch.operators.profile import row_bytes
 from litsearch.session import scratch_path
@@ -78,10 +82,31 @@ def with_row_number(
     return placed.select(*df.columns, out, *([running_out] if running is not None else []))
 
 
+def _numbered_keys(df: DataFrame, order_by: Sequence[str], size: Column | None = None) -> DataFrame:
+    """(order_by, _size, _row_no, _end): the keys alone, in order; ``_end`` sums up size + 1.
+
+    Only keys and sizes are sorted and written. A key that comes twice raises an error, since
+    the table is met by key afterwards.
+    """
+    size = F.lit(0) if size is None else F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint"))
+    once = df.select(*order_by, size.cast("bigint").alias("_size")).groupBy(*order_by).agg(
+        F.count("*").alias("_n"), F.sum("_size").alias("_size"))
+    repeated = F.raise_error(F.lit(f"{', '.join(order_by)} must be unique")).cast("bigint")
+    keys = once.select(*order_by, F.when(F.col("_n") > 1, repeated).otherwise(F.col("_size")).alias("_size"))
+    return with_row_number(keys, order_by, "_row_no", F.col("_size") + 1, "_end")
+
+
+def _met_by_key(df: DataFrame, keys: DataFrame, order_by: Sequence[str], *out: Column) -> DataFrame:
+    """``df`` with columns of ``keys``; a missing key meets a missing key."""
+    own = keys.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(order_by)], *out)
+    same = reduce(and_, [df[c].eqNullSafe(own[f"_key{i}"]) for i, c in enumerate(order_by)])
+    return df.join(own, same).drop(*[f"_key{i}" for i in range(len(order_by))])
+
+
 def with_chunk_id(df: DataFrame, order_by: Sequence[str], rows: int = 1000, out: str = "chunk_id") -> DataFrame:
-    """Number consecutive chunks of ``rows`` rows; the last one may be shorter."""
-    numbered = with_row_number(df, order_by, "_row_no")
-    return numbered.withColumn(out, F.floor(F.col("_row_no") / rows)).drop("_row_no")
+    """Number consecutive chunks of ``rows`` rows in the order of ``order_by``, which must be unique;
+    the last one may be shorter. Only the keys are sorted and written."""
+    return _met_by_key(df, _numbered_keys(df, order_by), order_by, F.floor(F.col("_row_no") / rows).alias(out))
 
 
 def with_byte_batches(
@@ -92,37 +117,67 @@ def with_byte_batches(
 
     A batch takes rows as long as they fit. A row above the limit is a batch by itself and marked
     in ``oversize``; a missing size is 0. So that batches can be found in parallel, they also end
-    with blocks of about ``BLOCK_BATCHES`` limits, which depend on the data alone. A row counts as
-    one byte more than its size for these, so that no block has many rows; only row numbers and
-    sizes of a block are brought together, never texts.
+    with blocks of about ``BLOCK_BATCHES`` limits, which depend on the data alone; a row counts as
+    one byte more than its size for these. ``order_by`` must be unique. Only keys and sizes are
+    sorted and written; a task reads its blocks in order and holds the unfinished batch alone,
+    however many rows a block has.
     """
-    size = row_bytes(df) if size is None else size
-    sized = df.withColumn("_size", F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint")))
-    placed = with_row_number(sized, order_by, "_row_no", F.col("_size") + 1, "_end")
-    block = F.floor((F.col("_end") - F.col("_size") - 1) / F.lit(BLOCK_BATCHES * max_bytes))
-    placed = placed.withColumn("_block", block)
-    none = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(0).cast("bigint").alias("filled"))
-
-    def take(batch: Column, row: Column) -> Column:
-        full = (F.size(batch["starts"]) == 0) | (batch["filled"] + row["_size"] > max_bytes)
-        first = F.concat(batch["starts"], F.array(row["_row_no"]))
-        return F.struct(
-            F.when(full, first).otherwise(batch["starts"]).alias("starts"),
-            F.when(full, row["_size"]).otherwise(batch["filled"] + row["_size"]).alias("filled"),
-        )
-
-    in_order = F.array_sort(F.collect_list(F.struct("_row_no", "_size")))
-    starts = placed.groupBy("_block").agg(in_order.alias("_rows")).select(
-        "_block", F.aggregate("_rows", none, take, lambda batch: batch["starts"]).alias("_starts"))
-    own = F.array_max(F.filter("_starts", lambda first: first <= F.col("_row_no")))
-    return placed.join(starts, "_block").select(
-        *df.columns, own.alias(out), (F.col("_size") > max_bytes).alias(oversize))
+    keys = _numbered_keys(df, order_by, row_bytes(df) if size is None else size)
+    block = F.floor((F.col("_end") - F.col("_size") - 1) / F.lit(BLOCK_BATCHES * max_bytes)).alias("_block")
+    in_order = keys.select(*order_by, "_row_no", "_size", block).repartition("_block").sortWithinPartitions("_block", "_row_no")
+    schema = T.StructType([*in_order.schema.fields, T.StructField("_batch", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, (0, 0)
+        for batch in batches:
+            blocks, number, sizes = (batch.column(c).to_numpy() for c in ("_block", "_row_no", "_size"))
+            first, at = np.empty(len(sizes), np.int64), 0
+            while at < len(sizes):
+                end = int(np.searchsorted(blocks, blocks[at], "right"))
+                state = fill_batches(number[at:end], sizes[at:end], max_bytes, state if blocks[at] == last else None, first[at:end])
+                last, at = blocks[at], end
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first)], [*batch.schema.names, "_batch"])
+
+    found = in_order.mapInArrow(run, schema)
+    return _met_by_key(df, found, order_by, F.col("_batch").alias(out), (F.col("_size") > max_bytes).alias(oversize))
+
+
+def fill_batches(
+    number: np.ndarray, sizes: np.ndarray, limit: int, state: tuple[int, int] | None, first: np.ndarray
+) -> tuple[int, int]:
+    """Write each row's batch into ``first``, going on from ``state``: the first row's number and the
+    bytes of the unfinished batch, none at the start of a block. Returns the state after the last row."""
+    upto, at = np.cumsum(sizes), 0
+    start, filled = state or (int(number[0]), 0)
+    if state is None:
+        first[0], filled, at = start, int(sizes[0]), 1
+    while at < len(sizes):
+        before = int(upto[at - 1]) if at else 0
+        fit = max(at, int(np.searchsorted(upto, limit - filled + before, "right")))
+        first[at:fit] = start
+        if fit == len(sizes):
+            return start, filled + int(upto[-1]) - before
+        start, filled = int(number[fit]), int(sizes[fit])
+        first[fit], at = start, fit + 1
+    return start, filled
 
 
 def row_slice(df: DataFrame, order_by: Sequence[str], first: int, last: int) -> DataFrame:
-    """Rows number ``first`` to ``last`` (zero-based, both included) in the given order."""
-    numbered = with_row_number(df, order_by, "_row_no")
-    return numbered.filter(F.col("_row_no").between(first, last)).drop("_row_no")
+    """Rows number ``first`` to ``last`` (zero-based, both included) in the order of ``order_by``, which
+    must be unique. The keys are numbered, and the table is then read between the two border keys."""
+    at = F.struct(*order_by)
+    borders = _numbered_keys(df, order_by).filter(F.col("_row_no").between(first, last)).agg(
+        F.min_by(at, "_row_no").alias("low"), F.max_by(at, "_row_no").alias("high")).first()
+    if borders["low"] is None:
+        return df.limit(0)
+    types = dict(df.dtypes)
+    low, high = (F.struct(*[F.lit(b[c]).cast(types[c]).alias(c) for c in order_by]) for b in (borders["low"], borders["high"]))
+    lead = order_by[0]
+    # the first column's bounds reach the scan; missing keys come first
+    above = F.lit(True) if borders["low"][lead] is None else F.col(lead) >= low[lead]
+    below = F.col(lead).isNull() if borders["high"][lead] is None else F.col(lead) <= high[lead]
+    below = below | F.col(lead).isNull() if borders["low"][lead] is None else below
+    return df.filter(above & below) if len(order_by) == 1 else df.filter(above & below & (at >= low) & (at <= high))
 
 
 def sample_rows(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:

@@ -124,6 +124,42 @@ def test_byte_batches_are_runs_within_the_limit(spark):
     assert empty.count() == 0 and empty.columns == ["id", "n", "batch_id", "oversize"]
 
 
+def test_batches_go_on_from_one_arrow_batch_to_the_next(spark):
+    """Many empty rows are one block: a task streams them and carries the unfinished batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        sizes = [(i * 31) % 7 for i in range(3000)] + [0] * 5000 + [99, 2, 98, 2, 1]
+        df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "id int, n int").repartition(3)
+        got = [r.batch_id for r in layout.with_byte_batches(df, ["id"], 1000, F.col("n")).orderBy("id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected, ends, block, filled = [], 0, None, 0
+    for i, n in enumerate(sizes):
+        if ends // 16000 != block or filled + n > 1000:
+            block, start, filled = ends // 16000, i, 0
+        filled, ends = filled + n, ends + n + 1
+        expected.append(start)
+    assert got == expected
+
+
+def test_only_keys_and_sizes_are_written(spark, monkeypatch):
+    written = []
+    kept = layout.materialize
+    monkeypatch.setattr(layout, "materialize", lambda df, path=None: written.append(df.columns) or kept(df, path))
+    df = spark.createDataFrame([(i, None if i == 0 else i * 2, "text") for i in range(50)], "id int, k int, t string")
+    layout.with_chunk_id(df, ["k"], 5).count(), layout.with_byte_batches(df, ["k"], 20).count()
+    assert written == [["k", "_size", "_weight", "_id"]] * 2
+    assert sorted(r.id for r in layout.row_slice(df, ["k"], 0, 3).collect()) == [0, 1, 2, 3]
+    assert sorted(r.id for r in layout.row_slice(df, ["k"], 48, 90).collect()) == [48, 49]
+    assert layout.row_slice(df, ["k"], 50, 60).count() == 0
+    two = df.withColumn("a", F.col("id") % 3)
+    ordered = sorted(range(50), key=lambda i: (i % 3, i))
+    assert sorted(r.id for r in layout.row_slice(two, ["a", "k"], 10, 20).collect()) == sorted(ordered[10:21])
+    assert layout.with_chunk_id(df, ["k"], 5).filter("k is null").first().chunk_id == 0
+    with pytest.raises(Exception, match="must be unique"):
+        layout.with_chunk_id(df.withColumn("k", F.lit(1)), ["k"], 5).count()
+
+
 def test_partition_sizes(spark):
     df = spark.range(100).select(F.lit("x" * 1024).alias("t")).repartition(1)
     assert layout.repartition_by_size(df, 1).rdd.getNumPartitions() == 1
