@@ -196,6 +196,9 @@ ORACLES["tfidf_title_abstract"] = f"""WITH kept AS ({KEPT}),
 {tfidf_ctes('SELECT * FROM kept', 'abstract', '_a', q.STOPWORDS)}
 SELECT doc_id, 'title' AS field, term, round(weight, 6) AS weight FROM weights_t
 UNION ALL SELECT doc_id, 'abstract' AS field, term, round(weight, 6) AS weight FROM weights_a"""
+for name, same in {"counts": "term_counts", "model": "tfidf_idf", "weights": "tfidf_weights", "stats": "tfidf_stats",
+                   "search": "tfidf_search", "title_abstract": "tfidf_title_abstract"}.items():
+    ORACLES[f"forward_{name}"] = ORACLES[same]
 ORACLES["stopword_filter"] = f"""SELECT doc_id,
   array_to_string({list_if(tok('text'), q.STOPWORDS)}, ' ') AS tokens FROM documents"""
 ORACLES["clean_text"] = f"""SELECT doc_id, array_to_string(list_transform(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from litsearch.functions.fuzzy import similar_terms
 from litsearch.functions.text import tokenize
 from litsearch.operators import (
-    body, clean, dedup, layout, news, profile, search, segments, store, summarize, tfidf, vector,
+    body, clean, dedup, forward, layout, news, profile, search, segments, store, summarize, tfidf, vector,
     vector_index,
 )
 from litsearch.plans.views import FEEDS_SQL, paper_files, papers, table
@@ -321,6 +321,37 @@ def tfidf_title_abstract(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+def _forward(spark, d):
+    return forward.write_forward(_docs(spark, d), "doc_id", ["text"], scratch_path(spark, "forward"))
+
+
+def forward_counts(spark, d):
+    return forward.forward_term_counts(_forward(spark, d)).drop("field")
+
+
+def forward_model(spark, d):
+    return forward.forward_model(_forward(spark, d)).select("term", "df", _r6("idf"), "n_docs")
+
+
+def forward_weights(spark, d):
+    return forward.forward_weights(_forward(spark, d)).select("doc_id", "term", _r6("weight"))
+
+
+def forward_title_abstract(spark, d):
+    """Both columns in one pass over the papers."""
+    kept = clean.clean_papers(papers(spark, d))
+    index = forward.write_forward(kept, "doc_id", ["title", "abstract"], scratch_path(spark, "forward"), STOPWORDS)
+    return forward.forward_weights(index).select("doc_id", "field", "term", _r6("weight"))
+
+
+def forward_stats(spark, d):
+    return forward.forward_stats(_forward(spark, d)).drop("field")
+
+
+def forward_search(spark, d):
+    return forward.forward_search(_forward(spark, d), TFIDF_QUERY, "text").select("doc_id", _r6("score"))
+
+
 def tfidf_stats(spark, d):
     return tfidf.tfidf_stats(_weights(spark, d), "doc_id")
 
@@ -542,7 +573,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_fuzzy, search_exact, search_indexed, search_indexed_fuzzy, search_title, search_paged, search_response,
         search_prefer_complete, search_prefer_complete_indexed, search_batch,
         index_upsert, index_delete, index_compacted, index_top, match_all, fuzzy_terms, postings, vector_search, vector_search_indexed,
-        vector_rerank, tfidf_search, tfidf_idf, tfidf_weights, tfidf_query_vector,
+        vector_rerank, forward_search, forward_weights, forward_title_abstract, forward_counts, forward_model, forward_stats,
+        tfidf_search, tfidf_idf, tfidf_weights, tfidf_query_vector,
         tfidf_title_abstract, tfidf_stats, token_counts, term_counts, stopword_filter, clean_text,
         papers_clean, fill_typed, missing_flags, keyword_filter, contains_filter, pattern_filter,
         point_lookup, news_topic_filter, assemble_body, conversation_body, feed_entries,
