@@ -1,10 +1,10 @@
-"""A join for lookups by a key that may be very unevenly spread over the rows."""
+"""Joins for lookups by a key that may be very unevenly spread over the rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SLICE_ROWS = 1_000_000
 HOT_KEYS = 10_000
@@ -38,3 +38,13 @@ def spread_join(
         lookup.join(F.broadcast(hot), keys, "left").withColumn("_slice", copies).drop("_slices")
     )
     return dealt.join(repeated, [*keys, "_slice"], how).drop("_slice")
+
+
+def split_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], frequent: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``lookup``, whose ``frequent`` entries are broadcast: only rows that meet none of
+    them are shuffled. The result is that of a plain join; ``frequent`` must name a bounded number of entries.
+    """
+    keys = list(keys)
+    met = rows.join(F.broadcast(lookup.filter(frequent).withColumn("_frequent", F.lit(True))), keys, "left")
+    rest = met.filter("_frequent IS NULL").select(*rows.columns).join(lookup.filter(~frequent), keys, how)
+    return met.filter("_frequent").drop("_frequent").unionByName(rest)

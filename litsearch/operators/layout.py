@@ -30,9 +30,10 @@ def repartition_by_size(df: DataFrame, mb: int = 100, total_bytes: int | None =
     return df.repartition(max(1, math.ceil(total_bytes / (mb * 1024 * 1024))))
 
 
-def rebalance(df: DataFrame) -> DataFrame:
-    """Let adaptive execution even out the partitions to the session's advisory size."""
-    return df.hint("rebalance")
+def rebalance(df: DataFrame, *by: str) -> DataFrame:
+    """Let adaptive execution even out the partitions to the session's advisory size, keeping rows
+    that are equal in ``by`` together as far as that size allows."""
+    return df.hint("rebalance", *[F.col(c) for c in by])
 
 
 def repartition_fixed(df: DataFrame, n: int = 30) -> DataFrame:

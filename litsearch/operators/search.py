@@ -83,9 +83,9 @@ def field_stats(postings: DataFrame, key: str) -> DataFrame:
 class SearchIndex:
     """Stored postings and vocabulary.
 
-    ``postings`` are (key, field, term, weight, carried columns) rows with the finished BM25
-    weight, in folders by field and term bucket. ``terms`` has one (field, term, df, bucket) row
-    per term, in folders by field and term length.
+    ``postings`` are (key, field, term, weight, carried columns) rows in folders by field and term
+    bucket; ``weight`` is the BM25 weight without its idf. ``terms`` has one (field, term, df, idf,
+    bucket) row per term, in folders by field and term length.
     """
 
     postings: DataFrame
@@ -100,11 +100,12 @@ def write_index(
 ) -> SearchIndex:
     """Build and store an index, laid out so that a search opens only the files it needs.
 
-    The counted postings are written out first: frequencies, statistics and the join that makes
-    weights of them read them from there, so the texts are split into words once. A search finds
-    the terms it wants in the vocabulary, whose folders are by field and term length (edit distance
-    bounds the length), and then opens the postings folders those terms are in. The key is part of
-    the range split of the postings, so a very common term fills many files. ``carry`` names
+    The counted postings are written out first: frequencies, statistics and weights are made from
+    there, so the texts are split into words once. The idf stays with the vocabulary, where a search
+    meets it anyway, so that postings are not joined to it and move once, to their folder. A search
+    finds the terms it wants in the vocabulary, whose folders are by field and term length (edit
+    distance bounds the length), and then opens the postings folders those terms are in. Adaptive
+    execution splits large folders, so a very common term fills many files. ``carry`` names
     expressions over ``df`` that postings keep, for document boosts.
     """
     spark = df.sparkSession
@@ -113,21 +114,22 @@ def write_index(
     counted = materialize(build_postings(df.withColumns(carry), key, fields, list(carry)), counted_path)
     length = F.least(F.length("term"), F.lit(MAX_LENGTH_BUCKET))
     bucket = F.pmod(F.hash("term"), F.lit(buckets))
+    stats = materialize(field_stats(counted, key).coalesce(1))  # one row per field name given by the caller
     (
         counted.groupBy("field", "term").agg(F.count("*").alias("df"))
-        .select("field", "term", "df", bucket.alias("bucket"), length.alias("len_bucket"))
+        .join(F.broadcast(stats), "field")
+        .select("field", "term", "df", _idf().alias("idf"), bucket.alias("bucket"), length.alias("len_bucket"))
         .repartitionByRange("field", "len_bucket", "term")
         .sortWithinPartitions("field", "len_bucket", "term")
         .write.mode("overwrite").partitionBy("field", "len_bucket").parquet(f"{path}/terms")
     )
-    frequency = spark.read.parquet(f"{path}/terms").select("field", "term", "df")
-    stats = field_stats(counted, key)  # one row per field name given by the caller
     (
-        spread_join(counted, frequency, ["field", "term"], "df", key)
-        .join(F.broadcast(stats), "field")
-        .select(key, *carry, "field", "term", _bm25_weight().alias("weight"), bucket.alias("bucket"))
-        .repartitionByRange("field", "bucket", "term", key)
-        .sortWithinPartitions("field", "bucket", "term", key)
+        rebalance(
+            counted.join(F.broadcast(stats), "field")
+            .select(key, *carry, "field", "term", _tf_weight().alias("weight"), bucket.alias("bucket")),
+            "field", "bucket",
+        )
+        .sortWithinPartitions("field", "bucket", "term")
         .write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{path}/postings")
     )
     remove_path(spark, counted_path)
@@ -141,14 +143,23 @@ def load_index(spark: SparkSession, path: str, key: str, fields: Sequence[str])
 
 # ---------------------------------------------------------------- scoring
 
+def _idf() -> Column:
+    df, n = F.col("df"), F.col("n_docs")
+    return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
+
+
+def _tf_weight(tf: str = "tf", field_len: str = "field_len") -> Column:
+    """The part of a BM25 weight that does not depend on how many documents have the term."""
+    tf, field_len, avg_len = map(F.col, [tf, field_len, "avg_len"])
+    return (K1 + 1) * tf / (tf + K1 * ((1 - B) + B * field_len / avg_len))
+
+
 def _bm25_weight(tf: str = "tf", field_len: str = "field_len") -> Column:
     """Weight of a term in a field, from the named columns and df, n_docs and avg_len.
 
     It grows with tf and falls with field_len.
     """
-    tf, field_len, df, n, avg_len = map(F.col, [tf, field_len, "df", "n_docs", "avg_len"])
-    idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
-    return idf * ((K1 + 1) * tf / (tf + K1 * ((1 - B) + B * field_len / avg_len)))
+    return _idf() * _tf_weight(tf, field_len)
 
 
 def _boost(boosts: Mapping[str, float]) -> Column:
@@ -283,13 +294,13 @@ def index_scores(
     hit = _any([matches_word(F.col("term"), w, k) for w, k in zip(words, edits)])
     terms = materialize(
         index.terms.filter(in_fields & near).filter(hit)
-        .select("field", "term", "df", "bucket", _matched_words(words, fuzziness).alias("word_nos"))
+        .select("field", "term", "df", "idf", "bucket", _matched_words(words, fuzziness).alias("word_nos"))
     )
     wanted = sorted(r.bucket for r in terms.select("bucket").distinct().collect())
     postings = index.postings.filter(in_fields & F.col("bucket").isin(wanted)).drop("bucket")
     boost = F.lit(1.0) if doc_boost is None else doc_boost.cast("double")
     found = spread_join(postings, terms.drop("bucket"), ["field", "term"], "df", index.key)
-    scored = found.withColumn("s", F.col("weight") * boost)
+    scored = found.withColumn("s", F.col("idf") * F.col("weight") * boost)
     return _rank_query(scored, index.key, words, times, boosts, operator)
 
 
@@ -375,11 +386,12 @@ def search_batch(
     # written out, as it is used several times below and costs the fuzzy join to make
     reach = materialize(
         words.join(similar, "word").join(vocabulary, "term")
-        .select(query_id, "needed", "word", "times", "field", "term", "df")
+        .select(query_id, "needed", "word", "times", "field", "term", "df", "idf")
     )
-    wanted = reach.groupBy("field", "term").agg(F.max("df").alias("df"))
-    stored = spread_join(postings.select(key, "field", "term", F.col("weight").alias("s")), wanted,
-                         ["field", "term"], "df", key).drop("df")
+    wanted = reach.groupBy("field", "term").agg(F.max("df").alias("df"), F.max("idf").alias("idf"))
+    reach = reach.drop("idf")
+    stored = spread_join(postings.select(key, "field", "term", "weight"), wanted, ["field", "term"], "df", key).select(
+        key, "field", "term", (F.col("idf") * F.col("weight")).alias("s"))
     matched = (
         _candidate_postings(stored, reach, key, query_id) if operator == "AND"
         else spread_join(stored, reach, ["field", "term"], "df", key)

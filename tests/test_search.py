@@ -195,3 +195,27 @@ def test_spread_join_splits_the_hot_key(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(sizes) > 1
+
+
+def test_stored_postings_are_not_joined_to_the_vocabulary(spark, docs, tmp_path, monkeypatch):
+    def never(*args, **kwargs):
+        raise AssertionError("postings were joined")
+
+    with monkeypatch.context() as m:
+        m.setattr(search, "spread_join", never)
+        index = search.write_index(docs, "doc_id", ["title", "body"], str(tmp_path / "index"))
+    stats = {r.field: r for r in search.field_stats(search.build_postings(docs, "doc_id", ["title", "body"]), "doc_id").collect()}
+    for r in index.terms.collect():
+        n = stats[r.field].n_docs
+        assert r.idf == pytest.approx(math.log(1 + (n - r.df + 0.5) / (r.df + 0.5)))
+    assert "idf" not in index.postings.columns
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_split_join_is_a_join(spark, how):
+    facts = spark.range(100).select("id", F.when(F.col("id") < 70, "hot").when(F.col("id") < 90, "rare")
+                                    .when(F.col("id") < 95, "none").alias("k"))
+    lookup = spark.createDataFrame([("hot", 70, 1), ("rare", 20, 2), ("unused", 1, 3)], "k string, n int, v int")
+    plain = rows(facts.join(lookup, "k", how), "id", "k", "n", "v")
+    for least in (1, 50, 100):
+        assert rows(joins.split_join(facts, lookup, ["k"], F.col("n") >= least, how), "id", "k", "n", "v") == plain
