@@ -2,7 +2,7 @@
 
 Texts are split once, when the index is written, and are never shuffled; only their words are.
 TF-IDF models, weights, statistics and rankings are then read from the rows. An entry carries its
-term's document frequency, so a weight needs no lookup and a document's vector no shuffle. Terms
+term and the term's document frequency, so weights and counts need no lookup and no shuffle. Terms
 are numbered by falling frequency within their field, so frequent terms have small numbers.
 
 Definitions are those of ``operators/tfidf.py``. The key must be unique. A document without words
@@ -15,18 +15,23 @@ import math
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from litsearch.functions.fuzzy import query_words
 from litsearch.functions.text import remove_stopwords, tokenize
-from litsearch.operators.joins import spread_join
+from litsearch.operators.joins import split_join
 from litsearch.operators.layout import materialize, with_row_number
 
+# Terms of all fields together that are broadcast when entries get their numbers.
+FREQUENT_TERMS = 100_000
+
 
 @dataclass(frozen=True)
 class ForwardIndex:
-    """``documents`` (key, field, terms: array of term_id, tf, df), ``dictionary`` (field, term,
+    """``documents`` (key, field, terms: array of term_id, tf, df, term), ``dictionary`` (field, term,
     term_id, df) and ``counts`` (field, n_docs), one row per field."""
 
     key: str
@@ -58,9 +63,12 @@ def write_forward(
     numbered.select("field", "term", "term_id", "df").write.mode("overwrite").parquet(f"{path}/dictionary")
     spark = df.sparkSession
     dictionary = spark.read.parquet(f"{path}/dictionary")
-    entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", "tf", "df"))
+    # one row per field: numbers are dense, and the first ones of a field are its most frequent terms
+    first = dictionary.groupBy("field").agg(F.min("term_id").alias("first")).collect()
+    few = [(F.col("field") == r["field"]) & (F.col("term_id") < r["first"] + FREQUENT_TERMS // len(cols)) for r in first]
+    entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", "tf", "df", "term"))
     (
-        spread_join(counted, dictionary, ["field", "term"], "df", key, "left")
+        split_join(counted, dictionary, ["field", "term"], reduce(or_, few, F.lit(False)), "left")
         .groupBy(key, "field").agg(F.array_sort(F.collect_list(entry)).alias("terms"))
         .write.mode("overwrite").parquet(f"{path}/documents")
     )
@@ -78,9 +86,8 @@ def _idf(n_docs: Column, df: Column) -> Column:
 
 
 def forward_term_counts(index: ForwardIndex) -> DataFrame:
-    """(key, field, term, tf)."""
-    entries = index.documents.select(index.key, "field", F.inline("terms"))
-    return _named(index, entries).select(index.key, "field", "term", "tf")
+    """(key, field, term, tf), row by row."""
+    return index.documents.select(index.key, "field", F.inline("terms")).select(index.key, "field", "term", "tf")
 
 
 def forward_model(index: ForwardIndex) -> DataFrame:
@@ -95,9 +102,9 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _raw_vector() -> Column:
+def _raw_vector(*kept: str) -> Column:
     return F.transform("terms", lambda e: F.struct(
-        e["term_id"].alias("term_id"), e["df"].alias("df"), (e["tf"] * _idf(F.col("n_docs"), e["df"])).alias("x")))
+        *[e[c].alias(c) for c in kept], (e["tf"] * _idf(F.col("n_docs"), e["df"])).alias("x")))
 
 
 def _length(raw: Column) -> Column:
@@ -105,22 +112,17 @@ def _length(raw: Column) -> Column:
 
 
 def forward_vectors(index: ForwardIndex) -> DataFrame:
-    """(key, field, vector: array of term_id, df, weight): each row by itself, without a shuffle."""
+    """(key, field, vector: array of term_id, df, term, weight): each row by itself, without a shuffle."""
     docs = index.documents.join(F.broadcast(index.counts), "field")
-    vector = _let(_raw_vector(), lambda raw: _let(_length(raw), lambda length: F.transform(raw, lambda e: F.struct(
-        e["term_id"].alias("term_id"), e["df"].alias("df"), (e["x"] / length).alias("weight")))))
+    kept = ("term_id", "df", "term")
+    vector = _let(_raw_vector(*kept), lambda raw: _let(_length(raw), lambda length: F.transform(raw, lambda e: F.struct(
+        *[e[c].alias(c) for c in kept], (e["x"] / length).alias("weight")))))
     return docs.select(index.key, "field", vector.alias("vector"))
 
 
-def _named(index: ForwardIndex, entries: DataFrame) -> DataFrame:
-    terms = index.dictionary.select("term_id", "term", "df")
-    return spread_join(entries.drop("df"), terms, ["term_id"], "df", index.key)
-
-
 def forward_weights(index: ForwardIndex) -> DataFrame:
-    """(key, field, term, weight); the only shuffle is the lookup of the terms' texts."""
-    entries = forward_vectors(index).select(index.key, "field", F.inline("vector"))
-    return _named(index, entries).select(index.key, "field", "term", "weight")
+    """(key, field, term, weight), row by row."""
+    return forward_vectors(index).select(index.key, "field", F.inline("vector")).select(index.key, "field", "term", "weight")
 
 
 def forward_stats(index: ForwardIndex) -> DataFrame:
@@ -152,7 +154,7 @@ def forward_search(index: ForwardIndex, text: str, field: str, k: int = 10) -> D
             return F.aggregate(hits, F.lit(0.0), lambda s, e: s + e["x"] * weight[e["term_id"]]) / _length(vector)
 
         # most documents have none of the terms, so their vectors are not made
-        score = F.when(F.exists("terms", lambda e: e["term_id"].isin(sorted(raw))), F.round(_let(_raw_vector(), cosine), 9))
+        score = F.when(F.exists("terms", lambda e: e["term_id"].isin(sorted(raw))), F.round(_let(_raw_vector("term_id"), cosine), 9))
         score = F.coalesce(score, F.lit(0.0))
     docs = index.documents.filter((F.col("field") == field) & (F.size("terms") > 0)).join(F.broadcast(index.counts), "field")
     return docs.select(index.key, score.alias("score")).orderBy(F.desc("score"), index.key).limit(k)

@@ -61,3 +61,16 @@ def test_an_empty_table(docs, tmp_path):
     empty = forward.write_forward(docs.limit(0), "id", ["body"], str(tmp_path / "i"))
     assert empty.documents.count() == forward.forward_weights(empty).count() == forward.forward_stats(empty).count() == 0
     assert forward.forward_search(empty, "red", "body").count() == 0
+
+
+def test_weights_and_counts_need_no_lookup(index):
+    for df in (forward.forward_weights(index), forward.forward_term_counts(index)):
+        assert "Join" not in plan(df).replace("BroadcastHashJoin [field", "") and "Exchange hashpartitioning" not in plan(df)
+
+
+@pytest.mark.parametrize("most", [0, 2, 6])
+def test_rare_terms_get_their_numbers_by_a_join(docs, tmp_path, monkeypatch, most):
+    whole = forward.write_forward(docs, "id", ["body", "title"], str(tmp_path / "whole"))
+    monkeypatch.setattr(forward, "FREQUENT_TERMS", most)
+    index = forward.write_forward(docs, "id", ["body", "title"], str(tmp_path / "i"))
+    assert rows(index.documents) == rows(whole.documents)
