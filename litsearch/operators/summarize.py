@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from litsearch.functions.text import strip, tokenize, truncate_words
-from litsearch.operators.joins import spread_join
-from litsearch.operators.tfidf import fit_tfidf
+from litsearch.operators.joins import split_join
+from litsearch.operators.layout import materialize
+from litsearch.operators.tfidf import fit_tfidf, frequent_terms
 from litsearch.session import by_key
 
 
@@ -44,9 +45,9 @@ def summarize_extractive(
     """(key, summary): the ``k`` best sentences of each document, in text order.
 
     A sentence scores the mean TF-IDF weight (tf in the document × idf) of its words; ties go to
-    the earlier sentence. Without a fitted ``model`` one is fitted on the texts themselves.
+    the earlier sentence. Without a fitted ``model`` one is fitted on the texts themselves and written out.
     """
-    model = fit_tfidf(df, col) if model is None else model
+    model = materialize(fit_tfidf(df, col)) if model is None else model
     text = by_key(df.select(key, col), key)
     numbered = text.select(key, F.posexplode(sentences(F.col(col))).alias("_no", "_sentence"))
     per_sentence = (
@@ -54,7 +55,7 @@ def summarize_extractive(
         .groupBy(key, "_no", "term").agg(F.count("*").alias("_c"))
         .withColumn("_tf", F.sum("_c").over(Window.partitionBy(key, "term")))
     )
-    weighed = spread_join(per_sentence, model.select("term", "df", "idf"), ["term"], "df", key)
+    weighed = split_join(per_sentence, model.select("term", "df", "idf"), ["term"], frequent_terms(model))
     mean = F.sum(F.col("_c") * F.col("_tf") * F.col("idf")) / F.sum("_c")
     best_first = Window.partitionBy(key).orderBy(F.desc("_score"), "_no")
     picks = (

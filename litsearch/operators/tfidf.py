@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from litsearch.functions.fuzzy import query_words
 from litsearch.functions.text import remove_stopwords, tokenize
-from litsearch.operators.joins import spread_join
+from litsearch.operators.joins import split_join, spread_join
 from litsearch.operators.layout import materialize
 from litsearch.session import by_key
 
+# Terms of a stored model that are broadcast where words meet it.
+FREQUENT_TERMS = 100_000
+
 
 def _words(col: str, stopwords: Sequence[str] | None) -> Column:
     words = tokenize(F.coalesce(F.col(col), F.lit("")))
@@ -53,14 +56,29 @@ def fit_tfidf(df: DataFrame, col: str, stopwords: Sequence[str] | None = None) -
     )
 
 
+def frequent_terms(model: DataFrame, most: int = FREQUENT_TERMS) -> Column:
+    """A condition that at most ``most`` terms of a stored model meet, the most frequent ones.
+
+    One row per different frequency is brought together; equal frequencies are in or out together.
+    """
+    by_df = model.groupBy("df").agg(F.count("*").alias("n"))
+    terms = F.sum("n").over(Window.orderBy(F.desc("df")))
+    least = by_df.select("df", terms.alias("terms")).filter(F.col("terms") <= most).agg(F.min("df")).first()[0]
+    return F.lit(False) if least is None else F.col("df") >= least
+
+
 def transform_tfidf(
-    df: DataFrame, key: str, col: str, model: DataFrame, stopwords: Sequence[str] | None = None
+    df: DataFrame, key: str, col: str, model: DataFrame, stopwords: Sequence[str] | None = None,
+    frequent: Column | None = None,
 ) -> DataFrame:
-    """(key, term, weight) with weights of length 1 per document; unknown words drop out."""
-    counts = term_counts(df, key, col, stopwords)
-    raw = spread_join(counts, model.select("term", "df", "idf"), ["term"], "df", key).select(
-        key, "term", (F.col("tf") * F.col("idf")).alias("_x")
-    )
+    """(key, term, weight) with weights of length 1 per document; unknown words drop out.
+
+    With ``frequent``, see :func:`frequent_terms`, only the counts of other terms are shuffled by term.
+    """
+    counts, model = term_counts(df, key, col, stopwords), model.select("term", "df", "idf")
+    found = (spread_join(counts, model, ["term"], "df", key) if frequent is None
+             else split_join(counts, model, ["term"], frequent))
+    raw = found.select(key, "term", (F.col("tf") * F.col("idf")).alias("_x"))
     length = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("_x") / length).alias("weight"))
 

@@ -359,7 +359,7 @@ def tfidf_stats(spark, d):
 def tfidf_search(spark, d):
     docs = _docs(spark, d)
     model = layout.materialize(tfidf.fit_tfidf(docs, "text"))
-    weights = tfidf.transform_tfidf(docs, "doc_id", "text", model)
+    weights = tfidf.transform_tfidf(docs, "doc_id", "text", model, frequent=tfidf.frequent_terms(model))
     hits = tfidf.tfidf_search(weights, tfidf.tfidf_query_vector(model, TFIDF_QUERY), "doc_id")
     return hits.select("doc_id", _r6("score"))
 
