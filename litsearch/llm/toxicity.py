@@ -44,6 +44,7 @@ NOT_LETTER = re.compile(r"[\W\d_]+")
 SPELLED = re.compile(r"(?<!\S)\w(?:[\s.\-_*]+\w(?!\w)){2,}(?!\S)")
 #: Offsets of the second and third letter.
 GAPS = [(i, j) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]
+GAP_WEIGHTS = np.array([DECAY ** (j + 1) for _, j in GAPS])
 
 
 def letters(word: str) -> str:
@@ -73,15 +74,20 @@ def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grid = np.zeros((n, width), np.int64)
     for i, w in enumerate(words):
         grid[i, : len(w)] = [(ord(c) & 63) + 1 for c in w]
-    keys, weights = [], []
+    keys = []
     row = np.arange(n, dtype=np.int64)[:, None] << 21
-    for i, j in GAPS:
+    for gap, (i, j) in enumerate(GAPS):
         a, b, c = (grid[:, s : LONGEST + 1 + s] for s in (0, i, j))
-        ok = c > 0
-        keys.append((row | a << 14 | b << 7 | c)[ok])
-        weights.append(np.full(len(keys[-1]), DECAY ** (j + 1)))
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key >> 21, key & ((1 << 21) - 1), np.bincount(at, np.concatenate(weights), len(key))
+        # the gap's number goes along in the low bits, so that plain numbers are sorted
+        keys.append((row | a << 14 | b << 7 | c)[c > 0] << 4 | gap)
+    key = np.sort(np.concatenate(keys))
+    weights = GAP_WEIGHTS[key & 15]
+    key >>= 4
+    first = np.empty(len(key), bool)
+    first[:1], first[1:] = True, key[1:] != key[:-1]
+    sums = np.bincount(np.cumsum(first) - 1, weights)
+    key = key[first]
+    return key >> 21, key & ((1 << 21) - 1), sums
 
 
 class Kernel:
