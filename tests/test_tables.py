@@ -354,3 +354,14 @@ def test_stream(spark, tmp_path):
     assert rows(stream.read_current(spark, sink, ["id"], ["at"]), "id", "v") == current
     stream.compact(spark, sink, str(tmp_path / "compact"), ["id"], ["at"])
     assert rows(stream.read_current(spark, str(tmp_path / "compact"), ["id"], ["at"]), "id", "v") == current
+
+
+def test_frequent_terms_are_broadcast_and_the_weights_stay(spark):
+    docs = spark.createDataFrame([(1, "red stone red"), (2, "red river"), (3, "stone red of"), (4, None)], "id int, t string")
+    model = layout.materialize(tfidf.fit_tfidf(docs, "t"))
+    plain = {(r.id, r.term): pytest.approx(r.weight) for r in tfidf.transform_tfidf(docs, "id", "t", model).collect()}
+    for most, kept in ((0, set()), (2, {"red", "stone"}), (3, {"red", "stone"}), (9, {"red", "stone", "river", "of"})):
+        frequent = tfidf.frequent_terms(model, most)
+        assert {r.term for r in model.filter(frequent).collect()} == kept
+        got = tfidf.transform_tfidf(docs, "id", "t", model, frequent=frequent)
+        assert {(r.id, r.term): r.weight for r in got.collect()} == plain
