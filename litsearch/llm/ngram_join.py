@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsearch.llm.common import components, forest, map_slices, mix, stored
+from litsearch.llm.common import components, files_like, forest, map_slices, mix, stored
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -124,10 +124,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(map_slices(docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),
                                          F.col(text_col).alias("text")), signed,
                              "id bigint, row bigint, node bigint, sign binary, size bigint"), "signed")
+    files = files_like(rows)  # no table but the shingles is larger than this one
     # the row that stays: smallest id, rows without id last
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("first")
     sets = stored(rows.groupBy("node").agg(first, F.count("*").alias("n"), F.any_value("sign").alias("sign"), F.any_value("size").alias("size"))
-                  .withColumn("rep", F.col("first.id")), "sets")
+                  .withColumn("rep", F.col("first.id")), "sets", files)
 
     def keyed(got: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"node": [], "key": []}
@@ -142,29 +143,30 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # prefixes are mostly shared by few: a partition's groups stream through one Python call
     nodes_below = _dealt(below, sets.select("node", "sign")).select("key", "low", "high", "tile", "node", "sign")
     edges = stored(nodes_below.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-                   .mapInArrow(_agreeing, "a bigint, b bigint").distinct(), "agreeing")
-    candidates = components(edges, "candidates")
+                   .mapInArrow(_agreeing, "a bigint, b bigint").distinct(), "agreeing", files)
+    candidates = components(edges, "candidates", files)
     sized = candidates.join(sets.select("node", "rep", "n", "size"), "node")
     total = sized.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("work"))
-    inside = stored(sized.drop("size").join(total, "root"), "inside")
+    inside = stored(sized.drop("size").join(total, "root"), "inside", files)
 
-    # the texts of candidates only, one per set, as shingles
+    # the texts of candidates only, one per set, as shingles, with the set's number
     def itemised(got: dict[str, list]) -> dict[str, list]:
-        return {"node": got["node"], "data": [shingles(t or "").tobytes() for t in got["text"]]}
+        data = [shingles(t or "").tobytes() for t in got["text"]]
+        return {"node": got["node"], "found": [xxhash.xxh3_64_intdigest(d) - (1 << 63) for d in data], "data": data}
 
     wanted = inside.select("node", F.col("rep").alias("id")).where("id is not null")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
-    items = map_slices(texts.select("node", "text"), itemised, "node bigint, data binary")
+    items = map_slices(texts.select("node", "text"), itemised, "node bigint, found bigint, data binary")
     # an id that is repeated with other texts brings other sets: keep the one that is meant
-    items = items.where(_set_number(F.col("data")) == F.col("node"))
+    items = items.where("found = node").select("node", "data")
     # sets that only rows without id have are found by the set itself
     unnamed = map_slices(docs.where(F.col(id_col).cast("long").isNull()).select(F.lit(0).cast("long").alias("node"), F.col(text_col).alias("text")),
-                         itemised, "node bigint, data binary").select(_set_number(F.col("data")).alias("node"), "data")
+                         itemised, "node bigint, found bigint, data binary").select(F.col("found").alias("node"), "data")
     unnamed = unnamed.join(inside.where("rep is null").select("node"), "node", "left_semi")
     items = stored(items.unionAll(unnamed).dropDuplicates(["node"]), "shingles")
     verified = stored(_tiled(inside, items, ["root"], _verified, "a bigint, b bigint, links bigint"), "verified")
     links = verified.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    classes = components(verified.where("b is not null").select("a", "b"), "classes")
+    classes = components(verified.where("b is not null").select("a", "b"), "classes", files)
     named = classes.join(sets.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("stays"))
     by_set = (sets.select("node", "first", "n").join(classes.join(named, "root").select("node", "stays"), "node", "left")
               .join(links, "node", "left")
@@ -175,16 +177,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("row") == F.col("stays.row")).alias("kept"))
 
 
-def _set_number(data):
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("bigint")
-    def number(column: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh3_64_intdigest(d) - (1 << 63) for d in column], dtype="int64")
-
-    return number(data)
-
-
 def _dealt(members: DataFrame, data: DataFrame) -> DataFrame:
     """``members`` (with m, the size of their group, and work, its shingles, if they are to be
     compared) once per pair of tiles, with their data."""

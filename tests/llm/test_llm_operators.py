@@ -120,6 +120,36 @@ def test_tiles_by_shingles_lose_no_link(spark, monkeypatch):
     assert any(r[2] for r in whole)
 
 
+def test_jaccard_join_starts_one_worker_a_task_and_writes_few_files(spark, monkeypatch):
+    """An executor's memory holds one Python worker per task, and no file per empty shuffle partition."""
+    import litsearch.llm.common as common
+
+    plans, files, write = [], {}, common.stored
+
+    def watched(df, name, *how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = write(df, name, *how)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common, "stored", watched)
+    monkeypatch.setattr(ngram_join, "stored", watched)
+    changed = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        texts = [" ".join(f"w{g}x{i}" for i in range(40)) + f" end{c}" for g in range(40) for c in range(3)]
+        got = ngram_join.jaccard_classes(documents(spark, texts)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.class_id for r in got} == {i: i // 3 * 3 for i in range(120)}
+    assert not [p for p in plans if "ArrowEvalPython" in p and "MapInArrow" in p]
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert max(n for name in ("sets", "agreeing", "candidates", "inside", "classes") for n in files[name]) <= most
+
+
 def test_forest_prefix_is_shortened_to_the_target():
     d = ngram_join.prefix_depth()
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.TARGET
