@@ -33,7 +33,8 @@ def _bind(value, fn):
 
 
 def _least_with_later(step: int):
-    return lambda n: F.transform(n, lambda x, i: F.least(x, F.get(n, i + step)))
+    # the later ones run out first; least passes over nulls
+    return lambda n: F.zip_with(n, F.slice(n, step + 1, F.size(n)), lambda x, later: F.least(x, later))
 
 
 def _smallest(numbers, w: int):
@@ -98,12 +99,15 @@ def chosen_in_prefix(numbers, length, k: int = K, w: int = W):
     """The grams chosen by the windows that lie wholly in the first ``length`` code points, from the
     chosen grams of the whole text. The last such window's choice is the smallest one within it;
     what was chosen before it comes before it in the text."""
-    last = length - (w + k - 1)
-    winner = F.array_min(F.transform(
-        F.filter(numbers, lambda c: _position(c).between(last, last + (w - 1))),
-        lambda c: F.struct(_hash(c).alias("hash"), (-_position(c)).alias("back"))))
-    return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(
-        _bind(-winner.back, lambda end: F.filter(numbers, lambda c: _position(c) <= end)))
+    def until(last):
+        winner = F.array_min(F.transform(
+            F.filter(numbers, lambda c: _position(c).between(last, last + (w - 1))),
+            lambda c: F.struct(_hash(c).alias("hash"), (-_position(c)).alias("back"))))
+        return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(
+            _bind(-winner.back, lambda end: F.filter(numbers, lambda c: _position(c) <= end)))
+
+    # a filter evaluates what it compares with for every element
+    return _bind(length - (w + k - 1), until)
 
 
 def likeness(a, b):
