@@ -120,6 +120,14 @@ def test_tiles_by_shingles_lose_no_link(spark, monkeypatch):
     assert any(r[2] for r in whole)
 
 
+def test_winnowing_counts_a_length_once_a_text(spark):
+    """Conditions of a filter are evaluated for every element: no text may be measured in one."""
+    plan = winnowing.compare_edited(documents(spark, ["some text " * 30, "another text " * 20]))._jdf.queryExecution().optimizedPlan().toString()
+    entry_compared = re.compile(r"& 2147483647\) as int\) [<>]= \(*(char_)?length\(")
+    assert "2147483647) as int) >=" in plan
+    assert not entry_compared.search(plan)
+
+
 def test_jaccard_join_starts_one_worker_a_task_and_writes_few_files(spark, monkeypatch):
     """An executor's memory holds one Python worker per task, and no file per empty shuffle partition."""
     import litsearch.llm.common as common
