@@ -38,6 +38,10 @@ LONGEST = 24
 THRESHOLD = 0.3
 #: Words that a worker remembers.
 REMEMBERED = 400_000
+#: Words that go through the kernel at a time.
+BLOCK = 500
+#: Characters of texts whose words are looked at together; a longer text is looked at by itself.
+TOGETHER = 1_000_000
 
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -72,8 +76,9 @@ def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, words = len(words), ["^" + w for w in words]
     width = LONGEST + 1 + SPAN
     grid = np.zeros((n, width), np.int64)
-    for i, w in enumerate(words):
-        grid[i, : len(w)] = [(ord(c) & 63) + 1 for c in w]
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    signs = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    grid[np.arange(width) < lengths[:, None]] = (signs & 63) + 1
     keys = []
     row = np.arange(n, dtype=np.int64)[:, None] << 21
     for gap, (i, j) in enumerate(GAPS):
@@ -100,20 +105,28 @@ class Kernel:
         self.table = np.zeros((len(self.codes) + 1, len(landmarks)), np.float32)
         norm = np.sqrt(np.bincount(row, weight**2, len(landmarks)))
         self.table[np.searchsorted(self.codes, code), row] = weight / np.maximum(norm[row], 1e-12)
+        self.place = np.full(1 << 21, -1, np.int32)  # of every code in the table; -1: no landmark has it
+        self.place[self.codes] = np.arange(len(self.codes))
 
     def rows(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
+        for at in range(0, len(words), BLOCK):
+            some = words[at : at + BLOCK]
             row, code, weight = triples(some)
             norm = np.sqrt(np.bincount(row, weight**2, len(some)))
-            place = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
-            hit = self.codes[place] == code if len(self.codes) else np.zeros(len(code), bool)
-            row, place, weight = row[hit], place[hit], weight[hit]
-            if len(row):
-                starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                sums = np.add.reduceat(self.table[place] * weight[:, None].astype(np.float32), starts, axis=0)
-                out[at + row[starts]] = sums / np.maximum(norm[row[starts]], 1e-12)[:, None]
+            place = self.place[code]
+            hit = place >= 0
+            row, place, weight = row[hit], place[hit], weight[hit].astype(np.float32)
+            # the words' first hits are added up together, then their second ones, and so on: words with
+            # the most hits stand first, so that those with another hit are always the first rows
+            hits = np.bincount(row, minlength=len(some))
+            first = np.cumsum(hits) - hits
+            order = np.argsort(-hits, kind="stable")
+            first, sums = first[order], np.zeros((len(some), len(self.landmarks)), np.float32)
+            for k, n in enumerate(np.searchsorted(-hits[order], -np.arange(hits.max(initial=0)))):
+                on = first[:n] + k
+                sums[:n] += self.table[place[on]] * weight[on, None]
+            out[at + order] = sums / np.maximum(norm[order], 1e-12)[:, None]
         return out**2
 
 
@@ -138,7 +151,9 @@ class ToxicWords:
         self._start()
 
     def margins(self, words: list[str]) -> np.ndarray:
-        return self.kernel.rows(words) @ self.weights + self.bias
+        # row by row, so that a word's margin does not hang on the words that it stands with
+        return np.concatenate([(self.kernel.rows(words[at : at + BLOCK]) * self.weights).sum(1) for at in range(0, len(words), BLOCK)]
+                              or [np.zeros(0, np.float32)]) + self.bias
 
     def learn(self, words: set[str]) -> None:
         """Make every word known. Words that are met again outlive those that are not."""
@@ -164,6 +179,20 @@ class ToxicWords:
     def margin(self, words: set[str]) -> float:
         return max(map(self.raw.__getitem__, words), default=self.bias)
 
+    def probabilities(self, texts: list[str | None]) -> list[float]:
+        """One per text. Words of many texts are learned together: the kernel works on arrays, and few
+        words of one text are new."""
+        scores, found, chars = [], [], 0
+        for i, text in enumerate(texts):
+            found.append(words_of(text or ""))
+            chars += len(text or "")
+            following = len(texts[i + 1] or "") if i + 1 < len(texts) else TOGETHER
+            if chars + following > TOGETHER:
+                self.learn(set().union(*found))
+                scores += [self.probability(self.margin(words)) for words in found]
+                found, chars = [], 0
+        return scores
+
     def probability(self, margin: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * (margin - self.middle), -50, 50))))
 
@@ -338,12 +367,7 @@ def score_with(rows: DataFrame, model) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(got: dict[str, list]) -> dict[str, list]:
-        m: ToxicWords = model.value
-        scores = []
-        for text in got["text"]:
-            found = words_of(text or "")
-            m.learn(found)
-            scores.append(m.probability(m.margin(found)))
+        scores = model.value.probabilities(got["text"])
         return {"doc_id": got["doc_id"], "held_out": got["held_out"], "score": scores,
                 "predicted": [int(s >= THRESHOLD) for s in scores]}
 

@@ -1,6 +1,7 @@
 """The training-data operators on small fixtures, against brute force and the tokenizers' own libraries."""
 
 import hashlib
+import pickle
 import random
 import time
 import re
@@ -343,6 +344,25 @@ def test_toxicity_on_held_out_sentences(spark):
     assert (got[400].predicted, got[401].predicted, got[402].predicted, got[403].predicted) == (0, 0, 1, 1)
 
 
+def test_toxicity_looks_at_the_words_of_many_texts_together(monkeypatch):
+    """The kernel works on arrays: one call of it per text costs more than its work."""
+    rng = random.Random(14)
+    model = toxicity.train([(f"word{i} plain text of words", 0) for i in range(40)] + [(f"word{i} you silly idiot", 1) for i in range(40)])
+    texts = [None, "", " 12 "] + [" ".join("".join(rng.choices("abcdiot", k=rng.randint(1, 30))) for _ in range(8)) for _ in range(200)]
+    alone = []
+    for text in texts:
+        by_itself = pickle.loads(pickle.dumps(model))
+        words = toxicity.words_of(text or "")
+        by_itself.learn(words)
+        alone.append(by_itself.probability(by_itself.margin(words)))
+    calls, triples = [], toxicity.triples
+    monkeypatch.setattr(toxicity, "triples", lambda words: calls.append(len(words)) or triples(words))
+    assert model.probabilities(texts) == alone
+    assert len(calls) <= 1 + sum(calls) // toxicity.BLOCK
+    monkeypatch.setattr(toxicity, "TOGETHER", 100)
+    assert pickle.loads(pickle.dumps(model)).probabilities(texts) == alone
+
+
 def test_one_long_text_does_not_empty_the_toxicity_sample(spark):
     rows = [(i, f"text number {i}") for i in range(60)] + [(i, "x" * 300_000) for i in range(60, 70)] + [(3, "another"), (4, "text number 4")]
     labels = spark.createDataFrame([(i, i % 2) for i in range(70)], "doc_id long, toxic int")
