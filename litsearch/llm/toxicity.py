@@ -186,8 +186,7 @@ class ToxicWords:
         for i, text in enumerate(texts):
             found.append(words_of(text or ""))
             chars += len(text or "")
-            following = len(texts[i + 1] or "") if i + 1 < len(texts) else TOGETHER
-            if chars + following > TOGETHER:
+            if i + 1 == len(texts) or chars + len(texts[i + 1] or "") > TOGETHER:
                 self.learn(set().union(*found))
                 scores += [self.probability(self.margin(words)) for words in found]
                 found, chars = [], 0

@@ -359,6 +359,7 @@ def test_toxicity_looks_at_the_words_of_many_texts_together(monkeypatch):
     monkeypatch.setattr(toxicity, "triples", lambda words: calls.append(len(words)) or triples(words))
     assert model.probabilities(texts) == alone
     assert len(calls) <= 1 + sum(calls) // toxicity.BLOCK
+    assert model.probabilities([None]) == alone[:1] and model.probabilities(["", None]) == alone[1::-1] and model.probabilities([]) == []
     monkeypatch.setattr(toxicity, "TOGETHER", 100)
     assert pickle.loads(pickle.dumps(model)).probabilities(texts) == alone
 
