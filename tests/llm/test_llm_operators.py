@@ -129,6 +129,25 @@ def test_winnowing_counts_a_length_once_a_text(spark):
     assert not entry_compared.search(plan)
 
 
+def test_winnowing_deals_ranges_out_in_turn_and_writes_few_files(spark):
+    """No task gets more ranges than the others, and not every one of them writes a file."""
+    changed = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        texts = [f"text {i} " * (i % 7) for i in range(300)]
+        out = winnowing.compare_edited(documents(spark, texts))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got, files = out.collect(), out.rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.n_chars for r in got} == {i: len(t) for i, t in enumerate(texts)} and len(got) == 300
+    assert files <= max(8, 2 * spark.sparkContext.defaultParallelism)
+    assert plan.count("Exchange ") == 2 and not re.search(r"hashpartitioning\(range", plan)
+
+
 def test_jaccard_join_starts_one_worker_a_task_and_writes_few_files(spark, monkeypatch):
     """An executor's memory holds one Python worker per task, and no file per empty shuffle partition."""
     import litsearch.llm.common as common
