@@ -38,8 +38,8 @@ LONGEST = 24
 THRESHOLD = 0.3
 #: Words that a worker remembers.
 REMEMBERED = 400_000
-#: Words that go through the kernel at a time.
-BLOCK = 500
+#: Words that go through the kernel at a time; a multiple of 64.
+BLOCK = 512
 #: Characters of texts whose words are looked at together; a longer text is looked at by itself.
 TOGETHER = 1_000_000
 
@@ -102,10 +102,10 @@ class Kernel:
         self.landmarks = landmarks
         row, code, weight = triples(landmarks)
         self.codes = np.unique(code)
-        self.table = np.zeros((len(self.codes) + 1, len(landmarks)), np.float32)
+        self.columns = np.zeros((len(landmarks), len(self.codes) + 1), np.float32)
         norm = np.sqrt(np.bincount(row, weight**2, len(landmarks)))
-        self.table[np.searchsorted(self.codes, code), row] = weight / np.maximum(norm[row], 1e-12)
-        self.place = np.full(1 << 21, -1, np.int32)  # of every code in the table; -1: no landmark has it
+        self.columns[row, np.searchsorted(self.codes, code)] = weight / np.maximum(norm[row], 1e-12)
+        self.place = np.full(1 << 21, -1, np.int32)  # of every code in the table; -1: of none
         self.place[self.codes] = np.arange(len(self.codes))
 
     def rows(self, words: list[str]) -> np.ndarray:
@@ -117,16 +117,13 @@ class Kernel:
             place = self.place[code]
             hit = place >= 0
             row, place, weight = row[hit], place[hit], weight[hit].astype(np.float32)
-            # the words' first hits are added up together, then their second ones, and so on: words with
-            # the most hits stand first, so that those with another hit are always the first rows
-            hits = np.bincount(row, minlength=len(some))
-            first = np.cumsum(hits) - hits
-            order = np.argsort(-hits, kind="stable")
-            first, sums = first[order], np.zeros((len(some), len(self.landmarks)), np.float32)
-            for k, n in enumerate(np.searchsorted(-hits[order], -np.arange(hits.max(initial=0)))):
-                on = first[:n] + k
-                sums[:n] += self.table[place[on]] * weight[on, None]
-            out[at + order] = sums / np.maximum(norm[order], 1e-12)[:, None]
+            if len(row):
+                starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                # a landmark's hits stand side by side, so that neighbours in memory are added up
+                likeness = self.columns.take(place, axis=1)
+                likeness *= weight
+                sums = np.add.reduceat(likeness, starts, axis=1)
+                out[at + row[starts]] = sums.T / np.maximum(norm[row[starts]], 1e-12)[:, None]
         return out**2
 
 
@@ -151,9 +148,15 @@ class ToxicWords:
         self._start()
 
     def margins(self, words: list[str]) -> np.ndarray:
-        # row by row, so that a word's margin does not hang on the words that it stands with
-        return np.concatenate([(self.kernel.rows(words[at : at + BLOCK]) * self.weights).sum(1) for at in range(0, len(words), BLOCK)]
-                              or [np.zeros(0, np.float32)]) + self.bias
+        # always the same number of rows, few enough for one thread: how a product is rounded hangs on it,
+        # and a word's margin must not hang on the words that it stands with
+        found = [np.zeros(0, np.float32)]
+        for at in range(0, len(words), BLOCK):
+            some = words[at : at + BLOCK]
+            likeness = np.zeros((BLOCK, len(self.landmarks)), np.float32)
+            likeness[: len(some)] = self.kernel.rows(some)
+            found.append((likeness.reshape(-1, 64, len(self.landmarks)) @ self.weights).ravel()[: len(some)])
+        return np.concatenate(found) + self.bias
 
     def learn(self, words: set[str]) -> None:
         """Make every word known. Words that are met again outlive those that are not."""
