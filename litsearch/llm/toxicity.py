@@ -39,7 +39,7 @@ THRESHOLD = 0.3
 #: Words that a worker remembers.
 REMEMBERED = 400_000
 #: Words that go through the kernel at a time; a multiple of 64.
-BLOCK = 512
+BLOCK = 128
 #: Characters of texts whose words are looked at together; a longer text is looked at by itself.
 TOGETHER = 1_000_000
 
