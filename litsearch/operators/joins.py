@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SLICE_ROWS = 1_000_000
 HOT_KEYS = 10_000
+PLACES = 1 << 19
 
 
 def spread_join(
@@ -48,3 +49,13 @@ def split_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], frequent
     met = rows.join(F.broadcast(lookup.filter(frequent).withColumn("_frequent", F.lit(True))), keys, "left")
     rest = met.filter("_frequent IS NULL").select(*rows.columns).join(lookup.filter(~frequent), keys, how)
     return met.filter("_frequent").drop("_frequent").unionByName(rest)
+
+
+def sift(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], places: int = PLACES) -> DataFrame:
+    """``rows`` without most of those whose ``keys`` are not in ``wanted``, ahead of a join that shuffles them.
+
+    Keys are hashed to ``places``, which bounds what is broadcast however long ``wanted`` is. No row that is
+    wanted is lost; others that fall on a wanted place stay, so the join itself is still needed.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(places)).alias("_place")
+    return rows.select("*", place).join(F.broadcast(wanted.select(place).distinct()), "_place", "left_semi").drop("_place")

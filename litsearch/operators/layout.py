@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from litsearch.operators.profile import row_bytes
-from litsearch.session import scratch_path
+from litsearch.session import scratch_path, shuffles_removed
 
 # monotonically_increasing_id() is the partition number above the row number in the partition
 _ROW_BITS = 33
@@ -44,7 +44,8 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write to Parquet and go on from the files, which survive a lost executor."""
     spark = df.sparkSession
     path = scratch_path(spark, "materialized") if path is None else path
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_removed(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

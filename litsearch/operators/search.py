@@ -24,9 +24,9 @@ from litsearch.functions.fuzzy import (
     Fuzziness, allowed_edits, matches_word, query_words, similar_terms,
 )
 from litsearch.functions.text import tokenize
-from litsearch.operators.joins import spread_join
+from litsearch.operators.joins import sift, spread_join
 from litsearch.operators.layout import materialize, rebalance
-from litsearch.session import by_key, remove_path, scratch_path
+from litsearch.session import by_key, remove_path, scratch_path, shuffles_removed
 
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 9
@@ -36,6 +36,12 @@ HIT_COLUMNS = ["title", "authors", "abstract", "body", "url", "publish_time"]
 MAX_LENGTH_BUCKET = 24
 # Folders per field that stored postings are dealt to by the hash of their term.
 TERM_BUCKETS = 32
+# A document is a candidate of a query if it has so many of its rarest words.
+RARE_WORDS = 5
+# Columns of 64 bits that tell sets of words apart.
+MARKS = 2
+# Postings are placed, and many queries scored, so many at a time, within a limit as each share scans all of them.
+SHARE_ROWS, MOST_SHARES = 20_000_000, 4
 
 
 # ---------------------------------------------------------------- postings
@@ -105,7 +111,8 @@ def write_index(
     meets it anyway, so that postings are not joined to it and move once, to their folder. A search
     finds the terms it wants in the vocabulary, whose folders are by field and term length (edit
     distance bounds the length), and then opens the postings folders those terms are in. Adaptive
-    execution splits large folders, so a very common term fills many files. ``carry`` names
+    execution splits large folders, so a very common term fills many files. A large table goes to its
+    folders in several passes, so that only a part of its postings is shuffled at a time. ``carry`` names
     expressions over ``df`` that postings keep, for document boosts.
     """
     spark = df.sparkSession
@@ -115,27 +122,37 @@ def write_index(
     length = F.least(F.length("term"), F.lit(MAX_LENGTH_BUCKET))
     bucket = F.pmod(F.hash("term"), F.lit(buckets))
     stats = materialize(field_stats(counted, key).coalesce(1))  # one row per field name given by the caller
-    (
-        counted.groupBy("field", "term").agg(F.count("*").alias("df"))
-        .join(F.broadcast(stats), "field")
-        .select("field", "term", "df", _idf().alias("idf"), bucket.alias("bucket"), length.alias("len_bucket"))
-        .repartitionByRange("field", "len_bucket", "term")
-        .sortWithinPartitions("field", "len_bucket", "term")
-        .write.mode("overwrite").partitionBy("field", "len_bucket").parquet(f"{path}/terms")
-    )
-    (
-        rebalance(
-            counted.join(F.broadcast(stats), "field")
-            .select(key, *carry, "field", "term", _tf_weight().alias("weight"), bucket.alias("bucket")),
-            "field", "bucket",
+    with shuffles_removed(spark):
+        (
+            counted.groupBy("field", "term").agg(F.count("*").alias("df"))
+            .join(F.broadcast(stats), "field")
+            .select("field", "term", "df", _idf().alias("idf"), bucket.alias("bucket"), length.alias("len_bucket"))
+            .repartitionByRange("field", "len_bucket", "term")
+            .sortWithinPartitions("field", "len_bucket", "term")
+            .write.mode("overwrite").partitionBy("field", "len_bucket").parquet(f"{path}/terms")
         )
-        .sortWithinPartitions("field", "bucket", "term")
-        .write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{path}/postings")
-    )
+        passes = _shares(counted)
+        for n in range(passes):
+            dealt = counted.withColumn("bucket", bucket)
+            (
+                rebalance(
+                    (dealt if passes == 1 else dealt.filter(F.col("bucket") % passes == n))
+                    .join(F.broadcast(stats), "field")
+                    .select(key, *carry, "field", "term", _tf_weight().alias("weight"), "bucket"),
+                    "field", "bucket",
+                )
+                .sortWithinPartitions("field", "bucket", "term")
+                .write.mode("append" if n else "overwrite").partitionBy("field", "bucket").parquet(f"{path}/postings")
+            )
     remove_path(spark, counted_path)
     return load_index(spark, path, key, fields)
 
 
+def _shares(stored: DataFrame) -> int:
+    """How many shares stored rows are worked on in; they are counted from the files' footers."""
+    return min(MOST_SHARES, 1 + stored.count() // SHARE_ROWS)
+
+
 def load_index(spark: SparkSession, path: str, key: str, fields: Sequence[str]) -> SearchIndex:
     postings, terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
     return SearchIndex(postings, terms, key, tuple(fields))
@@ -367,9 +384,10 @@ def search_batch(
     ``query_id`` must be unique in ``queries``.
 
     With ``operator="AND"`` every hit has all words of its query in one field, so it also has
-    the query's rarest one: candidates are read from the postings of that word only, and the
+    the query's rarest ones: candidates are read from the postings of those words only, and the
     other words are checked on the candidates. With "OR" every posting of a word is a hit. Either
-    way postings of terms that no query reaches are left out first.
+    way postings of terms that no query reaches are left out first. A large index is scored in shares
+    of its documents, one after the other, so that what is shuffled for one share is gone before the next.
     """
     key = index.key
     boosts = dict(boosts or {f: DEFAULT_BOOSTS.get(f, 1.0) for f in index.fields})
@@ -388,44 +406,90 @@ def search_batch(
         words.join(similar, "word").join(vocabulary, "term")
         .select(query_id, "needed", "word", "times", "field", "term", "df", "idf")
     )
-    wanted = reach.groupBy("field", "term").agg(F.max("df").alias("df"), F.max("idf").alias("idf"))
+    wanted = reach.groupBy("field", "term").agg(
+        F.max("df").alias("df"), F.max("idf").alias("idf"), F.collect_set("word").alias("words"), *_marks("words"))
     reach = reach.drop("idf")
-    stored = spread_join(postings.select(key, "field", "term", "weight"), wanted, ["field", "term"], "df", key).select(
-        key, "field", "term", (F.col("idf") * F.col("weight")).alias("s"))
-    matched = (
-        _candidate_postings(stored, reach, key, query_id) if operator == "AND"
-        else spread_join(stored, reach, ["field", "term"], "df", key)
-    )
-    scored = (
-        matched.select(query_id, key, "needed", "field", F.col("word").alias("word_no"), "times", "s")
-        .repartition(query_id, key)
-    )
-    scores = _score_documents(scored, [query_id, key], boosts, operator)
+    postings = postings.select(key, "field", "term", "weight")
+    candidates = _candidates(postings, reach, key, query_id) if operator == "AND" else None
     # Spark keeps only `size` rows per query in each task before the rows are brought together
     best_first = Window.partitionBy(query_id).orderBy(F.desc("score"), key)
-    return scores.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= size)
 
+    def ranked(scores: DataFrame) -> DataFrame:
+        return scores.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= size)
+
+    def of_share(df: DataFrame, share: int) -> DataFrame:
+        return df if shares == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(shares)) == share)
+
+    def scored(share: int) -> DataFrame:
+        rows = of_share(postings, share)
+        if candidates is not None:
+            rows = sift(rows, of_share(candidates, share), [key, "field"])
+        s = (F.col("idf") * F.col("weight")).alias("s")
+        reached = ["words", *[f"words_{i}" for i in range(MARKS)]]
+        stored = spread_join(rows, wanted, ["field", "term"], "df", key)
+        matched = (
+            _candidate_postings(stored.select(key, "field", *reached, s), of_share(candidates, share), reach, key, query_id)
+            if candidates is not None
+            else spread_join(stored.select(key, "field", "term", s), reach, ["field", "term"], "df", key)
+        )
+        by_word = matched.select(query_id, key, "needed", "field", F.col("word").alias("word_no"), "times", "s")
+        return _score_documents(by_word.repartition(query_id, key), [query_id, key], boosts, operator)
 
-def _candidate_postings(
-    stored: DataFrame, reach: DataFrame, key: str, query_id: str
-) -> DataFrame:
-    """The postings of all words of a query on the documents that have its rarest word."""
-    size_of = (
-        reach.groupBy(query_id, "needed", "field", "word").agg(F.sum("df").alias("n"))
-        .groupBy(query_id, "needed", "field")
-        .agg(F.count("*").alias("_matched"), F.min(F.struct("n", "word")).alias("rare"))
-    )
+    shares = _shares(postings)
+    if shares == 1:
+        return ranked(scored(0))
+    found = [materialize(ranked(scored(share)).drop("rank")) for share in range(shares)]
+    return ranked(reduce(DataFrame.unionByName, found))
+
+
+def _candidates(postings: DataFrame, reach: DataFrame, key: str, query_id: str) -> DataFrame:
+    """(query, needed, key, field) of the documents that have the rarest words of a query in a field."""
+    sizes = reach.groupBy(query_id, "needed", "field", "word").agg(F.sum("df").alias("n"))
+    of_query = Window.partitionBy(query_id, "needed", "field")
     # a query with a word that is nowhere in a field has no hit in that field
     rarest = (
-        size_of.filter(F.col("_matched") == F.col("needed"))
-        .select(query_id, "needed", "field", F.col("rare.word").alias("word"))
+        sizes.withColumn("_matched", F.count("*").over(of_query))
+        .withColumn("_rank", F.row_number().over(of_query.orderBy("n", "word")))
+        .filter((F.col("_matched") == F.col("needed")) & (F.col("_rank") <= RARE_WORDS))
+        .select(query_id, "needed", "field", "word", F.call_function("shiftleft", F.lit(1), F.col("_rank") - 1).alias("_bit"))
     )
-    entries = rarest.join(reach.drop("needed"), [query_id, "field", "word"]).select(
-        query_id, "needed", "field", "term", "df"
-    )
-    candidates = (
-        spread_join(stored.select(key, "field", "term"), entries, ["field", "term"], "df", key)
-        .select(query_id, "needed", key, "field").distinct()
+    entries = materialize(rarest.join(reach.drop("needed"), [query_id, "field", "word"]).select(
+        query_id, "needed", "field", "term", "df", "_bit"
+    ))
+    near = sift(postings.select(key, "field", "term"), entries, ["field", "term"])
+    every = F.call_function("shiftleft", F.lit(1), F.least("needed", F.lit(RARE_WORDS))) - 1
+    # written out, as its size tells how to meet the postings
+    return materialize(
+        spread_join(near, entries, ["field", "term"], "df", key)
+        .groupBy(query_id, "needed", key, "field").agg(F.bit_or("_bit").alias("_bits"))
+        .filter(F.col("_bits") == every).drop("_bits")
     )
-    wanted = reach.select(query_id, "field", "term", "word", "times")
-    return candidates.join(stored, [key, "field"]).join(wanted, [query_id, "field", "term"])
+
+
+def _candidate_postings(
+    stored: DataFrame, candidates: DataFrame, reach: DataFrame, key: str, query_id: str
+) -> DataFrame:
+    """The postings of all words of a query on its candidates.
+
+    A posting brings the words that its term matches and a candidate the words of its query, so that
+    postings of other queries' words go where the two meet, before they are shuffled.
+    """
+    own = reach.select(query_id, "needed", "word", "times").distinct().groupBy(query_id, "needed")
+    asked = own.agg(
+        F.collect_list("word").alias("_asked"), *_marks("_asked"),
+        F.map_from_entries(F.collect_list(F.struct("word", "times"))).alias("_times"))
+    met = candidates.join(asked, [query_id, "needed"]).join(stored, [key, "field"])
+    # marks settle most pairs without a look at the words
+    met = met.filter(_any([F.col(f"words_{i}").bitwiseAND(F.col(f"_asked_{i}")) != 0 for i in range(MARKS)]))
+    met = met.filter(F.arrays_overlap("words", "_asked"))
+    # there is a word in every row; "outer" keeps the optimizer from testing that ahead of the filters
+    met = met.select("*", F.explode_outer(F.array_intersect("words", "_asked")).alias("word"))
+    return met.select(query_id, key, "needed", "field", "word", F.col("_times")[F.col("word")].alias("times"), "s")
+
+
+def _marks(name: str) -> list[Column]:
+    """Sets of words as bits by their hash, 64 in a column: sets without a common bit have no common word."""
+    place = F.pmod(F.xxhash64("word"), F.lit(64 * MARKS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))
+    return [F.bit_or(F.when(F.floor(place / 64) == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"{name}_{i}")
+            for i in range(MARKS)]

@@ -1,11 +1,13 @@
 import math
 import re
+import time
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from litsearch.operators import joins, search
+from litsearch.operators.layout import materialize
 from litsearch.plans.views import papers
 
 SCHEMA = "doc_id bigint, title string, abstract string, body string, authors string, url string, publish_time string"
@@ -137,6 +139,54 @@ def test_batch_equals_single_searches(spark, docs, tmp_path, operator):
     assert rows(batch, "q", "doc_id", "score", "rank") == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("operator", ["AND", "OR"])
+def test_batch_in_shares_equals_the_batch_in_one(spark, docs, tmp_path, monkeypatch, operator):
+    more = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100)).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 200))
+    texts = {1: "drug trial", 2: "durg", 3: "unheardof drug", 4: "the drug the", 5: "", 6: "drug"}
+    queries = spark.createDataFrame(list(texts.items()), "q int, text string")
+    found = []
+    for n, share_rows in enumerate((10**9, 1)):
+        monkeypatch.setattr(search, "SHARE_ROWS", share_rows)
+        index = search.write_index(more, "doc_id", list(search.DEFAULT_BOOSTS), str(tmp_path / f"index{n}"))
+        assert search._shares(index.postings) == (search.MOST_SHARES if n else 1)
+        found.append(rows(search.search_batch(index, queries, "q", "text", operator=operator, size=4), "q", "doc_id", "score", "rank"))
+        assert rows(index.postings, "doc_id", "field", "term") == rows(
+            search.build_postings(more, "doc_id", list(search.DEFAULT_BOOSTS)), "doc_id", "field", "term")
+    assert found[0] == found[1] and found[0]
+
+
+def test_candidates_have_several_of_the_rarest_words(spark, tmp_path):
+    texts = ["alpha", "alpha gamma", "alpha gamma omega common", "omega common", "common", "common gamma"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, body string")
+    index = search.write_index(docs, "doc_id", ["body"], str(tmp_path / "index"))
+    reach = index.terms.select(F.lit(1).alias("q"), F.lit(4).alias("needed"), F.col("term").alias("word"), F.lit(1).alias("times"), "field", "term", "df")
+    assert rows(search._candidates(index.postings, reach, "doc_id", "q"), "doc_id") == [(2,)]
+    queries = spark.createDataFrame([(1, "gamma alpha"), (2, "omega common nowhere")], "q int, text string")
+    assert rows(search.search_batch(index, queries, "q", "text", fuzziness=0), "q", "doc_id") == [(1, 1), (1, 2)]
+
+
+def test_sift_keeps_every_wanted_row(spark):
+    facts = spark.range(1000).select("id", (F.col("id") % 100).cast("string").alias("k"), F.lit("f").alias("field"))
+    wanted = spark.createDataFrame([("f", "3"), ("f", "99"), ("f", "3"), ("f", "unknown")], "field string, k string")
+    exact = rows(facts.join(wanted, ["k", "field"], "left_semi"), "id")
+    assert rows(joins.sift(facts, wanted, ["k", "field"]), "id") == exact
+    assert set(exact) <= set(rows(joins.sift(facts, wanted, ["k", "field"], places=4), "id"))
+
+
+def test_shuffles_of_a_written_table_are_removed(spark, tmp_path):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|")
+        return {f for f in files.split("|") if "shuffle_" in f}
+
+    before, setting = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    kept = materialize(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), str(tmp_path / "t"))
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before and kept.count() == 10 and spark.conf.get(setting) == was
+
+
 def test_prefer_complete_and_response(docs):
     plain = search.search(docs, "drug trial", "doc_id", {"abstract": 1}, 0)
     boosted = search.search(docs, "drug trial", "doc_id", {"abstract": 1}, 0, doc_boost=search.prefer_complete(0.5))
